@@ -5,6 +5,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HEX_BITS = 32
 
@@ -23,7 +24,7 @@ def integer_below(bound, *parts) -> Column:
     return F.floor(uniform(*parts) * bound).cast("int")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def blake2b_hex(names: pd.Series) -> pd.Series:
     """Eight-byte BLAKE2b digest as hex; hex order equals the order of the rank in [0, 1)."""
     return names.map(lambda n: hashlib.blake2b(n.encode("utf-8"), digest_size=8).hexdigest())

@@ -284,7 +284,10 @@ def pseudo_ce(
 
 
 def total_loss(
-    rows: DataFrame, ramp: float | Column, keys: Sequence[str] = ("image_id",)
+    rows: DataFrame,
+    ramp: float | Column,
+    keys: Sequence[str] = ("image_id",),
+    threshold: float = CONFIDENCE,
 ) -> DataFrame:
     """Supervised losses plus ramped pseudo-label and consistency terms.
 
@@ -297,7 +300,7 @@ def total_loss(
         ce(supervised, keys)
         .join(dice(supervised, keys), keys)
         .join(lovasz(supervised, keys), keys, "left")
-        .join(pseudo_ce(rows, keys), keys)
+        .join(pseudo_ce(rows, keys, threshold), keys)
         .join(consistency(rows, keys), keys)
         .fillna(0.0, subset=["lovasz"])
     )
