@@ -16,7 +16,9 @@ from ..plans.sizing import broadcast_if_small, is_empty
 from ..session import cut
 
 BLOCK = 128
-FAR = np.iinfo(np.int64).max
+UNSET = np.iinfo(np.int64).max
+# Beyond any path length, yet exact as a float: missing starts arrive from Arrow as NaN.
+FAR = 1 << 52
 STEPS = ((-1, 0), (1, 0), (0, -1), (0, 1))
 
 # Pixel number inside a scene: rows this far apart never collide for scenes below 2^31 columns.
@@ -38,7 +40,7 @@ def _local_labels(ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
     """Smallest pixel number of each pixel's component, within one block."""
     y0, x0 = ys.min(), xs.min()
     height, width = ys.max() - y0 + 1, xs.max() - x0 + 1
-    number = np.full((height + 2, width + 2), FAR, dtype=np.int64)
+    number = np.full((height + 2, width + 2), UNSET, dtype=np.int64)
     on = np.zeros(number.shape, dtype=bool)
     at = (ys - y0 + 1, xs - x0 + 1)
     on[at] = True

@@ -13,6 +13,7 @@ from ..functions.arrays import dot, norm, ordered_values, rms_difference
 from ..plans.ordered import take_lowest
 from ..plans.sizing import broadcast_if_small
 from ..schema import PIXEL_KEY, UNLABELED
+from ..session import cut
 from . import regions
 from .scoring import resize_field
 
@@ -283,7 +284,8 @@ def select(
         fields = upsample_fields(coarse, shape).join(
             norm_px.select(*PIXEL_KEY, "valid"), PIXEL_KEY
         )
-    matched = match(fields, samples, tolerance)
+    # Read by the region, the budget and the counts: kept once, in the shared folder.
+    matched = cut(match(fields, samples, tolerance))
     seeds = samples.filter("positive").select("sample_id", *PIXEL_KEY)
     region = matched if is_global else regions.region_of(matched, seeds)
     if budget is None:
