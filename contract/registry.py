@@ -20,16 +20,19 @@ for _name in fixtures.VIEWS:
 
 
 def _needed(body: str) -> list[str]:
-    wanted: set[str] = set()
+    """Blocks the body uses, each after the blocks it uses itself."""
+    ordered: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, open_names: frozenset) -> None:
         for name in CTES:
-            if name not in wanted and re.search(rf"\b{name}\b", text):
-                wanted.add(name)
-                visit(CTES[name])
-
-    visit(body)
-    return [name for name in CTES if name in wanted]
+            if name in ordered or name in open_names:
+                continue
+            if re.search(rf"\b{name}\b", text):
+                visit(CTES[name], open_names | {name})
+                ordered.append(name)
+
+    visit(body, frozenset())
+    return ordered
 
 
 def with_ctes(body: str, recursive: bool = False) -> str:

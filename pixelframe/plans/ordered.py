@@ -66,8 +66,9 @@ def take_lowest(
 ) -> DataFrame:
     """The first `limit` rows per `keys` in (`bucket`, `order`) order.
 
-    Buckets wholly below the cut pass without being sorted; only the bucket the cut falls into is
-    ranked. `limit` may use any column of `df` that is constant per key.
+    Buckets beyond the cut are dropped on their counts alone, before any sort; what is ranked, one
+    bucket at a time, is at most `limit` rows and the bucket the cut falls into. `limit` may use any
+    column of `df` that is constant per key.
     """
     keys = list(keys)
     parts = df.withColumn(BUCKET, bucket).withColumn("_limit", limit)
@@ -75,17 +76,17 @@ def take_lowest(
     earlier = (
         Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     )
-    spans = counts.withColumn("_before", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
-    placed = parts.join(spans, [*keys, BUCKET]).filter(F.col("_before") < F.col("_limit"))
+    spans = counts.select(
+        *keys, BUCKET, F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before")
+    )
     rank = F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy(*order))
-    whole = placed.filter(F.col("_before") + F.col("_in") <= F.col("_limit"))
-    partial = (
-        placed.filter(F.col("_before") + F.col("_in") > F.col("_limit"))
+    return (
+        parts.join(spans, [*keys, BUCKET])
+        .filter(F.col("_before") < F.col("_limit"))
         .withColumn("_rank", rank)
         .filter(F.col("_rank") + F.col("_before") <= F.col("_limit"))
-        .drop("_rank")
+        .drop(BUCKET, "_limit", "_before", "_rank")
     )
-    return whole.unionByName(partial).drop(BUCKET, "_limit", "_in", "_before")
 
 
 def lag_in_chunks(
