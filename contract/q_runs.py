@@ -93,7 +93,8 @@ def _(spark, sf):
 @query("a3_photometric_views")
 def _(spark, sf):
     pixels = tiling.assign_patches(normed(spark, sf), view(spark, sf, "scenes"), PATCH, STRIDE)
-    strong = augment.augment_strong(pixels, PATCH, 4, SEED, EPOCH)
+    plan = augment.strong_plan(_grid(spark, sf), PATCH, 4, SEED, EPOCH)
+    strong = augment.augment_strong(pixels, plan, 4, SEED, EPOCH)
     return strong.select(
         "image_id", "ty", "tx", "y", "x", *[F.get("norm", i).alias(f"n{i}") for i in range(4)]
     )

@@ -49,12 +49,6 @@ def integer_below(bound, *parts) -> Column:
     return F.floor(uniform(*parts) * bound).cast("int")
 
 
-def gaussian(*parts) -> Column:
-    """A standard normal number by the Box-Muller transform of two uniforms."""
-    first = (mixed(*parts, 0).cast("double") + 1) / float(PRIME + 1)
-    return F.sqrt(-2 * F.ln(first)) * F.cos(2 * F.pi() * uniform(*parts, 1))
-
-
 @F.pandas_udf(T.StringType())
 def blake2b_hex(names: pd.Series) -> pd.Series:
     """Eight-byte BLAKE2b digest as hex; hex order equals the order of the rank in [0, 1)."""

@@ -8,7 +8,7 @@ partitioning and a lost task is recomputed identically. Mixes are decided per pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import between, gaussian, integer_below, mixed, uniform
+from ..functions.hashing import between, integer_below, mixed, uniform
 from ..plans.ordered import running_totals
 from ..plans.sizing import broadcast_if_small
 from ..schema import EXCLUDED, PIXEL_KEY, TARGET, TRAIN_BATCH, UNLABELED
@@ -26,10 +26,10 @@ CUTMIX_ASPECT = (0.5, 2.0)
 DONOR_ATTEMPTS = 8
 
 # Purpose numbers keep the choices of one patch apart.
-(ORDER_IMAGE, ORDER_PATCH, FLIP_H, FLIP_V, ROTATE, ROTATE_BY, NOISE, NOISE_LEVEL, NOISE_VALUE,
+(ORDER_IMAGE, ORDER_PATCH, FLIP_H, FLIP_V, ROTATE, ROTATE_BY, NOISE, NOISE_LEVEL,
  LIGHT, CONTRAST, BRIGHTNESS, DROP, DROP_COUNT, DROP_FIRST, DROP_SECOND, HOLES, HOLE_COUNT, HOLE_H,
  HOLE_W, HOLE_Y, HOLE_X, DONOR_Y, DONOR_X, MOSAIC, SPLIT_Y, SPLIT_X, CUTMIX, BOX_AREA, BOX_ASPECT,
- BOX_Y, BOX_X, PASTE, PASTE_H, PASTE_V) = range(1, 36)
+ BOX_Y, BOX_X, PASTE, PASTE_H, PASTE_V) = range(1, 35)
 MOSAIC_SLOTS, CUTMIX_SLOT, PASTE_SLOT = (1, 2, 3), 4, 5
 
 
@@ -51,9 +51,6 @@ class Draws:
     def below(self, bound, purpose: int, *extra) -> Column:
         return integer_below(bound, *self._parts(purpose, extra))
 
-    def normal(self, purpose: int, *extra) -> Column:
-        return gaussian(*self._parts(purpose, extra))
-
 
 def epoch_order(
     patches: DataFrame, seed: int, epoch: int, batch: int = TRAIN_BATCH
@@ -76,10 +73,10 @@ def epoch_order(
 
 def augment_weak(pixels: DataFrame, size: int, seed: int, epoch: int) -> DataFrame:
     """Flip and rotate patches by moving `(dy, dx)`; values and labels move together."""
-    dice = Draws(seed, epoch)
+    draw = Draws(seed, epoch)
     last = size - 1
-    flip_h, flip_v = dice.u(FLIP_H) < P_FLIP, dice.u(FLIP_V) < P_FLIP
-    turns = F.when(dice.u(ROTATE) < P_ROTATE, dice.below(4, ROTATE_BY)).otherwise(0)
+    flip_h, flip_v = draw.u(FLIP_H) < P_FLIP, draw.u(FLIP_V) < P_FLIP
+    turns = F.when(draw.u(ROTATE) < P_ROTATE, draw.below(4, ROTATE_BY)).otherwise(0)
     flipped = (
         pixels.withColumn("_turns", turns)
         .withColumn("_y", F.when(flip_v, last - F.col("dy")).otherwise(F.col("dy")))
@@ -95,46 +92,85 @@ def augment_weak(pixels: DataFrame, size: int, seed: int, epoch: int) -> DataFra
     )
 
 
+def strong_plan(
+    patches: DataFrame, size: int, channels: int, seed: int, epoch: int
+) -> DataFrame:
+    """Photometric choices per patch: noise level, light, dropped channels, holes.
+
+    Made once per patch, so that pixels carry a few plain numbers instead of dozens of hashes.
+    """
+    draw = Draws(seed, epoch)
+
+    def side(purpose: int, k: Column) -> Column:
+        return F.least(
+            F.lit(size), HOLE_SIDE[0] + draw.below(HOLE_SIDE[1] - HOLE_SIDE[0] + 1, purpose, k))
+
+    def hole(k: Column) -> Column:
+        height, width = side(HOLE_H, k), side(HOLE_W, k)
+        return F.struct(
+            draw.below(F.lit(size) - height + 1, HOLE_Y, k).alias("top"),
+            draw.below(F.lit(size) - width + 1, HOLE_X, k).alias("left"),
+            height.alias("height"), width.alias("width"),
+        )
+
+    first = draw.below(channels, DROP_FIRST)
+    second = (first + 1 + draw.below(max(1, channels - 1), DROP_SECOND)) % channels
+    two = draw.below(MAX_CHANNELS_DROPPED, DROP_COUNT) == 1
+    dropped = F.when(two, F.array(first, second)).otherwise(F.array(first))
+    none = F.array().cast("array<int>")
+    count = F.when(draw.u(HOLES) < P_HOLES, draw.below(MAX_HOLES, HOLE_COUNT) + 1).otherwise(0)
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(MAX_HOLES - 1)), lambda k: k < F.col("_holes"))
+    return (
+        patches.select(*PATCH_KEY)
+        .withColumn("noise_std", F.when(
+            draw.u(NOISE) < P_NOISE, draw.span(*NOISE_STD, NOISE_LEVEL)))
+        .withColumn("lit", draw.u(LIGHT) < P_LIGHT)
+        .withColumn("contrast", 1 + draw.span(-LIGHT_LIMIT, LIGHT_LIMIT, CONTRAST))
+        .withColumn("brightness", draw.span(-LIGHT_LIMIT, LIGHT_LIMIT, BRIGHTNESS))
+        .withColumn("dropped", F.when(draw.u(DROP) < P_CHANNEL_DROP, dropped).otherwise(none))
+        .withColumn("_holes", count)
+        .withColumn("holes", F.transform(numbers, hole))
+        .drop("_holes")
+    )
+
+
 def augment_strong(
-    pixels: DataFrame, size: int, channels: int, seed: int, epoch: int
+    pixels: DataFrame, plan: DataFrame, channels: int, seed: int, epoch: int
 ) -> DataFrame:
-    """Noise, light, dropped channels and holes on `norm`; the geometry stays as it is."""
-    dice = Draws(seed, epoch)
+    """Noise, light, dropped channels and holes on `norm`; the geometry stays as it is.
+
+    `plan` is `strong_plan` of the patches. Noise depends on the pixel's place in its patch.
+    """
     dy, dx = F.col("dy"), F.col("dx")
 
     def clip(v: Column) -> Column:
         return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
 
-    noisy = dice.u(NOISE) < P_NOISE
-    std = dice.span(*NOISE_STD, NOISE_LEVEL)
-    lit = dice.u(LIGHT) < P_LIGHT
-    contrast = 1 + dice.span(-LIGHT_LIMIT, LIGHT_LIMIT, CONTRAST)
-    brightness = dice.span(-LIGHT_LIMIT, LIGHT_LIMIT, BRIGHTNESS)
-    drop = dice.u(DROP) < P_CHANNEL_DROP
-    drop_two = dice.below(MAX_CHANNELS_DROPPED, DROP_COUNT) == 1
-    first = dice.below(channels, DROP_FIRST)
-    second = (first + 1 + dice.below(max(1, channels - 1), DROP_SECOND)) % channels
-
-    holes = F.lit(False)
-    for k in range(MAX_HOLES):
-        height = F.least(
-            F.lit(size), HOLE_SIDE[0] + dice.below(HOLE_SIDE[1] - HOLE_SIDE[0] + 1, HOLE_H, k))
-        width = F.least(
-            F.lit(size), HOLE_SIDE[0] + dice.below(HOLE_SIDE[1] - HOLE_SIDE[0] + 1, HOLE_W, k))
-        top = dice.below(F.lit(size) - height + 1, HOLE_Y, k)
-        left = dice.below(F.lit(size) - width + 1, HOLE_X, k)
-        inside = (dy >= top) & (dy < top + height) & (dx >= left) & (dx < left + width)
-        holes = holes | ((dice.below(MAX_HOLES, HOLE_COUNT) >= k) & inside)
-    holed = (dice.u(HOLES) < P_HOLES) & holes
+    def noise(band: int) -> Column:
+        def draw(part: int) -> Column:
+            key = F.xxhash64(F.lit(seed), F.lit(epoch), *PATCH_KEY, dy, dx, F.lit(band), F.lit(part))
+            return (F.pmod(key, F.lit(1 << 40)).cast("double") + 1) / float(1 << 40)
+
+        return F.sqrt(-2 * F.ln(draw(0))) * F.cos(2 * F.pi() * draw(1))
 
+    holed = F.lit(False)
+    for k in range(MAX_HOLES):
+        h = F.get("holes", k)
+        holed = holed | (
+            h.isNotNull() & (dy >= h["top"]) & (dy < h["top"] + h["height"])
+            & (dx >= h["left"]) & (dx < h["left"] + h["width"])
+        )
     bands = []
     for b in range(channels):
         v = F.get("norm", b)
-        v = F.when(noisy, clip(v + std * dice.normal(NOISE_VALUE, dy, dx, b))).otherwise(v)
-        v = F.when(lit, clip(v * contrast + brightness)).otherwise(v)
-        dropped = drop & ((first == b) | (drop_two & (second == b)))
-        bands.append(F.when(dropped | holed, 0.0).otherwise(v))
-    return pixels.withColumn("norm", F.array(*bands))
+        v = F.when(F.col("noise_std").isNotNull(), clip(v + F.col("noise_std") * noise(b))).otherwise(v)
+        v = F.when(F.col("lit"), clip(v * F.col("contrast") + F.col("brightness"))).otherwise(v)
+        blank = F.array_contains("dropped", b) | holed
+        bands.append(F.when(blank, 0.0).otherwise(v))
+    planned = [c for c in plan.columns if c not in PATCH_KEY]
+    return pixels.join(broadcast_if_small(plan), PATCH_KEY).withColumn(
+        "norm", F.array(*bands)
+    ).drop(*planned)
 
 
 # ---- donors ----
@@ -190,14 +226,14 @@ def donors(
     `require` is a predicate over `labeled_px` and `target_px` of the candidate window; the first
     of eight candidates that passes is taken, a patch without one has no row.
     """
-    dice = Draws(seed, epoch)
+    draw = Draws(seed, epoch)
     shape = broadcast_if_small(scenes.select("image_id", "height", "width"))
     attempts = range(DONOR_ATTEMPTS if require is not None else 1)
     tries = F.explode(F.array(*[
         F.struct(
             F.lit(slot).alias("slot"), F.lit(k).alias("attempt"),
-            dice.below(F.col("height") - size + 1, DONOR_Y, slot, k).alias("oy"),
-            dice.below(F.col("width") - size + 1, DONOR_X, slot, k).alias("ox"),
+            draw.below(F.col("height") - size + 1, DONOR_Y, slot, k).alias("oy"),
+            draw.below(F.col("width") - size + 1, DONOR_X, slot, k).alias("ox"),
         )
         for slot in slots for k in attempts
     ]))
@@ -224,44 +260,44 @@ def _with_donors(plan: DataFrame, found: DataFrame, slots: tuple[int, ...]) -> D
 
 def mosaic(plan: DataFrame, found: DataFrame, size: int, seed: int, epoch: int) -> DataFrame:
     """Own top-left quadrant, three donors for the others, split in the middle half."""
-    dice = Draws(seed, epoch)
+    draw = Draws(seed, epoch)
     quarter = size // 4
     room = size - 2 * quarter + 1
     return (
         _with_donors(plan, found, MOSAIC_SLOTS)
-        .withColumn("mosaic", dice.u(MOSAIC) < P_MOSAIC)
-        .withColumn("split_y", quarter + dice.below(room, SPLIT_Y))
-        .withColumn("split_x", quarter + dice.below(room, SPLIT_X))
+        .withColumn("mosaic", draw.u(MOSAIC) < P_MOSAIC)
+        .withColumn("split_y", quarter + draw.below(room, SPLIT_Y))
+        .withColumn("split_x", quarter + draw.below(room, SPLIT_X))
     )
 
 
 def cutmix(plan: DataFrame, found: DataFrame, size: int, seed: int, epoch: int) -> DataFrame:
     """A box of 5-35 % of the area from a donor, at the same coordinates."""
-    dice = Draws(seed, epoch)
-    area = dice.span(*CUTMIX_AREA, BOX_AREA) * (size * size)
-    aspect = dice.span(*CUTMIX_ASPECT, BOX_ASPECT)
+    draw = Draws(seed, epoch)
+    area = draw.span(*CUTMIX_AREA, BOX_AREA) * (size * size)
+    aspect = draw.span(*CUTMIX_ASPECT, BOX_ASPECT)
 
     def side(value: Column) -> Column:
         return F.least(F.lit(size), F.greatest(F.lit(1), F.rint(F.sqrt(value)).cast("int")))
 
     return (
         _with_donors(plan, found, (CUTMIX_SLOT,))
-        .withColumn("cutmix", dice.u(CUTMIX) < P_CUTMIX)
+        .withColumn("cutmix", draw.u(CUTMIX) < P_CUTMIX)
         .withColumn("box_h", side(area / aspect))
         .withColumn("box_w", side(area * aspect))
-        .withColumn("box_y", dice.below(F.lit(size) - F.col("box_h") + 1, BOX_Y))
-        .withColumn("box_x", dice.below(F.lit(size) - F.col("box_w") + 1, BOX_X))
+        .withColumn("box_y", draw.below(F.lit(size) - F.col("box_h") + 1, BOX_Y))
+        .withColumn("box_x", draw.below(F.lit(size) - F.col("box_w") + 1, BOX_X))
     )
 
 
 def copy_paste(plan: DataFrame, found: DataFrame, seed: int, epoch: int) -> DataFrame:
     """Target pixels of a donor, randomly flipped; never onto excluded ground."""
-    dice = Draws(seed, epoch)
+    draw = Draws(seed, epoch)
     return (
         _with_donors(plan, found, (PASTE_SLOT,))
-        .withColumn("paste", dice.u(PASTE) < P_COPY_PASTE)
-        .withColumn("paste_h", dice.u(PASTE_H) < 0.5)
-        .withColumn("paste_v", dice.u(PASTE_V) < 0.5)
+        .withColumn("paste", draw.u(PASTE) < P_COPY_PASTE)
+        .withColumn("paste_h", draw.u(PASTE_H) < 0.5)
+        .withColumn("paste_v", draw.u(PASTE_V) < 0.5)
     )
 
 

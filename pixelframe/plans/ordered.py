@@ -13,24 +13,32 @@ from pyspark.sql import functions as F
 BUCKET = "_bucket"
 
 
-def running_totals(
+FOLDS = {
+    "sum": (F.sum, lambda before, here: F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0))),
+    "max": (F.max, lambda before, here: F.greatest(before, here)),
+    "min": (F.min, lambda before, here: F.least(before, here)),
+}
+
+
+def running(
     df: DataFrame,
     keys: Sequence[str],
     bucket: Column,
     order: Sequence[Column],
-    sums: dict[str, Column],
+    folds: dict[str, tuple[str, Column]],
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Add inclusive running sums per `keys` in (`bucket`, `order`) order.
+    """Add running folds ("sum", "max", "min") per `keys` in (`bucket`, `order`) order.
 
     `bucket` must not decrease along `order`, and (`keys`, `bucket`) should hold a bounded number
-    of rows: it is the unit one task sorts.
+    of rows: it is the unit one task sorts. With `inclusive=False` a row sees earlier rows only.
     """
     keys = list(keys)
     parts = df.withColumn(BUCKET, bucket)
-    for name, value in sums.items():
-        parts = parts.withColumn(f"_add_{name}", value)
+    for name, (_, value) in folds.items():
+        parts = parts.withColumn(f"_in_{name}", value)
     totals = parts.groupBy(*keys, BUCKET).agg(
-        *[F.sum(f"_add_{name}").alias(f"_sum_{name}") for name in sums]
+        *[FOLDS[how][0](f"_in_{name}").alias(f"_all_{name}") for name, (how, _) in folds.items()]
     )
     earlier = (
         Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -38,25 +46,37 @@ def running_totals(
     offsets = totals.select(
         *keys, BUCKET,
         *[
-            F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}")
-            for name in sums
+            FOLDS[how][0](f"_all_{name}").over(earlier).alias(f"_before_{name}")
+            for name, (how, _) in folds.items()
         ],
     )
     within = (
         Window.partitionBy(*keys, BUCKET)
         .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     )
     joined = parts.join(offsets, [*keys, BUCKET])
-    for name in sums:
+    for name, (how, _) in folds.items():
+        fold, combine = FOLDS[how]
         joined = joined.withColumn(
-            name, F.sum(f"_add_{name}").over(within) + F.col(f"_before_{name}")
+            name, combine(F.col(f"_before_{name}"), fold(f"_in_{name}").over(within))
         )
     return joined.drop(
-        BUCKET, *[f"_add_{n}" for n in sums], *[f"_before_{n}" for n in sums]
+        BUCKET, *[f"_in_{n}" for n in folds], *[f"_before_{n}" for n in folds]
     )
 
 
+def running_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: Column,
+    order: Sequence[Column],
+    sums: dict[str, Column],
+) -> DataFrame:
+    """Inclusive running sums; see `running`."""
+    return running(df, keys, bucket, order, {name: ("sum", v) for name, v in sums.items()})
+
+
 def take_lowest(
     df: DataFrame,
     keys: Sequence[str],
