@@ -109,6 +109,17 @@ def _(spark, sf):
     return labels.edit_diff(view(spark, sf, "edits"), view(spark, sf, "scenes"))
 
 
+# Every fifth event is an undo. The stack is sequential, so no SQL stands beside this one; the tests
+# compare it with a step-by-step replay.
+@query("l9_undo")
+def _(spark, sf):
+    from pixelframe.operators.undo import replay_with_undo
+
+    edits = view(spark, sf, "edits")
+    kind = F.when(F.col("seq") % 5 == 3, "undo").otherwise(F.col("kind"))
+    return replay_with_undo(edits.withColumn("kind", kind), view(spark, sf, "scenes"))
+
+
 @query("l10_clear", """
 select d.image_id, d.seq, count(*) as cleared_px from diffs d join clear_rows c using (image_id, seq)
 group by d.image_id, d.seq""")

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import blake2b_hex
 from ..plans.ordered import take_lowest
-from ..plans.sizing import broadcast_if_small
 from ..schema import ROLES, VALIDATION_RATIO
 
 PREFIX = 4
@@ -28,18 +27,16 @@ def base_validation(
 ) -> DataFrame:
     """The int(ratio * N) lowest-ranked names of each project.
 
-    Digest prefixes spread the names evenly, so only the prefix at the cut is ranked, however
+    Names are unique per project. Digest prefixes spread them evenly, so only the prefix at the cut is ranked, however
     many names one project has.
     """
     keyed = names if project else names.withColumn("_project", F.lit(0))
     key = project or "_project"
-    ranked = keyed.select(key, "name").distinct().withColumn("rank", split_rank("name", algo))
-    sizes = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    share = F.floor(F.lit(float(ratio)).cast("double") * F.col("_n"))
-    sized = ranked.join(broadcast_if_small(sizes), key)
+    ranked = keyed.select(key, "name").withColumn("rank", split_rank("name", algo))
+    share = F.floor(F.lit(float(ratio)).cast("double") * F.col("group_rows"))
     low = take_lowest(
-        sized, [key], F.substring("rank", 1, PREFIX), [F.col("rank"), F.col("name")], share
-    ).drop("_n")
+        ranked, [key], F.substring("rank", 1, PREFIX), [F.col("rank"), F.col("name")], share
+    )
     return low if project else low.drop("_project")
 
 
@@ -61,7 +58,7 @@ def effective_split(
     chosen = overrides.select(*keys, F.col("role").alias("override_role"))
     chosen = chosen.filter(F.col("override_role").isin(*ROLES))
     return (
-        names.select(*keys).distinct()
+        names.select(*keys)
         .join(base, keys, "left")
         .join(chosen, keys, "left")
         .select(*keys, F.coalesce("override_role", "base_role", F.lit("training")).alias("role"))

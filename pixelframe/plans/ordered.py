@@ -87,22 +87,24 @@ def take_lowest(
     """The first `limit` rows per `keys` in (`bucket`, `order`) order.
 
     Buckets beyond the cut are dropped on their counts alone, before any sort; what is ranked, one
-    bucket at a time, is at most `limit` rows and the bucket the cut falls into. `limit` may use any
-    column of `df` that is constant per key.
+    bucket at a time, is at most `limit` rows and the bucket the cut falls into. `limit` may use the
+    keys and `group_rows`, the number of rows of the key.
     """
     keys = list(keys)
-    parts = df.withColumn(BUCKET, bucket).withColumn("_limit", limit)
+    parts = df.withColumn(BUCKET, bucket)
     counts = parts.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_in"))
-    earlier = (
-        Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    spans = counts.select(
-        *keys, BUCKET, F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before")
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    spans = (
+        counts.withColumn("_before", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
+        .withColumn("group_rows", F.sum("_in").over(group))
+        .withColumn("_limit", limit)
+        .filter(F.col("_before") < F.col("_limit"))
+        .select(*keys, BUCKET, "_before", "_limit")
     )
     rank = F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy(*order))
     return (
         parts.join(spans, [*keys, BUCKET])
-        .filter(F.col("_before") < F.col("_limit"))
         .withColumn("_rank", rank)
         .filter(F.col("_rank") + F.col("_before") <= F.col("_limit"))
         .drop(BUCKET, "_limit", "_before", "_rank")
