@@ -103,7 +103,7 @@ from unit_dims u join cell_refs r using (i) group by r.sample_id, r.positive, u.
 def _vectors(spark, sf):
     grid = view(spark, sf, "grid_vec")
     return grid.select(
-        F.lit(0).alias("image_id"), "vec_id", "gy", "gx",
+        F.floor(F.col("vec_id") / 1_000_000_000).cast("int").alias("image_id"), "vec_id", "gy", "gx",
         F.col("vec").cast("array<double>").alias("vec"),
     )
 

@@ -300,7 +300,7 @@ from corner left join g using (gy, gx) group by event_id"""
 
 def _grid_field(spark, sf):
     return view(spark, sf, "grid_vec").select(
-        F.lit(0).alias("image_id"), "gy", "gx", F.get("vec", 0).cast("double").alias("v")
+        F.floor(F.col("vec_id") / 1_000_000_000).cast("int").alias("image_id"), "gy", "gx", F.get("vec", 0).cast("double").alias("v")
     )
 
 
@@ -313,7 +313,8 @@ def _grid_shape(spark, sf):
 @query("i9_sample_bilinear", BILINEAR)
 def _(spark, sf):
     points = table(spark, sf, "events").select(
-        F.lit(0).alias("image_id"), F.col("event_id").alias("point_id"),
+        F.floor(F.col("event_id") / 1_000_000_000).cast("int").alias("image_id"),
+        F.col("event_id").alias("point_id"),
         ((F.col("event_id") % 97) / 96.0).alias("u"),
         ((F.col("event_id") * 31 % 89) / 88.0).alias("w"),
     )

@@ -123,20 +123,32 @@ def center_unit(features: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> D
     """`unit`: vectors minus the mean vector of their scene, at unit length."""
     keys = list(keys)
     if not keys:
-        return center_unit(features.withColumn("_all", F.lit(0)), ("_all",)).drop("_all")
+        return _center_all(features)
     dims = features.select(*keys, F.posexplode("vec").alias("i", "v"))
     means = dims.groupBy(*keys, "i").agg(F.avg("v").alias("m"))
     mean = broadcast_if_small(means.groupBy(*keys).agg(ordered_values("i", "m").alias("mean")))
-    centred = features.join(mean, keys)
-    centred = centred.withColumn("c", F.zip_with("vec", "mean", lambda v, m: v - m))
+    return _unit(features.join(mean, keys)).drop("mean")
+
+
+def _unit(features: DataFrame) -> DataFrame:
+    centred = features.withColumn("c", F.zip_with("vec", "mean", lambda v, m: v - m))
     length = F.greatest(norm("c"), F.lit(NORM_FLOOR))
     return (
         centred.withColumn("length", length)
         .withColumn("unit", F.transform("c", lambda v: v / F.col("length")))
-        .drop("mean", "c", "length")
+        .drop("c", "length")
     )
 
 
+def _center_all(features: DataFrame) -> DataFrame:
+    """One mean for the whole table: a single short vector, sent along as a constant."""
+    dims = features.select(F.posexplode("vec").alias("i", "v"))
+    means = dims.groupBy("i").agg(F.avg("v").alias("m"))
+    mean = means.agg(ordered_values("i", "m").alias("mean")).first()["mean"]
+    constant = F.lit([float(v) for v in mean]).cast("array<double>")
+    return _unit(features.withColumn("mean", constant)).drop("mean")
+
+
 def cell_of(samples: DataFrame, shape: DataFrame) -> DataFrame:
     """Grid cell of each sample by proportional scaling; `shape` has gh, gw, height, width."""
     sized = samples.join(

@@ -12,7 +12,12 @@ from pixelframe.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", shuffle_partitions=4)
+    # Tiny inputs: compiling each plan would cost more than running it. contract/check.py and
+    # bench.py run the same queries with code generation on.
+    session = local_session(
+        "8", shuffle_partitions=4,
+        spark__sql__codegen__wholeStage="false", spark__sql__codegen__factoryMode="NO_CODEGEN",
+    )
     yield session
     session.stop()
 
