@@ -12,6 +12,7 @@ from ..functions.hashing import between, integer_below, mixed, uniform
 from ..plans.ordered import running_totals
 from ..plans.sizing import broadcast_if_small
 from ..schema import EXCLUDED, PIXEL_KEY, TARGET, TRAIN_BATCH, UNLABELED
+from ..session import cut
 from .tiling import PATCH_KEY
 
 # Probabilities and ranges of the augmentations.
@@ -375,12 +376,15 @@ def compose(
     """
     integral = label_integral(px.select(*PIXEL_KEY, "mask"))
     require = F.col("labeled_px") > 0 if prefer_labeled else None
-    mixing = donors(
+    if prefer_labeled:
+        integral = cut(integral)  # looked up by both kinds of donor
+    # Donors are one row per patch and slot; several mixes read them.
+    mixing = cut(donors(
         patches, scenes, size, (*MOSAIC_SLOTS, CUTMIX_SLOT), seed, epoch, require, integral
-    )
-    pasting = donors(
+    ))
+    pasting = cut(donors(
         patches, scenes, size, (PASTE_SLOT,), seed, epoch, F.col("target_px") > 0, integral
-    )
+    ))
     plan = mosaic(patches.select(*PATCH_KEY), mixing, size, seed, epoch)
     plan = cutmix(plan, mixing, size, seed, epoch)
     plan = copy_paste(plan, pasting, seed, epoch)
