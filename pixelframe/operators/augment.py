@@ -231,16 +231,21 @@ def donors(
     shape = broadcast_if_small(scenes.select("image_id", "height", "width"))
     attempts = range(DONOR_ATTEMPTS if require is not None else 1)
     tries = F.explode(F.array(*[
-        F.struct(
-            F.lit(slot).alias("slot"), F.lit(k).alias("attempt"),
-            draw.below(F.col("height") - size + 1, DONOR_Y, slot, k).alias("oy"),
-            draw.below(F.col("width") - size + 1, DONOR_X, slot, k).alias("ox"),
-        )
+        F.struct(F.lit(slot).alias("slot"), F.lit(k).alias("attempt"))
         for slot in slots for k in attempts
     ]))
-    candidates = patches.select(*PATCH_KEY).join(shape, "image_id").select(
-        *PATCH_KEY, tries.alias("t")
-    ).select(*PATCH_KEY, "t.slot", "t.attempt", "t.oy", "t.ox")
+
+    def start(extent: str, purpose: int) -> Column:
+        room = F.col(extent) - size + 1
+        return draw.below(room, purpose, F.col("slot"), F.col("attempt"))
+
+    candidates = (
+        patches.select(*PATCH_KEY).join(shape, "image_id")
+        .withColumn("t", tries)
+        .select(*PATCH_KEY, "height", "width", "t.slot", "t.attempt")
+        .select(*PATCH_KEY, "slot", "attempt",
+                start("height", DONOR_Y).alias("oy"), start("width", DONOR_X).alias("ox"))
+    )
     if require is not None:
         candidates = window_label_stats(candidates, integral, size).filter(require)
     place = F.min_by(F.struct("oy", "ox"), "attempt")
