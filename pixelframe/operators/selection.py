@@ -306,12 +306,13 @@ def select(
         kept = nearest(region, seeds, budget)
     else:
         kept = regions.grow(region, seeds, budget)
-    return _finish(kept, region, protect, norm_px, budget)
+    return _finish(kept, region, seeds, protect, norm_px, budget)
 
 
 def _finish(
     kept: DataFrame,
     region: DataFrame,
+    seeds: DataFrame,
     protect: DataFrame | None,
     px: DataFrame,
     budget: int | None,
@@ -327,8 +328,9 @@ def _finish(
         withheld = united.join(drawn, PIXEL_KEY, "left_semi")
     per_sample = region.groupBy("sample_id").count()
     over = F.lit(False) if budget is None else F.coalesce(F.max("count") > budget, F.lit(False))
-    touched = kept.select("image_id").distinct()
-    valid = px.join(broadcast_if_small(touched), "image_id", "left_semi").agg(
+    # Every clicked pixel is selected, so the scenes of the clicks are the scenes of the selection.
+    clicked = seeds.select("image_id").distinct()
+    valid = px.join(broadcast_if_small(clicked), "image_id", "left_semi").agg(
         F.count_if("valid").alias("valid")
     )
     parts = [
