@@ -1,10 +1,12 @@
 """The registered queries of this subpackage and the SQL that stands beside them."""
 
-from pixelframe.llm import linedup, quality_rules, secrets
+from pixelframe.llm import linedup, packing, quality_rules, secrets, warc
 
 QUERIES = {
+    "op2_packing": packing.query,
     "op3_line_dedup": linedup.query,
     "op4_quality_rules": quality_rules.query,
+    "op5_warc": warc.query,
     "op10_secret_scan": secrets.query,
 }
 
