@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and the SQL that stands beside them."""
 
-from pixelframe.llm import linedup, neardup, packing, quality_rules, secrets, warc
+from pixelframe.llm import decontaminate, linedup, neardup, packing, quality_rules, secrets, warc
 
 QUERIES = {
     "op2_packing": packing.query,
     "op3_line_dedup": linedup.query,
     "op4_quality_rules": quality_rules.query,
     "op5_warc": warc.query,
+    "op6_decontamination": decontaminate.query,
     "op8_near_duplicates": neardup.query,
     "op10_secret_scan": secrets.query,
 }
