@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL that stands beside them."""
 
-from pixelframe.llm import decontaminate, linedup, neardup, packing, quality_rules, secrets, warc
+from pixelframe.llm import classifier, decontaminate, linedup, neardup, packing, quality_rules, secrets, warc
 
 QUERIES = {
     "op2_packing": packing.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.query,
     "op5_warc": warc.query,
     "op6_decontamination": decontaminate.query,
+    "op7_quality_classifier": classifier.query,
     "op8_near_duplicates": neardup.query,
     "op10_secret_scan": secrets.query,
 }
