@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and the SQL that stands beside them."""
 
-from pixelframe.llm import classifier, decontaminate, linedup, neardup, packing, quality_rules, secrets, warc
+from pixelframe.llm import classifier, decontaminate, linedup, neardup, packing, quality_rules, secrets, substrings, warc
 
 QUERIES = {
+    "op1_suffix_dedup": substrings.query,
     "op2_packing": packing.query,
     "op3_line_dedup": linedup.query,
     "op4_quality_rules": quality_rules.query,
