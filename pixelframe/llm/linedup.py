@@ -57,28 +57,38 @@ def later_windows(docs: DataFrame) -> DataFrame:
     )
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept_text), a row for each row of `docs`."""
-    base = docs.select("doc_id", "text")
+def marked(docs: DataFrame) -> DataFrame:
+    """(row, n_lines, n_removed, kept_text): each row of `docs` as a struct with what is left of its text."""
     covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.array(p, p + 1, p + 2))))
     kept = F.expr("array_except(sequence(0, n_lines - 1), covered)")
     return (
-        base.join(later_windows(base).withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left")
-        .withColumn("ls", F.split("text", "\n", -1))
-        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("ls")))
+        docs.select(F.struct("*").alias("row"))
+        .join(later_windows(docs), F.col("row.doc_id") == F.col("doc_id"), "left")
+        .withColumn("ls", F.split("row.text", "\n", -1))
+        .withColumn("n_lines", F.when(F.col("row.text").isNull(), 0).otherwise(F.size("ls")))
         .withColumn("covered", covered)
         .select(
-            "doc_id",
+            "row",
             F.col("n_lines").cast("long").alias("n_lines"),
-            F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"),
-            F.when(F.col("at").isNull(), F.col("text"))
+            F.when(F.col("at").isNull() | F.col("row.text").isNull(), 0).otherwise(F.size("covered")).cast("long").alias("n_removed"),
+            F.when(F.col("at").isNull() | F.col("row.text").isNull(), F.col("row.text"))
             .otherwise(F.array_join(F.transform(kept, lambda i: F.get("ls", i)), "\n"))
             .alias("kept_text"),
         )
-        .withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
     )
 
 
+def line_dedup(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_removed, kept_text), a row for each row of `docs`."""
+    return marked(docs).select("row.doc_id", "n_lines", "n_removed", "kept_text")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """`docs` with the remaining lines as text, and n_chars counted anew where there is such a column."""
+    left = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    return marked(docs).select(*[left.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir))
 

@@ -208,5 +208,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs` whose document is the smallest of its group, all columns kept."""
+    others = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_other")).distinct()
+    return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

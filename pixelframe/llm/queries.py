@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL that stands beside them."""
 
-from pixelframe.llm import classifier, decontaminate, linedup, neardup, packing, quality_rules, secrets, substrings, warc
+from pixelframe.llm import classifier, decontaminate, linedup, neardup, packing, quality_rules, secrets, sitetree, substrings, warc
 
 QUERIES = {
     "op1_suffix_dedup": substrings.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_decontamination": decontaminate.query,
     "op7_quality_classifier": classifier.query,
     "op8_near_duplicates": neardup.query,
+    "op9_html_extraction": sitetree.query,
     "op10_secret_scan": secrets.query,
 }
 
