@@ -18,9 +18,11 @@ import base64
 import hashlib
 import uuid
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pixelframe.llm.common import table
 from pixelframe.session import cut, ensure_checkpoint_dir
@@ -180,8 +182,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return found.join(reachable_runs(found), ["file", "run"]).where("start >= entry").drop("run", "entry", "succ")
 
 
-@F.pandas_udf("string")
-def base32(digests):
+def base32(digests: pd.Series) -> pd.Series:
     return digests.map(lambda x: x and base64.b32encode(bytes.fromhex(x)).decode())
 
 
@@ -190,6 +191,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path).select(
-        F.col("page").alias("page_id"), F.col("length").alias("payload_bytes"), base32("sha1").alias("payload_digest"),
+        F.col("page").alias("page_id"), F.col("length").alias("payload_bytes"), F.pandas_udf(base32, StringType())("sha1").alias("payload_digest"),
         F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"), "sound",
     )
