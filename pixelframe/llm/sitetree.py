@@ -204,6 +204,7 @@ def low_branches(rows: pa.Table) -> pa.Table:
     for path, r in tree.items():
         kids.setdefault(r["parent"], []).append(path)
     worth: dict[int, float] = {}
+    low: dict[int, bool] = {}  # a branch is low if it and all below it are
     for path, r in sorted(tree.items(), key=lambda x: (-x[1]["depth"], x[0])):
         parts = [(tree[k]["pages"], worth[k]) for k in kids.get(path, []) if k in worth]
         if r["content"] is not None:
@@ -211,9 +212,11 @@ def low_branches(rows: pa.Table) -> pa.Table:
         share = DECAY ** len(kids.get(path, []))
         inner = sum(n * w for n, w in parts) / sum(n for n, _ in parts) if parts else r["layout"]
         worth[path] = inner if not kids.get(path) else (1 - share) * r["layout"] + share * inner
-    low = [p for p, w in worth.items() if w < LOW and tree[p]["pages"] >= LEAST_PAGES]
+        parts_low = [low[k] for k in kids.get(path, []) if k in low] + ([] if r["content"] is None else [r["content"] < LOW])
+        low[path] = worth[path] < LOW and all(parts_low) and r["pages"] >= LEAST_PAGES
+    noise = [p for p, is_low in low.items() if is_low]
     host = rows.column("host")[0].as_py()
-    return pa.table([pa.array([host], pa.string()), pa.array([low], pa.list_(pa.int64()))], names=["host", "noise"])
+    return pa.table([pa.array([host], pa.string()), pa.array([noise], pa.list_(pa.int64()))], names=["host", "noise"])
 
 
 def host_of(url: Column) -> Column:
