@@ -215,6 +215,7 @@ def _losses(spark, sf):
 
 cte("loss_rows", """
 select image_id, y, x, case when not valid or label = 255 then 255 when label <> 0 then 1 else 0 end as t,
+       valid and label = 255 as free,
        p0, p1, 1 / (1 + exp((z1 - z0) / 2)) as q0, 1 / (1 + exp((z0 - z1) / 2)) as q1
 from judged""")
 cte("ce_sql", """
@@ -247,11 +248,11 @@ select image_id, avg(loss) as lovasz from (
 group by image_id""")
 cte("pseudo_sql", """
 select image_id, coalesce(sum(case when q0 >= q1 then -ln(p0) else -ln(p1) end)
-                          filter (where t = 255 and greatest(q0, q1) > 0.6), 0)
-       / greatest(count(*) filter (where t = 255 and greatest(q0, q1) > 0.6), 1) as pseudo
+                          filter (where free and greatest(q0, q1) > 0.6), 0)
+       / greatest(count(*) filter (where free and greatest(q0, q1) > 0.6), 1) as pseudo
 from loss_rows group by image_id""")
 cte("cons_sql", """
-select image_id, coalesce(avg(((p0 - q0) ** 2 + (p1 - q1) ** 2) / 2) filter (where t = 255), 0) as cons
+select image_id, coalesce(avg(((p0 - q0) ** 2 + (p1 - q1) ** 2) / 2) filter (where free), 0) as cons
 from loss_rows group by image_id""")
 
 
@@ -280,9 +281,9 @@ def _(spark, sf):
 
 @query("e17_pseudo_labels", """
 select image_id, y, x, case when p0 >= p1 then 0 else 1 end as pseudo
-from judged where label = 255 and greatest(p0, p1) > 0.75""")
+from judged where valid and label = 255 and greatest(p0, p1) > 0.75""")
 def _(spark, sf):
-    return evaluate.pseudo_labels(judged(spark, sf), 0.75).select("image_id", "y", "x", "pseudo")
+    return evaluate.pseudo_labels(labels.collapse_labels(judged(spark, sf)), 0.75).select("image_id", "y", "x", "pseudo")
 
 
 @query("e18_consistency", "select image_id, round(cons, 9) as cons from cons_sql")

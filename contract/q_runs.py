@@ -134,7 +134,7 @@ select image_id, ty, tx, slot, oy, ox from (
   select *, row_number() over (partition by image_id, ty, tx, slot order by k) as rk
   from tries where slot < 5 and labeled_px > 60) where rk = 1""")
 def _(spark, sf):
-    integral = augment.label_integral(_masked(spark, sf))
+    integral = augment.label_integral(_masked(spark, sf), view(spark, sf, "scenes"))
     return augment.donors(
         _grid(spark, sf), view(spark, sf, "scenes"), PATCH, (1, 2, 3, 4), SEED, EPOCH,
         F.col("labeled_px") > 60, integral,
@@ -219,7 +219,7 @@ def _(spark, sf):
 @query("a7_copy_paste", _paste_sql("oy0", "ox0").replace("from paste_at p", "from own_px p"))
 def _(spark, sf):
     masked = _masked(spark, sf)
-    integral = augment.label_integral(masked)
+    integral = augment.label_integral(masked, view(spark, sf, "scenes"))
     found = augment.donors(
         _grid(spark, sf), view(spark, sf, "scenes"), PATCH, (augment.PASTE_SLOT,), SEED, EPOCH,
         F.col("target_px") > 0, integral,

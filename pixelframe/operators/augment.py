@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import between, integer_below, mixed, uniform
 from ..plans.ordered import running_totals
-from ..plans.sizing import broadcast_if_small
 from ..schema import EXCLUDED, PIXEL_KEY, TARGET, TRAIN_BATCH, UNLABELED
 from ..session import cut
 from .tiling import PATCH_KEY
@@ -169,7 +168,7 @@ def augment_strong(
         blank = F.array_contains("dropped", b) | holed
         bands.append(F.when(blank, 0.0).otherwise(v))
     planned = [c for c in plan.columns if c not in PATCH_KEY]
-    return pixels.join(broadcast_if_small(plan), PATCH_KEY).withColumn(
+    return pixels.join(plan, PATCH_KEY).withColumn(
         "norm", F.array(*bands)
     ).drop(*planned)
 
@@ -177,16 +176,22 @@ def augment_strong(
 # ---- donors ----
 
 
-def label_integral(masks: DataFrame) -> DataFrame:
-    """Summed-area table of labelled and target pixels over dense `(image_id, y, x, mask)` rows.
+def label_integral(masks: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Summed-area table of labelled and target pixels over `(image_id, y, x, mask)` rows.
 
-    Two windows, one along rows and one along columns; neither holds more than one line.
+    Pixels of a scene without a row count as unlabelled. Two windows, one along rows and one along columns; neither holds more than one line.
     """
     labeled = ((F.col("mask") != UNLABELED) & (F.col("mask") != EXCLUDED)).cast("long")
     target = (F.col("mask") == TARGET).cast("long")
     span = (Window.unboundedPreceding, Window.currentRow)
     along_x = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(*span)
     along_y = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(*span)
+    every = scenes.select(
+        "image_id", "width", F.explode(F.expr("sequence(0, height - 1)")).alias("y")
+    ).select("image_id", "y", F.explode(F.expr("sequence(0, width - 1)")).alias("x"))
+    masks = every.join(masks.select(*PIXEL_KEY, "mask"), PIXEL_KEY, "left").fillna(
+        UNLABELED, subset=["mask"]
+    )
     rows = masks.select(
         *PIXEL_KEY, F.sum(labeled).over(along_x).alias("l"), F.sum(target).over(along_x).alias("t")
     )
@@ -228,7 +233,7 @@ def donors(
     of eight candidates that passes is taken, a patch without one has no row.
     """
     draw = Draws(seed, epoch)
-    shape = broadcast_if_small(scenes.select("image_id", "height", "width"))
+    shape = scenes.select("image_id", "height", "width")
     attempts = range(DONOR_ATTEMPTS if require is not None else 1)
     tries = F.explode(F.array(*[
         F.struct(F.lit(slot).alias("slot"), F.lit(k).alias("attempt"))
@@ -379,7 +384,7 @@ def compose(
 
     `prefer_labeled` (the warm-up) asks for labelled donors in the first two.
     """
-    integral = label_integral(px.select(*PIXEL_KEY, "mask"))
+    integral = label_integral(px, scenes)
     require = F.col("labeled_px") > 0 if prefer_labeled else None
     if prefer_labeled:
         integral = cut(integral)  # looked up by both kinds of donor

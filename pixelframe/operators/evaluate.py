@@ -182,6 +182,10 @@ def ce(
     weights: Sequence[float] | None = CLASS_WEIGHTS,
 ) -> DataFrame:
     """Cross-entropy over labelled pixels; `weights=None` divides by the pixel count."""
+    return rows.groupBy(*keys).agg(_ce(weights).alias("ce"))
+
+
+def _ce(weights: Sequence[float] | None = CLASS_WEIGHTS) -> Column:
     loss = F.when(_labeled(), _log_loss(F.col("label")))
     if weights is None:
         top, bottom = F.coalesce(F.sum(loss), F.lit(0.0)), F.greatest(F.count(loss), F.lit(1))
@@ -190,7 +194,7 @@ def ce(
                                           F.col("label")))
         top = F.coalesce(F.sum(weight * loss), F.lit(0.0))
         bottom = F.greatest(F.coalesce(F.sum(weight), F.lit(0.0)), F.lit(1e-6))
-    return rows.groupBy(*keys).agg((top / bottom).alias("ce"))
+    return top / bottom
 
 
 def dice(
@@ -200,26 +204,30 @@ def dice(
 
     A class without a true pixel contributes 0.
     """
+    return rows.groupBy(*keys).agg(_dice(classes).alias("dice"))
+
+
+def _dice(classes: int = 2) -> Column:
     terms = []
     for c in range(classes):
         p = F.when(_labeled(), F.get("probs", c))
         t = F.when(_labeled(), (F.col("label") == c).cast("double"))
         loss = 1 - F.try_divide(2 * F.sum(p * t), F.sum(p + t))
         terms.append(F.when(F.coalesce(F.sum(t), F.lit(0.0)) > 0, loss).otherwise(0.0))
-    mean = sum(terms[1:], terms[0]) / classes
-    return rows.groupBy(*keys).agg(mean.alias("dice"))
+    return sum(terms[1:], terms[0]) / classes
 
 
 def lovasz(
     rows: DataFrame,
     keys: Sequence[str] = ("image_id",),
     classes: int = 2,
-    buckets: int = 4096,
+    buckets: int = 64,
 ) -> DataFrame:
     """Lovasz-Softmax, averaged over the classes present.
 
     Pixels with equal error telescope into one step of the Jaccard curve, so they are counted
-    first; the running sums over the remaining distinct errors are split over error buckets.
+    first; the running sums over the remaining distinct errors are split over buckets, whose edges
+    come from a quantile sketch, so that errors in a narrow range are spread as well.
     """
     keys = list(keys)
     per_class = F.explode(F.array(*[
@@ -237,8 +245,14 @@ def lovasz(
         .agg(F.count(F.lit(1)).alias("n"), F.sum("e.fg").alias("fg"))
     )
     totals = steps.groupBy(*keys, "cls").agg(F.sum("fg").alias("gts"))
+    cuts = [k / buckets for k in range(1, buckets)]
+    edges = steps.groupBy(*keys, "cls").agg(
+        F.percentile_approx("err", F.lit(cuts), 16 * buckets).alias("_edges")
+    )
+    place = -F.size(F.filter("_edges", lambda e: e < F.col("err")))
+    placed = steps.join(edges, [*keys, "cls"]).withColumn("_place", place).drop("_edges")
     walked = running_totals(
-        steps, [*keys, "cls"], -F.floor(F.col("err") * buckets), [F.desc("err")],
+        placed, [*keys, "cls"], F.col("_place"), [F.desc("err")],
         {"upto": F.col("n"), "fg_upto": F.col("fg")},
     ).join(totals.filter("gts > 0"), [*keys, "cls"])
 
@@ -256,31 +270,45 @@ def lovasz(
     )
 
 
+def _unlabeled() -> Column:
+    """By `mask`, in which nodata is excluded rather than unlabelled."""
+    return F.col("mask") == UNLABELED
+
+
 def pseudo_labels(rows: DataFrame, threshold: float = CONFIDENCE) -> DataFrame:
-    """Unlabelled pixels the model is sure about, with the winning class as `pseudo`."""
-    return rows.filter(
-        (F.col("label") == UNLABELED) & (F.array_max("probs") > threshold)
-    ).withColumn("pseudo", argmax("probs"))
+    """Unlabelled pixels the model is sure about, with the winning class as `pseudo`.
+
+    Rows carry `mask` as `collapse_labels` gives it, so a pixel without data is never taken.
+    """
+    return rows.filter(_unlabeled() & (F.array_max("probs") > threshold)).withColumn(
+        "pseudo", argmax("probs")
+    )
 
 
 def consistency(rows: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Mean over unlabelled pixels of the squared difference of two views' probabilities.
 
-    Rows carry `label`, `weak_probs` and `strong_probs`; no unlabelled pixel gives 0.
+    Rows carry `mask`, `weak_probs` and `strong_probs`; no unlabelled pixel gives 0.
     """
+    return rows.groupBy(*keys).agg(_consistency().alias("cons"))
+
+
+def _consistency() -> Column:
     diff = mean_square_difference("strong_probs", "weak_probs")
-    mean = F.avg(F.when(F.col("label") == UNLABELED, diff))
-    return rows.groupBy(*keys).agg(F.coalesce(mean, F.lit(0.0)).alias("cons"))
+    return F.coalesce(F.avg(F.when(_unlabeled(), diff)), F.lit(0.0))
 
 
 def pseudo_ce(
     rows: DataFrame, keys: Sequence[str] = ("image_id",), threshold: float = CONFIDENCE
 ) -> DataFrame:
     """Unweighted cross-entropy of the strong view against the weak view's sure guesses."""
-    sure = (F.col("label") == UNLABELED) & (F.array_max("weak_probs") > threshold)
+    return rows.groupBy(*keys).agg(_pseudo_ce(threshold).alias("pseudo"))
+
+
+def _pseudo_ce(threshold: float) -> Column:
+    sure = _unlabeled() & (F.array_max("weak_probs") > threshold)
     loss = F.when(sure, -F.ln(F.get("strong_probs", argmax("weak_probs"))))
-    mean = F.coalesce(F.sum(loss), F.lit(0.0)) / F.greatest(F.count(loss), F.lit(1))
-    return rows.groupBy(*keys).agg(mean.alias("pseudo"))
+    return F.coalesce(F.sum(loss), F.lit(0.0)) / F.greatest(F.count(loss), F.lit(1))
 
 
 def total_loss(
@@ -291,17 +319,16 @@ def total_loss(
 ) -> DataFrame:
     """Supervised losses plus ramped pseudo-label and consistency terms.
 
-    Rows carry `label`, `strong_probs` (the supervised prediction) and `weak_probs`. The
+    Rows carry `label`, `mask`, `strong_probs` (the supervised prediction) and `weak_probs`. The
     supervised terms are 0 where nothing is labelled.
     """
     keys = list(keys)
     supervised = rows.withColumn("probs", F.col("strong_probs"))
     parts = (
-        ce(supervised, keys)
-        .join(dice(supervised, keys), keys)
+        supervised.groupBy(*keys)
+        .agg(_ce().alias("ce"), _dice().alias("dice"),
+             _pseudo_ce(threshold).alias("pseudo"), _consistency().alias("cons"))
         .join(lovasz(supervised, keys), keys, "left")
-        .join(pseudo_ce(rows, keys, threshold), keys)
-        .join(consistency(rows, keys), keys)
         .fillna(0.0, subset=["lovasz"])
     )
     ramp = ramp if isinstance(ramp, Column) else F.lit(float(ramp))

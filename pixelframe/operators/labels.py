@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordered import lag_in_chunks, running_totals
-from ..plans.sizing import broadcast_if_small
 from ..schema import BACKGROUND, EXCLUDED, PIXEL_KEY, TARGET, UNLABELED
 
 EDIT_CHUNK = 1024
@@ -50,7 +49,7 @@ def _span(low: Column, high: Column) -> Column:
 def stamp(edits: DataFrame, scenes: DataFrame) -> DataFrame:
     """Pixels of each disc edit: integer positions within `r` of the pointer, inside the scene."""
     sized = edits.join(
-        broadcast_if_small(scenes.select("image_id", "height", "width")), "image_id"
+        scenes.select("image_id", "height", "width"), "image_id"
     )
     return stamp_sized(sized)
 
@@ -116,11 +115,12 @@ def polygon_edges(polygons: DataFrame) -> DataFrame:
 def fill_polygons(polygons: DataFrame, scenes: DataFrame) -> DataFrame:
     """Even-odd fill at row centres, spans rounded half up, clipped to the scene.
 
-    Crossings are paired per scanline, so the sorted group is one scanline of one polygon.
+    Crossings are paired per scanline, so the sorted group is one scanline of one polygon; spans of
+    sorted crossings, rounded monotonously, do not overlap.
     """
     key = ["image_id", "poly_id", "y"]
     edges = polygon_edges(polygons).join(
-        broadcast_if_small(scenes.select("image_id", "height", "width")), "image_id"
+        scenes.select("image_id", "height", "width"), "image_id"
     )
     top, bottom = F.least("ay", "by"), F.greatest("ay", "by")
     rows = _span(
@@ -147,7 +147,7 @@ def fill_polygons(polygons: DataFrame, scenes: DataFrame) -> DataFrame:
     span = _span(
         F.greatest(F.lit(0), half_up("x1")), F.least(F.col("width") - 1, half_up("x2") - 1)
     )
-    return paired.withColumn("x", F.explode(span)).select(*key, "x").distinct()
+    return paired.withColumn("x", F.explode(span)).select(*key, "x")
 
 
 # ---- replay ----
@@ -173,7 +173,7 @@ def replay(pixels: DataFrame, clears: DataFrame) -> DataFrame:
     last = pixels.groupBy(*PIXEL_KEY).agg(
         F.max("seq").alias("seq"), F.max_by("value", "seq").alias("label")
     )
-    kept = last.join(broadcast_if_small(wiped), "image_id", "left").filter(
+    kept = last.join(wiped, "image_id", "left").filter(
         F.col("_wiped").isNull() | (F.col("seq") > F.col("_wiped"))
     )
     return kept.filter(F.col("label") != UNLABELED).select(*PIXEL_KEY, "label", "seq")

@@ -128,6 +128,7 @@ def self_train(
         .join(known, PIXEL_KEY, "left")
         .withColumn("label", F.coalesce("label", F.lit(255)))
         .filter("label = 255")
+        .withColumn("mask", F.col("label"))
     )
     rows, log, gate, streak = drawn, [], None, 0
     spark = norm_px.sparkSession

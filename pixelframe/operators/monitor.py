@@ -19,9 +19,12 @@ def gate(
 
     The gate opens after `patience` consecutive epochs at or above the threshold. A good epoch
     votes for itself and the next ones; an epoch with all votes closes a streak. Votes combine
-    map-side, so a run of any length needs no window.
+    map-side, so a run of any length needs no window. Of an epoch logged several times the least
+    value counts, and a missing one is least.
     """
-    good = epoch_log.filter(F.col("iou") >= threshold)
+    worst = F.min(F.coalesce(F.col("iou"), F.lit(-1.0))).alias("iou")
+    once = epoch_log.groupBy("run_id", "epoch").agg(worst)
+    good = once.filter(F.col("iou") >= threshold)
     votes = good.select(
         "run_id",
         F.explode(F.sequence(F.col("epoch"), F.col("epoch") + (patience - 1))).alias("epoch"),

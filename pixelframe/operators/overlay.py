@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.sizing import broadcast_if_small
 from ..schema import UNLABELED
 
 OVERLAY_ALPHA = 160
@@ -21,5 +20,5 @@ def colorize(pred: DataFrame, classes: DataFrame, alpha: int = OVERLAY_ALPHA) ->
     palette = classes.filter(F.col("id") != UNLABELED).select(
         F.col("id").alias("cls"), *channels.values(), F.lit(alpha).alias("alpha")
     )
-    painted = pred.join(broadcast_if_small(palette), "cls", "left")
+    painted = pred.join(palette, "cls", "left")
     return painted.fillna(0, subset=[*channels, "alpha"])

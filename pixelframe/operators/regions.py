@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import take_lowest
-from ..plans.sizing import broadcast_if_small, is_empty
+from ..plans.sizing import is_empty
 from ..session import cut
 
 BLOCK = 128
@@ -88,7 +88,7 @@ def components(
         return local.withColumnRenamed("local", "component")
     roots = _contract(links, keys)
     return (
-        local.join(broadcast_if_small(roots.withColumnRenamed("node", "local")),
+        local.join(roots.withColumnRenamed("node", "local"),
                    [*keys, "local"], "left")
         .withColumn("component", F.coalesce("root", "local"))
         .drop("local", "root")
@@ -146,8 +146,8 @@ def region_of(mask: DataFrame, seeds: DataFrame, block: int = BLOCK) -> DataFram
     """
     keys = ["sample_id", "image_id"]
     labelled = components(mask, keys, block)
-    roots = labelled.join(broadcast_if_small(seeds.select(*keys, "y", "x")), [*keys, "y", "x"])
-    roots = broadcast_if_small(roots.select(*keys, "component").distinct())
+    roots = labelled.join(seeds.select(*keys, "y", "x"), [*keys, "y", "x"])
+    roots = roots.select(*keys, "component").distinct()
     return labelled.join(roots, [*keys, "component"], "left_semi").select(*keys, "y", "x")
 
 
@@ -219,7 +219,7 @@ def path_distance(
             limits = take_lowest(
                 done, keys, F.col("dist"), [F.col("y"), F.col("x")], F.lit(budget)
             ).groupBy(*keys).agg(F.max("dist").alias("_far"), F.count(F.lit(1)).alias("_n"))
-            full = broadcast_if_small(limits.filter(F.col("_n") >= budget))
+            full = limits.filter(F.col("_n") >= budget)
             border = border.join(full.select(*keys, "_far"), keys, "left").filter(
                 F.col("_far").isNull() | (F.col("dist") < F.col("_far"))
             )

@@ -6,12 +6,11 @@ and the results are united, so a further positive can only add pixels.
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, norm, ordered_values, rms_difference
 from ..plans.ordered import take_lowest
-from ..plans.sizing import broadcast_if_small
 from ..schema import PIXEL_KEY, UNLABELED
 from ..session import cut
 from . import regions
@@ -25,7 +24,7 @@ LEVELS = ("fine", "mid", "deep")
 LARGE_SHARE = 0.40
 NORM_FLOOR = 1e-8
 
-MANY_NEGATIVES = 256
+NEGATIVES_AT_ONCE = 256  # compared with a pixel in one row
 EXAMPLES_PER_BUNDLE = 256
 
 
@@ -43,7 +42,7 @@ def offsets(n: int) -> list[tuple[int, int]]:
 def place_samples(samples: DataFrame, scenes: DataFrame) -> DataFrame:
     """Round clicks to pixels and clamp them into their scene."""
     sized = samples.join(
-        broadcast_if_small(scenes.select("image_id", "height", "width")), "image_id"
+        scenes.select("image_id", "height", "width"), "image_id"
     )
 
     def inside(c: str, limit: str) -> Column:
@@ -71,7 +70,7 @@ def reference(norm_px: DataFrame, samples: DataFrame, n: int = 1) -> DataFrame:
 
     Without a valid one, the clicked pixel's own values are used.
     """
-    wanted = broadcast_if_small(_neighbours(samples, n))
+    wanted = _neighbours(samples, n)
     hits = norm_px.select(*PIXEL_KEY, "valid", "norm").join(wanted, PIXEL_KEY)
     own = (F.col("y") == F.col("sy")) & (F.col("x") == F.col("sx"))
     keys = ["sample_id", "image_id", "positive", "sy", "sx"]
@@ -89,7 +88,7 @@ def reference(norm_px: DataFrame, samples: DataFrame, n: int = 1) -> DataFrame:
 
 def spectral_field(norm_px: DataFrame, refs: DataFrame) -> DataFrame:
     """RMS band difference of every pixel to every sample of its scene."""
-    wanted = broadcast_if_small(refs.select("sample_id", "image_id", "positive", "ref"))
+    wanted = refs.select("sample_id", "image_id", "positive", "ref")
     return norm_px.select(*PIXEL_KEY, "valid", "norm").join(wanted, "image_id").select(
         "sample_id", "positive", *PIXEL_KEY, "valid", rms_difference("norm", "ref").alias("d")
     )
@@ -98,24 +97,28 @@ def spectral_field(norm_px: DataFrame, refs: DataFrame) -> DataFrame:
 def contested_field(norm_px: DataFrame, refs: DataFrame, tolerance: float) -> DataFrame:
     """Positive fields within tolerance, with `d_neg`, the least distance to a negative.
 
-    The negatives of a scene travel to its pixels as one array, so no pixel is shuffled. Fit for
-    a clicked number of negatives; `match` handles any number by grouping.
+    The negatives of a scene travel to its pixels in bundles of bounded size, and only pixels
+    within tolerance of a positive sample meet them.
     """
-    against = refs.filter(~F.col("positive")).groupBy("image_id").agg(
-        F.collect_list("ref").alias("negatives")
+    order = Window.partitionBy("image_id").orderBy("sample_id")
+    bundles = (
+        refs.filter(~F.col("positive"))
+        .withColumn("_bundle", F.floor((F.row_number().over(order) - 1) / NEGATIVES_AT_ONCE))
+        .groupBy("image_id", "_bundle").agg(F.collect_list("ref").alias("negatives"))
     )
-    pixels = norm_px.select(*PIXEL_KEY, "valid", "norm").filter("valid")
-    wanted = broadcast_if_small(
-        refs.filter("positive").select("sample_id", "image_id", "positive", "ref")
-        .join(against, "image_id", "left")
-    )
-    return (
-        pixels.join(wanted, "image_id")
+    wanted = refs.filter("positive").select("sample_id", "image_id", "positive", "ref")
+    within = (
+        norm_px.select(*PIXEL_KEY, "valid", "norm").filter("valid").join(wanted, "image_id")
         .withColumn("d", rms_difference("norm", "ref"))
         .filter(F.col("d") <= tolerance)
-        .withColumn("d_neg", F.array_min(
-            F.transform("negatives", lambda r: rms_difference(F.col("norm"), r))))
-        .select("sample_id", "positive", *PIXEL_KEY, "valid", "d", "d_neg")
+    )
+    d_neg = F.array_min(F.transform("negatives", lambda r: rms_difference(F.col("norm"), r)))
+    return (
+        within.join(bundles, "image_id", "left")
+        .withColumn("d_neg", d_neg)
+        .groupBy("sample_id", *PIXEL_KEY)
+        .agg(F.first("positive").alias("positive"), F.first("valid").alias("valid"),
+             F.first("d").alias("d"), F.min("d_neg").alias("d_neg"))
     )
 
 
@@ -126,7 +129,7 @@ def center_unit(features: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> D
         return _center_all(features)
     dims = features.select(*keys, F.posexplode("vec").alias("i", "v"))
     means = dims.groupBy(*keys, "i").agg(F.avg("v").alias("m"))
-    mean = broadcast_if_small(means.groupBy(*keys).agg(ordered_values("i", "m").alias("mean")))
+    mean = means.groupBy(*keys).agg(ordered_values("i", "m").alias("mean"))
     return _unit(features.join(mean, keys)).drop("mean")
 
 
@@ -152,7 +155,7 @@ def _center_all(features: DataFrame) -> DataFrame:
 def cell_of(samples: DataFrame, shape: DataFrame) -> DataFrame:
     """Grid cell of each sample by proportional scaling; `shape` has gh, gw, height, width."""
     sized = samples.join(
-        broadcast_if_small(shape.select("image_id", "gh", "gw", "height", "width")), "image_id"
+        shape.select("image_id", "gh", "gw", "height", "width"), "image_id"
     )
 
     def cell(c: str, extent: str, cells: str) -> Column:
@@ -170,7 +173,7 @@ def cosine_field(
 ) -> DataFrame:
     """Cosine distance of every grid cell `(image_id, gy, gx, unit)` to every sample."""
     cells = unit.select("image_id", F.col("gy").alias("y"), F.col("gx").alias("x"), "unit")
-    wanted = broadcast_if_small(_neighbours(cell_of(samples, shape), n))
+    wanted = _neighbours(cell_of(samples, shape), n)
     hits = cells.join(wanted, PIXEL_KEY)
     keys = ["sample_id", "image_id", "positive"]
     refs = (
@@ -181,7 +184,7 @@ def cosine_field(
         .withColumn("ref", F.transform("mean", lambda v: v / F.col("length")))
         .select(*keys, "ref")
     )
-    return unit.join(broadcast_if_small(refs), "image_id").select(
+    return unit.join(refs, "image_id").select(
         *keys, "gy", "gx", (1.0 - dot("ref", "unit")).alias("d")
     )
 
@@ -219,7 +222,7 @@ def nearest(mask: DataFrame, samples: DataFrame, budget: int) -> DataFrame:
     seeds = samples.select("sample_id", "image_id", F.col("y").alias("sy"), F.col("x").alias("sx"))
     dy = (F.col("y") - F.col("sy")).cast("long")
     dx = (F.col("x") - F.col("sx")).cast("long")
-    placed = mask.join(broadcast_if_small(seeds), ["sample_id", "image_id"]).withColumn(
+    placed = mask.join(seeds, ["sample_id", "image_id"]).withColumn(
         "d2", dy * dy + dx * dx
     )
     return take_lowest(
@@ -279,12 +282,8 @@ def select(
         raise ValueError("No samples given")
     size = clamp_sample_size(sample_size)
     if fields is None and source == "image":
-        refs = broadcast_if_small(reference(norm_px, samples, size))
-        negatives = refs.filter(~F.col("positive"))
-        few = negatives.limit(MANY_NEGATIVES + 1).count() <= MANY_NEGATIVES
-        fields = (
-            contested_field(norm_px, refs, tolerance) if few else spectral_field(norm_px, refs)
-        )
+        refs = reference(norm_px, samples, size)
+        fields = contested_field(norm_px, refs, tolerance)
     elif fields is None:
         if features is None:
             raise ValueError("The embedding source needs features")
@@ -330,7 +329,7 @@ def _finish(
     over = F.lit(False) if budget is None else F.coalesce(F.max("count") > budget, F.lit(False))
     # Every clicked pixel is selected, so the scenes of the clicks are the scenes of the selection.
     clicked = seeds.select("image_id").distinct()
-    valid = px.join(broadcast_if_small(clicked), "image_id", "left_semi").agg(
+    valid = px.join(clicked, "image_id", "left_semi").agg(
         F.count_if("valid").alias("valid")
     )
     parts = [
@@ -364,7 +363,7 @@ def edges(mask: DataFrame, scenes: DataFrame) -> DataFrame:
     seen = touched.groupBy(*PIXEL_KEY).agg(
         F.max("own").alias("own"), F.count_if(F.col("own") == 0).alias("touches")
     )
-    shape = broadcast_if_small(scenes.select("image_id", "height", "width"))
+    shape = scenes.select("image_id", "height", "width")
     inside = seen.join(shape, "image_id").filter(
         F.col("y").between(0, F.col("height") - 1) & F.col("x").between(0, F.col("width") - 1)
     )
@@ -387,11 +386,9 @@ def similar(
     that beats every negative. `k` keeps the closest rows: a distributed top-k, merged per task.
     """
     unit = center_unit(vectors, keys=())
-    examples = broadcast_if_small(
-        unit.join(broadcast_if_small(samples.select(key, "positive")), key).select(
+    examples = unit.join(samples.select(key, "positive"), key).select(
             key, "positive", F.col("unit").alias("ref")
         )
-    )
     bundles = max(1, -(-examples.count() // EXAMPLES_PER_BUNDLE))
     # Examples travel to the rows as short arrays, one bundle at a time: no pair becomes a row.
     packed = examples.groupBy(F.pmod(F.xxhash64(key), F.lit(bundles)).alias("_bundle")).agg(
@@ -405,7 +402,7 @@ def similar(
     numbers = F.array(*[F.lit(i).cast("long") for i in range(bundles)])
     scored = (
         unit.withColumn("_bundle", F.explode(numbers))
-        .join(broadcast_if_small(packed), "_bundle")
+        .join(packed, "_bundle")
         .withColumn("d", least("pos"))
         .withColumn("d_neg", least("neg"))
         .drop("pos", "neg", "unit", "_bundle")

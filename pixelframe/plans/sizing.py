@@ -1,22 +1,8 @@
-"""Broadcast only what has been counted; everything else stays a shuffled join."""
+"""Emptiness. Which side of a join is broadcast is left to Spark: by bytes, statically or at run time."""
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when `df` has at most `max_rows` rows.
-
-    `df` is an aggregate (statistics per scene, references per click, ...), so it is kept: the
-    count and the join then share one evaluation. Above the bound the join is left to shuffle,
-    where adaptive execution splits a hot key of the large side.
-    """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
-
 
 def is_empty(df: DataFrame) -> bool:
     return not df.select(F.lit(1)).take(1)

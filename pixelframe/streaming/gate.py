@@ -1,5 +1,6 @@
 """The stability gate on a live epoch log."""
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.monitor import PATIENCE, STABLE_IOU
 
 OUTPUT = "run_id long, gate_epoch int"
-STATE = "streak int, last_epoch int, gate_epoch int"
+STATE = "epochs string, gate_epoch int"
 
 
 def stream_gate(
@@ -17,27 +18,28 @@ def stream_gate(
 ) -> DataFrame:
     """One row per run when its gate opens; `epoch_log(run_id, epoch, iou)` is a stream.
 
-    State per run is the current streak, the last epoch seen and the latched gate. Epochs of a run
-    arrive in order across micro-batches and are sorted inside one; an epoch that was already
-    seen is skipped, a missing one breaks the streak.
+    Epochs may arrive in any order and in any micro-batch: state per run is whether each epoch seen
+    so far was good, until the gate opens. The gate is the first that the epochs known then give.
+    Of an epoch that comes again in a later micro-batch the first counts, within one the least.
     """
 
     def advance(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        streak, last, gate = state.get if state.exists else (0, 0, None)
-        opened = False
-        rows = pd.concat(list(frames)).sort_values("epoch")
-        for epoch, iou in zip(rows["epoch"], rows["iou"]):
-            if gate is not None or epoch <= last:
-                continue
-            good = pd.notna(iou) and iou >= threshold
-            streak = (streak if epoch == last + 1 else 0) + 1 if good else 0
-            last = int(epoch)
-            if streak >= patience:
-                gate, opened = last + 1, True
-        state.update((streak, last, gate))
-        if opened:
+        known, gate = state.get if state.exists else ("{}", None)
+        if gate is not None:
+            return
+        seen = {int(k): v for k, v in json.loads(known).items()}
+        fresh: dict[int, bool] = {}
+        for frame in frames:
+            good = frame.assign(good=frame["iou"] >= threshold).groupby("epoch")["good"].min()
+            for epoch, flag in good.items():
+                fresh[int(epoch)] = fresh.get(int(epoch), True) and bool(flag)
+        seen = fresh | seen
+        closing = [e for e in seen if all(seen.get(e - k) for k in range(patience))]
+        gate = min(closing) + 1 if closing else None
+        state.update(("{}" if closing else json.dumps(seen), gate))
+        if closing:
             yield pd.DataFrame({"run_id": [key[0]], "gate_epoch": [gate]})
 
     return epoch_log.select("run_id", "epoch", "iou").groupBy("run_id").applyInPandasWithState(
