@@ -96,7 +96,12 @@ def _(spark, sf):
     return stats.select("image_id", "band", r("lo", 6).alias("lo"), r("hi", 6).alias("hi"))
 
 
-@query("p2b_approximate_stats")
+@query("p2b_approximate_stats", """
+with q as (
+  select image_id, band, quantile_disc(v, 0.02) as lo, quantile_disc(v, 0.98) as hi from (
+    select image_id, unnest([0, 1, 2, 3]) as band, unnest([b0, b1, b2, b3]) as v from vpx where valid)
+  group by image_id, band)
+select image_id, cast(band as int) as band, lo, case when hi <= lo then lo + 1 else hi end as hi from q""")
 def _(spark, sf):
     return normalize.band_stats(valid_px(spark, sf), approx=True)
 

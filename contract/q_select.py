@@ -257,23 +257,30 @@ def _bright(spark, sf):
     return normed(spark, sf).filter(F.get("norm", 0) > 0.35).select(*PIXEL)
 
 
-cte("reach", """
-select image_id, y, x, y * 50 + x as comp from bright
-union
-select b.image_id, b.y, b.x, r.comp from reach r join bright b
-  on b.image_id = r.image_id and abs(b.y - r.y) + abs(b.x - r.x) = 1 and r.comp < b.y * 50 + b.x""")
-COMPONENTS = "select image_id, y, x, cast(min(comp) as bigint) as component from reach group by image_id, y, x"
+# Minimum propagation: every pixel takes the least label among its neighbours until none changes.
+LABELLED = """with lab(image_id, y, x, component) using key (image_id, y, x) as (
+  select image_id, y, x, cast(y as bigint) * 2147483648 + x from bright
+  union
+  select l.image_id, l.y, l.x, min(n.component)
+  from recurring.lab l join lab n on n.image_id = l.image_id and abs(n.y - l.y) + abs(n.x - l.x) = 1
+  where n.component < l.component
+  group by l.image_id, l.y, l.x)
+"""
 
 
-# The reachability closure is quadratic in component size, so no SQL stands beside this one; the
-# tests compare it with brute force, and region statistics below check the labels per component.
-@query("w11_components")
+@query("w11_components", LABELLED + "select image_id, y, x, component from lab", recursive=True)
 def _(spark, sf):
     labelled = regions.components(_bright(spark, sf), block=16)
     return labelled.select(*PIXEL, "component")
 
 
-@query("w12_region_statistics")
+@query("w12_region_statistics", LABELLED + """, touching as (
+  select l.image_id, l.y, l.x, l.component, count(n.y) as touches
+  from lab l left join lab n on n.image_id = l.image_id and abs(n.y - l.y) + abs(n.x - l.x) = 1
+  group by all)
+select image_id, component, count(*) as area, min(y) as y_min, max(y) as y_max, min(x) as x_min, max(x) as x_max,
+       avg(y) as y_mean, avg(x) as x_mean, cast(sum(4 - touches) as bigint) as exposed
+from touching group by image_id, component having count(*) >= 16""", recursive=True)
 def _(spark, sf):
     labelled = regions.components(_bright(spark, sf), block=16)
     return regions.regions(labelled, min_area=16)

@@ -173,9 +173,57 @@ def test_neighbourhood_means(spark):
 def test_score_patches_checks_shapes_and_predict_checks_sizes(spark, small):
     from contract.fixtures import fixture_model, pixels
 
-    with pytest.raises(ValueError, match="smaller than the 64px patch size"):
+    with pytest.raises(ValueError, match="holds no patch of 64"):
         scoring.predict(pixels(spark, small), view(spark, small, "scenes"), fixture_model, 64)
     holed = normed(spark, small).filter("not (y = 3 and x = 3)")
     patches = tiling.to_patches(tiling.assign_patches(holed, view(spark, small, "scenes"), 16, 8))
     with pytest.raises(Exception, match="does not hold 16x16 pixels"):
         scoring.score_patches(patches, fixture_model, 16).count()
+
+
+def test_gate_counts_an_epoch_once(spark):
+    """One good epoch logged three times does not open the gate; the least of its values counts."""
+    log = spark.createDataFrame(
+        [(1, 1, 9, .9)] * 3 + [(2, e, 9, .9) for e in (3, 1, 2)] + [(2, 2, 9, .1)] + [(3, e, 9, .9) for e in (1, 2, 3)],
+        "run_id long, epoch int, epochs int, iou double")
+    assert {r["run_id"]: r["gate_epoch"] for r in monitor.gate(log).collect()} == {1: None, 2: None, 3: 4}
+
+
+def loss_frame(spark):
+    """A labelled, an unlabelled and an excluded pixel; the model is sure of each."""
+    rows = [(0, 0, 0, 0, 0, [.9, .1], [.8, .2]), (0, 0, 1, 255, 255, [.9, .1], [.7, .3]), (0, 0, 2, 255, 254, [.99, .01], [.1, .9])]
+    return spark.createDataFrame(
+        rows, "image_id int, y int, x int, label int, mask int, weak_probs array<double>, strong_probs array<double>")
+
+
+def test_pixels_without_data_enter_no_unsupervised_loss(spark):
+    rows = loss_frame(spark)
+    assert np.isclose(evaluate.consistency(rows).first()["cons"], .04)
+    assert np.isclose(evaluate.pseudo_ce(rows, threshold=.8).first()["pseudo"], -np.log(.7))
+    guessed = evaluate.pseudo_labels(rows.withColumn("probs", F.col("weak_probs")), .8).collect()
+    assert [(r["x"], r["pseudo"]) for r in guessed] == [(1, 0)]
+
+
+def test_lovasz_of_a_confident_model_is_spread(spark):
+    """Errors within 2e-4 still fall into many buckets, and the loss is that of one sort."""
+    rng = np.random.default_rng(1)
+    n = 3000
+    label, err = rng.integers(0, 2, n), rng.random(n) * 2e-4
+    rows = [(0, int(t), [float(1 - e), float(e)] if t == 0 else [float(e), float(1 - e)]) for t, e in zip(label, err)]
+    got = evaluate.lovasz(spark.createDataFrame(rows, "image_id int, label int, probs array<double>")).first()["lovasz"]
+    want = []
+    for c in (0, 1):
+        order = np.argsort(-err, kind="stable")
+        fg = (label == c)[order]
+        j = 1 - (fg.sum() - np.cumsum(fg)) / (fg.sum() + np.arange(1, n + 1) - np.cumsum(fg))
+        want.append((err[order] * np.diff(np.concatenate([[0], j]))).sum())
+    assert np.isclose(got, np.mean(want), rtol=1e-6, atol=0)
+
+
+def test_window_counts_need_no_dense_masks(spark):
+    """A labelled 4 by 4 block with nothing around it counts as 16 in any window that holds it."""
+    masks = spark.createDataFrame([(0, y, x, int(y == x)) for y in range(2, 6) for x in range(2, 6)], "image_id int, y int, x int, mask int")
+    scenes = spark.createDataFrame([(0, 10, 12)], "image_id int, height int, width int")
+    windows = spark.createDataFrame([(0, 0, 0), (0, 2, 4), (0, 0, 5)], "image_id int, oy int, ox int")
+    got = augment.window_label_stats(windows, augment.label_integral(masks, scenes), 7).collect()
+    assert {(r["oy"], r["ox"]): (r["labeled_px"], r["target_px"]) for r in got} == {(0, 0): (16, 12), (2, 4): (8, 6), (0, 5): (4, 3)}

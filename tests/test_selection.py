@@ -27,6 +27,7 @@ def run(spark, values, point_list, tolerance=0.5, **options):
 
 
 def test_corner_blocks_are_not_joined(spark):
+    # Two blocks that touch at a corner only.
     values = np.ones((40, 40))
     values[10:20, 10:20] = 0
     values[20:30, 20:30] = 0
