@@ -6,7 +6,7 @@ from pixelframe.functions.windows import tile_count, tile_offsets
 from pixelframe.operators import scoring, tiling
 
 from .common import PATCH, STRIDE, normed, predicted, r, truth
-from .fixtures import fixture_logits, fixture_model, pixels, table, view
+from .fixtures import fixture_logits, fixture_model, neighbour_model, pixels, table, view
 from .registry import cte, query
 
 cte("axis_y", "select unnest([0, 8, 14]) as ty")
@@ -237,6 +237,37 @@ def _(spark, sf):
     return out.select("image_id", "y", "x", "cls", r(F.get("probs", 0)).alias("p0"))
 
 
+cte("around_sql", f"""
+select a.image_id, a.ty, a.tx, a.y, a.x, sum(z.z0) / 9 as z0, sum(z.z1) / 9 as z1
+from assigned_sql a join zpx z on z.image_id = a.image_id and abs(z.y - a.y) <= 1 and abs(z.x - a.x) <= 1
+ and z.y between a.ty and a.ty + {PATCH - 1} and z.x between a.tx and a.tx + {PATCH - 1}
+group by all""")
+
+
+@query("i1_score_patches_neighbours", """
+select image_id, ty, tx, y, x, round(z0, 9) as z0, round(z1, 9) as z1 from around_sql""")
+def _(spark, sf):
+    """A model that looks at neighbours: window edges show."""
+    patches = tiling.to_patches(
+        tiling.assign_patches(normed(spark, sf), view(spark, sf, "scenes"), PATCH, STRIDE)
+    )
+    return scoring.score_patches(patches, neighbour_model, PATCH).select(
+        "image_id", "ty", "tx", "y", "x",
+        r(F.get("logits", 0)).alias("z0"), r(F.get("logits", 1)).alias("z1"),
+    )
+
+
+@query("i6_predict_neighbours", """
+select image_id, y, x, round(avg(z0), 6) as z0, round(avg(z1), 6) as z1 from around_sql group by image_id, y, x""")
+def _(spark, sf):
+    """Small blocks, so that their seams must not show."""
+    scenes = view(spark, sf, "scenes")
+    out = scoring.score_blocks(normed(spark, sf), scenes, neighbour_model, PATCH, STRIDE, block=1)
+    return out.select(
+        "image_id", "y", "x", r(F.get("logits", 0), 6).alias("z0"), r(F.get("logits", 1), 6).alias("z1")
+    )
+
+
 UNCERTAIN = """
 select image_id, ty, tx, y, x, cast(rk as int) as rank from (
   select *, row_number() over (partition by image_id, ty, tx
