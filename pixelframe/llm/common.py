@@ -25,3 +25,14 @@ def words(column: Column) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner", parts: int = 16) -> DataFrame:
+    """left join right on `keys`, a hot key of `left` in `parts` pieces.
+
+    For a right side with one row per key, which is copied to each part. `spread` is any column of
+    `left` that tells the rows of a key apart.
+    """
+    numbered = left.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
+    copied = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return numbered.join(copied, [*keys, "_part"], how).drop("_part")

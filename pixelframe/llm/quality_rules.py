@@ -18,7 +18,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import documents, text_key, words
+from pixelframe.llm.common import documents, salted_join, text_key, words
 from pixelframe.session import cut
 
 MIN_GROUP = 200
@@ -125,7 +125,7 @@ def median_start(rows: DataFrame) -> DataFrame:
     """Centre by medians, diagonal scatter by median absolute deviations."""
     mid = rows.groupBy("grp").agg(*[F.percentile(c, F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(DIMS)])
     off = [F.percentile(F.abs(F.col(c) - F.col(f"m{i}")), F.lit(0.5)).alias(f"a{i}") for i, c in enumerate(DIMS)]
-    mads = rows.join(mid, "grp").groupBy("grp", *[f"m{i}" for i in range(len(DIMS))]).agg(*off)
+    mads = salted_join(rows, mid, ["grp"], F.col("key")).groupBy("grp", *[f"m{i}" for i in range(len(DIMS))]).agg(*off)
     scatter = {
         f"l{i}{j}": F.sqrt((F.col(f"a{i}") * 1.4826) ** 2 + (FLOORS[DIMS[i]] * SCALE) ** 2) if i == j else F.lit(0.0)
         for i in range(len(DIMS)) for j in range(i + 1)
@@ -134,15 +134,21 @@ def median_start(rows: DataFrame) -> DataFrame:
                        *[v.alias(k) for k, v in scatter.items()], F.lit(0.0).alias("logdet"))
 
 
+def keyed_by_start(estimates: DataFrame) -> DataFrame:
+    """(grp, starts): the estimates of each group, one per start, as an array."""
+    rest = [c for c in estimates.columns if c not in ("grp", "logdet")]
+    return estimates.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("starts"))
+
+
 def robust_estimates(rows: DataFrame) -> DataFrame:
     """The minimum covariance determinant estimate of each group of `rows` (grp and DIMS)."""
     plain = estimate(rows, ["grp"]).withColumn("start", F.lit("moments"))
     current = cut(median_start(rows).unionByName(plain.select("grp", "start", *[c for c in plain.columns if c not in ("grp", "start")])))
     for _ in range(STEPS):
-        far = distance(rows.join(current.drop("logdet"), "grp"))
-        binned = far.withColumn("bin", F.floor(F.log1p("d2") * 64)).select("grp", "start", "bin", *DIMS)
+        far = distance(salted_join(rows, keyed_by_start(current), ["grp"], F.col("key")).select("*", F.inline("starts")).drop("starts"))
+        binned = far.withColumn("bin", F.floor(F.log1p("d2") * 64)).select("grp", "start", "bin", "key", *DIMS)
         inner = binned.groupBy("grp", "start").agg(F.percentile("bin", F.lit(H)).alias("most"))
-        current = cut(estimate(binned.join(inner, ["grp", "start"]).where("bin <= most"), ["grp", "start"]))
+        current = cut(estimate(salted_join(binned, inner, ["grp", "start"], F.col("key")).where("bin <= most"), ["grp", "start"]))
     best = current.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     return current.join(best, ["grp", "start"]).drop("start", "logdet")
 
@@ -154,8 +160,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     )
     stats = cut(stats)
     sizes = stats.groupBy("own").count().withColumn("grp", F.when(F.col("count") >= MIN_GROUP, F.col("own")).otherwise("*"))
-    rows = stats.join(sizes.select("own", "grp"), "own")
-    judged = distance(rows.join(robust_estimates(rows.select("grp", *DIMS)), "grp"))
+    rows = salted_join(stats, sizes.select("own", "grp"), ["own"], F.col("key"))
+    estimates = robust_estimates(rows.select("grp", "key", *DIMS))
+    judged = distance(salted_join(rows, estimates, ["grp"], F.col("key")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
