@@ -5,9 +5,10 @@ a SuperMinHash signature: every element draws, step by step, a rank from a rando
 signature's places, so values of one element are correlated and the estimate varies less than with
 independent minima; an element stops as soon as no place can still improve. Bands of the signature
 bring similar classes together. In each bucket all classes are compared with the smallest, links are
-confirmed on the full sets, and union-find groups them. Buckets that still hold several groups are
-then compared across groups (a sketch of the signature rules out most pairs), so that a link
-between two members of a bucket is found even if neither is linked with the bucket's smallest.
+confirmed on the full sets, and union-find groups them. In buckets that still hold several groups,
+the members outside the largest group are queries against the whole bucket, taken in blocks of
+bounded size, so that a link between two members is found even if neither is linked with the
+bucket's smallest; of a query's links with one group, one is told.
 
 Null or wordless text: empty set, linked with nothing. Rows without a doc_id are linked with nothing
 and have no component. Rows that share a doc_id are one document with the links of either.
@@ -15,19 +16,20 @@ and have no component. Rows that share a doc_id are one document with the links
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelframe.llm.bytehash import BASE, MASK, Rolling, joined, mix
 from pixelframe.llm.components import components
-from pixelframe.llm.common import documents
+from pixelframe.llm.common import documents, salted_join
 from pixelframe.session import cut
 
 WORDS = 5  # of a shingle
 PERCENT = 85  # least similarity of a link
 PLACES, ROWS = 64, 4  # of a signature, and of a band: a link at 0.85 is missed with 7e-6
 PAIR_BITS = 40  # random bits of a rank's fraction
-ALIKE = 38  # of 64 sketch entries; a link at 0.85 agrees on fewer with less than 1e-7
+BLOCK = 256  # members of a bucket that queries are compared with at once, about
 BATCH = 4 << 20  # bytes of text hashed at once
 
 
@@ -107,7 +109,7 @@ def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
 
 
 def signed(batches):
-    """(doc_id, n, fp1, fp2, bands, sketch) of documents (doc_id, text as binary)."""
+    """(doc_id, n, fp1, fp2, bands) of documents (doc_id, text as binary)."""
     for whole in batches:
         for batch in blocks(whole):
             sets = shingle_sets(batch.column("text"))
@@ -115,14 +117,12 @@ def signed(batches):
             salt = mix(np.arange(PLACES, dtype=np.uint64) + np.uint64(99)) | np.uint64(1)
             parts = (mix(sig) * salt).reshape(len(sets), PLACES // ROWS, ROWS)
             bands = mix(parts.sum(axis=2, dtype=np.uint64)).view(np.int64)
-            nibbles = (mix(sig) & np.uint64(15)).reshape(len(sets), 4, 16)
-            sketch = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
             fp = [np.array([mix(s * np.uint64(m)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for m in (3, BASE)]
             empty = [len(s) == 0 for s in sets]
             lists = lambda x: pa.array([None if e else r for e, r in zip(empty, x.tolist())], pa.list_(pa.int64()))
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp[0]), pa.array(fp[1]), lists(bands), lists(sketch)],
-                names=["doc_id", "n", "fp1", "fp2", "bands", "sketch"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp[0]), pa.array(fp[1]), lists(bands)],
+                names=["doc_id", "n", "fp1", "fp2", "bands"],
             )
 
 
@@ -135,11 +135,6 @@ def whole_sets(batches):
             yield pa.record_batch([batch.column("doc_id"), items], names=["doc_id", "items"])
 
 
-def fits(n1: Column, n2: Column, percent: int) -> Column:
-    """Whether sets of these sizes can reach the similarity."""
-    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
-
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of `pairs` (a, b) those whose full sets reach the similarity."""
     own = lambda side: sets.select(F.col("doc_id").alias(side), F.col("items").alias(f"{side}_items"))
@@ -149,30 +144,77 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * union).select("a", "b")
 
 
-def alike(s: str, t: str) -> Column:
-    """How many of 64 four-bit sketch entries of two classes agree."""
-    agree = F.lit(64)
-    for i in range(4):
-        x = F.col(s)[i].bitwiseXOR(F.col(t)[i])
-        half = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        any_bit = half.bitwiseOR(F.shiftrightunsigned(half, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        agree = agree - F.bit_count(any_bit)
-    return agree
+def compare(percent: int):
+    """A block of members and its queries (rep, root, asks, items) to links (a, b) between different groups."""
+
+    def links(rows: pa.Table) -> pa.Table:
+        found = set()
+        queries, members = rows.filter(rows.column("asks")), rows.filter(pc.invert(rows.column("asks")))
+        if queries.num_rows and members.num_rows:
+            sets = [np.asarray(x.values) for x in members.column("items")]
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            items = np.concatenate(sets)
+            order = np.argsort(items, kind="stable")
+            items, owner = items[order], owner[order]
+            sizes = np.array([len(x) for x in sets])
+            reps, roots = np.asarray(members.column("rep")), np.asarray(members.column("root"))
+            for rep, root, values in zip(queries.column("rep").to_pylist(), queries.column("root").to_pylist(), queries.column("items")):
+                own = np.asarray(values.values)
+                lo, hi = np.searchsorted(items, own, "left"), np.searchsorted(items, own, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(sets))
+                linked = (100 * shared >= percent * (len(own) + sizes - shared)) & (roots != root)
+                _, first = np.unique(roots[linked], return_index=True)
+                found |= {(min(rep, r), max(rep, r)) for r in reps[linked][first].tolist()}
+        a, b = zip(*sorted(found)) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return links
+
+
+def links_across(held: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a bucket (band, key, rep) whose groups differ so far."""
+    grouped = cut(
+        held.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("band", "key", "rep", F.coalesce("root", "rep").alias("root"))
+    )
+    groups = grouped.groupBy("band", "key", "root").count().groupBy("band", "key").agg(
+        F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("all"), F.count(F.lit(1)).alias("n_roots"))
+    mixed = groups.where("n_roots > 1").select("band", "key", F.col("most.root").alias("largest"), F.ceil(F.col("all") / BLOCK).cast("int").alias("n_blocks"))
+    rows = cut(salted_join(grouped, mixed, ["band", "key"], F.col("rep")))
+    members = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    queries = rows.where("root != largest").withColumn("block", F.explode(F.expr("sequence(0, n_blocks - 1)")))
+    placed = members.withColumn("asks", F.lit(False)).unionByName(queries.withColumn("asks", F.lit(True)))
+    place = ["band", "key", "block"]
+    return (
+        placed.select(*place, "rep", "root", "asks")
+        .join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        .groupBy(*place).applyInArrow(compare(percent), "a long, b long")
+    )
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of `docs`."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    all_signed = cut(rows.mapInArrow(signed, "doc_id long, n long, fp1 long, fp2 long, bands array<long>, sketch array<long>"))
+    all_signed = cut(rows.mapInArrow(signed, "doc_id long, n long, fp1 long, fp2 long, bands array<long>"))
     members = all_signed.where("doc_id is not null and n > 0")
     classes = cut(
         members.groupBy("fp1", "fp2", "n")
-        .agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("m"))
-        .select("fp1", "fp2", "n", F.col("m.doc_id").alias("rep"), "m.bands", "m.sketch")
+        .agg(F.min(F.struct("doc_id", "bands")).alias("m"))
+        .select("fp1", "fp2", "n", F.col("m.doc_id").alias("rep"), "m.bands")
+    )
+    in_buckets = classes.select("rep", "fp1", F.posexplode("bands").alias("band", "key"))
+    # Similar classes meet in several bands; of buckets with the same members one is looked at.
+    members_of = [F.bit_xor(F.xxhash64("rep", "fp1", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    shared = (
+        in_buckets.groupBy("band", "key")
+        .agg(F.min("rep").alias("pivot"), F.max("rep").alias("most"), F.count(F.lit(1)).alias("n"), *members_of)
+        .where("pivot < most")
+        .groupBy("pivot", "most", "n", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("bucket"))
+        .select("bucket.*", "pivot")
     )
-    in_buckets = classes.select("rep", "n", "sketch", F.posexplode("bands").alias("band", "key"))
-    shared = in_buckets.groupBy("band", "key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most")).where("pivot < most")
-    held = cut(in_buckets.join(shared.select("band", "key", "pivot"), ["band", "key"]))
+    held = cut(salted_join(in_buckets.drop("fp1"), shared, ["band", "key"], F.col("rep")))
     stars = cut(held.where("rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
     # Of documents with several rows, all rows' sets are candidates under the one id.
     involved = held.select(F.col("rep").alias("doc_id")).distinct()
@@ -182,21 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     copies = members.join(classes.select("fp1", "fp2", "n", "rep"), ["fp1", "fp2", "n"]).where("doc_id > rep").select("doc_id", "rep")
     links = cut(links.union(copies.select(F.col("rep"), F.col("doc_id"))))
     roots = components(links)
-    grouped = cut(
-        held.drop("pivot")
-        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        .withColumn("root", F.coalesce("root", "rep"))
-    )
-    several = grouped.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    mixed = cut(grouped.join(several.select("band", "key"), ["band", "key"], "left_semi"))
-    left, right = (mixed.select("band", "key", *[F.col(c).alias(f"{c}{i}") for c in ("rep", "root", "n", "sketch")]) for i in (1, 2))
-    across = (F.col("root1") < F.col("root2")) & fits(F.col("n1"), F.col("n2"), percent) & (alike("sketch1", "sketch2") >= ALIKE)
-    pairs = cut(
-        left.join(right, ["band", "key"]).where(across)
-        .select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = verified(pairs, sets, percent)
+    more = links_across(held, roots, sets, percent)
     final = components(roots.select("root", "node").union(more))
     return (
         all_signed.select("doc_id", "n")
