@@ -218,7 +218,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = cut(held.where("rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
     # Of documents with several rows, all rows' sets are candidates under the one id.
     involved = held.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(rows.join(involved, "doc_id", "left_semi").mapInArrow(whole_sets, "doc_id long, items array<long>"))
+    # Shuffled at every size, so that what it costs follows the input.
+    sets = cut(rows.join(involved.hint("merge"), "doc_id", "left_semi").mapInArrow(whole_sets, "doc_id long, items array<long>"))
     links = verified(stars, sets, percent)
     # A copy's link with its class's smallest document.
     copies = members.join(classes.select("fp1", "fp2", "n", "rep"), ["fp1", "fp2", "n"]).where("doc_id > rep").select("doc_id", "rep")
