@@ -27,15 +27,26 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+class Powers:
+    """Powers of the base and of its inverse, for texts of up to n bytes; more are found where needed."""
+
+    def __init__(self, n: int):
+        self.n, self.base, self.inverse = n, powers(BASE, n + 1), powers(INVERSE, n + 1)
+
+    def upto(self, n: int) -> "Powers":
+        return self if n <= self.n else Powers(n)
+
+
 class Rolling:
     """Hashes of substrings of `data` (uint8) in constant time each."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, known: Powers | None = None):
         n = len(data)
+        known = known.upto(n) if known else Powers(n)
         letters = mix(np.arange(1, 257, dtype=np.uint64))
-        self.inverse = powers(INVERSE, n + 1)
+        self.inverse = known.inverse
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(letters[data] * powers(BASE, n)[:n], out=self.sums[1:])
+        np.cumsum(letters[data] * known.base[:n], out=self.sums[1:])
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of data[start[i]:end[i]]. The length enters through the caller's choice only."""

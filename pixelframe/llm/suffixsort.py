@@ -69,7 +69,7 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> t
         return order, order
     padded = np.concatenate([data, np.zeros(WORD, np.uint8)])
     characters = np.ndarray((len(padded) - WORD + 1,), ">u8", padded, strides=(1,))
-    first = np.ones(n, bool)  # of a group that is equal so far, by place in the order
+    first = np.arange(n) == 0  # of a group that is equal so far, by place in the order
     for depth in range(SHALLOW):
         # Of groups with several members only; in them members are sorted by their next character.
         tied = ~(first & np.append(first[1:], True))
@@ -77,7 +77,7 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> t
         group = np.cumsum(first)[places]
         who = order[places]
         key = characters[starts[who] + depth * WORD].astype(np.uint64)
-        turn = np.lexsort((key, group))
+        turn = np.lexsort((key, group)) if depth else np.argsort(key, kind="stable")
         order[places] = who[turn]
         key, group = key[turn], group[turn]
         first[places] = np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))
