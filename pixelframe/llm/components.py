@@ -36,16 +36,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (two long columns, no nulls) but each component's smallest.
 
     A round brings all edges of a node into one task, where union-find makes stars of them, and then
-    moves every node to the root of its root. It ends when no node has two roots and no root is a node.
+    moves every node to the least root of its root. A task also tells links between roots, so a node may
+    get roots from several tasks. It ends when no node has two roots and no root is a node.
     """
     a, b = edges.columns
     stars = cut(edges.select(F.col(a).cast("long"), F.col(b).cast("long")).mapInArrow(contract, STAR))
     while True:
         merged = cut(stars.repartition("node").mapInArrow(contract, STAR))
-        above = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        # One row per root: a root that several tasks moved keeps all its edges, of which others follow the least.
+        above = merged.groupBy(F.col("node").alias("root")).agg(F.min("root").alias("top"))
         moved = merged.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved"))
         stars = cut(moved)
-        state = stars.agg(F.max("moved").alias("moved")).first()
-        if not state["moved"]:
-            return stars.select("node", "root").distinct()
+        nodes = stars.groupBy("node").agg((F.max("moved") | (F.min("root") < F.max("root"))).alias("open"))
+        state = nodes.agg(F.max("open").alias("open")).first()
         stars = stars.select("node", "root").distinct()
+        if not state["open"]:
+            return stars

@@ -179,3 +179,18 @@ def test_components(spark):
         root[max(find(a), find(b))] = min(find(a), find(b))
     got = components(spark.createDataFrame(edges, "a long, b long").repartition(7))
     assert result(got, "node", "root") == Counter((x, find(x)) for x in root if find(x) != x)
+
+
+def test_components_of_links_between_members(spark):
+    """Nodes that get a root from each of two tasks: 2-7, 7-9, 3-9 with 7 and 9 in different tasks."""
+    edges = [(10 * k + a, 10 * k + b) for k in range(40) for a, b in ((2, 7), (7, 9), (3, 9))]
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = components(spark.createDataFrame(edges, "a long, b long").repartition(16))
+        assert result(got, "node", "root") == Counter((10 * k + x, 10 * k + 2) for k in range(40) for x in (3, 7, 9))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
