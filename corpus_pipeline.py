@@ -12,6 +12,8 @@ from pixelframe.llm import classifier, decontaminate, linedup, neardup, packing
 from pixelframe.llm.common import documents, table
 from pixelframe.session import ensure_checkpoint_dir
 
+SIMILAR = 80  # percent of shared shingles; op8's 85 belongs to its query
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -24,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each near-duplicate group stays."""
-    return neardup.one_of_each(docs)
+    """The smallest document of each near-duplicate group, linked from SIMILAR percent on, stays."""
+    return neardup.one_of_each(docs, SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

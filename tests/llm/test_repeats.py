@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from pixelframe.llm import linedup, neardup, substrings
 from pixelframe.llm.bytehash import mix
 from pixelframe.llm.components import components
@@ -147,6 +148,23 @@ def test_near_duplicates_chain(spark):
     assert result(got, "doc_id", "n_shingles", "component_id", "kept") == groups_by_hand(rows)
 
 
+def test_pipeline_stage_links_from_80_percent(spark):
+    """The stage keeps what brute force at 80 percent keeps; some pairs lie between 0.80 and 0.85."""
+    rng, rows = random.Random(11), []
+    for k in range(12):
+        words = [f"g{k}w{i}" for i in range(200)]
+        rows.append((10 * k, " ".join(words)))
+        for j in range(1, 4):
+            copy = list(words)
+            for i in rng.sample(range(5, 195, 6), rng.choice([1, 3, 4, 5, 7])):
+                copy[i] = f"new{k}x{j}x{i}"
+            rows.append((10 * k + j, " ".join(copy)))
+    kept = {p: {d for d, _, _, first in groups_by_hand(rows, p) if first} for p in (80, 85)}
+    assert kept[80] < kept[85]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == kept[80]
+
+
 def test_near_duplicates_empty(none):
     assert neardup.near_duplicates(none).count() == 0
 
