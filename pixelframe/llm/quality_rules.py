@@ -6,8 +6,8 @@ starts (medians, and plain moments), keeping the start with the smaller determin
 whose Mahalanobis distance exceeds a chi-square cutoff are rejected, beside a fixed base rule.
 
 Vectors are fixed-point integers, so sums are exact and the same in any order; the cut of each
-concentration step is an exact percentile of binned distances. Groups of fewer than MIN_GROUP
-documents are estimated together.
+concentration step is an exact percentile of binned distances. Every language and source is
+estimated from its own documents, however few; FLOORS keep the scatter of few documents regular.
 
 Null text has no words (and fails the base rule). Null language or source is a group of its own.
 A row is judged alone: repeated rows get equal verdicts.
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pixelframe.llm.common import documents, salted_join, text_key, words
 from pixelframe.session import cut
 
-MIN_GROUP = 200
 STEPS = 3  # concentration steps from each start
 H = 0.75  # share of a group that the estimate rests on
 CONSISTENCY = 1.42  # makes the scatter of the inner share that of all, for five dimensions
@@ -156,11 +155,9 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Statistics and verdict of every row of `docs`."""
     stats = vectors(statistics(docs)).withColumn(
-        "own", F.concat_ws("/", F.coalesce("lang", F.lit("?")), F.coalesce("source", F.lit("?")))
+        "grp", F.concat_ws("/", F.coalesce("lang", F.lit("?")), F.coalesce("source", F.lit("?")))
     )
-    stats = cut(stats)
-    sizes = stats.groupBy("own").count().withColumn("grp", F.when(F.col("count") >= MIN_GROUP, F.col("own")).otherwise("*"))
-    rows = salted_join(stats, sizes.select("own", "grp"), ["own"], F.col("key"))
+    rows = cut(stats)
     estimates = robust_estimates(rows.select("grp", "key", *DIMS))
     judged = distance(salted_join(rows, estimates, ["grp"], F.col("key")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

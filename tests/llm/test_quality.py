@@ -42,6 +42,18 @@ def test_rules_reject_outliers_of_a_group(spark):
     assert all(got[i] for i, *_ in rows) and not any(got[i] for i, *_ in odd)
 
 
+def test_rules_judge_small_groups_by_themselves(spark):
+    """What is usual in one source is an outlier in another, both of fewer than 200 documents."""
+    rng = random.Random(5)
+    odd = lambda: " ".join(w + "###" for w in prose(rng, 100).split())
+    plain = [(i, prose(rng, rng.randrange(80, 200)), "de", "s") for i in range(60)]
+    hidden = [(100 + i, odd(), "de", "s") for i in range(6)]
+    other = [(200 + i, odd(), "fr", "t") for i in range(120)]
+    rows = spark.createDataFrame(plain + hidden + other, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(rows).collect()}
+    assert all(got[i] for i, *_ in plain + other) and not any(got[i] for i, *_ in hidden)
+
+
 def test_estimate_is_the_concentrated_covariance(spark):
     """A step's mean and factor equal NumPy's over the inner share of each group."""
     rng = np.random.default_rng(1)
