@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = (
         docs.where(~held_out()).select("doc_id", F.col("text").cast("binary").alias("text"))
-        .join(known, "doc_id").select("text", "y", draw.alias("draw"))
+        .join(known.hint("merge"), "doc_id").select("text", "y", draw.alias("draw"))  # one plan at every size
     )
     learnt = cut(rows.mapInArrow(learner(sample / max(n, 1)), LEARNT))
     # A row for each place at most, whatever the input.
