@@ -7,6 +7,7 @@ from ..plans.ordered import lag_in_chunks, running_totals
 from ..schema import BACKGROUND, EXCLUDED, PIXEL_KEY, TARGET, UNLABELED
 
 EDIT_CHUNK = 1024
+RUN = ["image_id", "seq", "value", "y", "x0", "x1"]
 
 
 def repair_mask(masks: DataFrame, column: str = "raw_label") -> DataFrame:
@@ -70,6 +71,45 @@ def stamp_sized(sized: DataFrame) -> DataFrame:
     )
 
 
+def stamp_runs(edits: DataFrame, scenes: DataFrame) -> DataFrame:
+    """The pixels of `stamp` as runs `(image_id, seq, value, y, x0, x1)`, one per row of a disc."""
+    sized = edits.join(scenes.select("image_id", "height", "width"), "image_id")
+    low = F.greatest(F.lit(0), F.floor(F.col("cy") - F.col("r")).cast("int"))
+    high = F.least(F.col("height") - 1, F.ceil(F.col("cy") + F.col("r")).cast("int"))
+    dy, rr = F.col("y") - F.col("cy"), F.col("r") * F.col("r")
+    inside = lambda x: (x - F.col("cx")) * (x - F.col("cx")) + dy * dy <= rr
+    half = F.sqrt(F.greatest(rr - dy * dy, F.lit(0.0)))
+    # The root may be off by a rounding: the disc's own test decides at either end.
+    left, right = F.ceil(F.col("cx") - half), F.floor(F.col("cx") + half)
+    left = F.when(inside(left - 1), left - 1).when(inside(left), left).otherwise(left + 1)
+    right = F.when(inside(right + 1), right + 1).when(inside(right), right).otherwise(right - 1)
+    return (
+        sized.withColumn("y", F.explode(_span(low, high)))
+        .withColumn("x0", F.greatest(F.lit(0), left.cast("int")))
+        .withColumn("x1", F.least(F.col("width") - 1, right.cast("int")))
+        .filter("x0 <= x1").select(*_run_columns())
+    )
+
+
+def _run_columns() -> list[Column]:
+    return [F.col(c).cast("long") if c == "seq" else F.col(c) for c in RUN]
+
+
+def stroke_runs(strokes: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Runs of strokes `(image_id, stroke_id, pos, cx, cy, r, seq, value)`: all stamps of a stroke are one edit."""
+    marks = stroke_points(strokes).drop("cx", "cy").withColumnsRenamed({"sx": "cx", "sy": "cy"})
+    return stamp_runs(marks, scenes).distinct()
+
+
+def pixel_runs(pixels: DataFrame) -> DataFrame:
+    """Runs of pixel edits `(image_id, y, x, seq, value)`, such as a committed selection's."""
+    line = ["image_id", "seq", "value", "y"]
+    rank = F.row_number().over(Window.partitionBy(*line).orderBy("x"))
+    islands = pixels.select(*line, "x").distinct().withColumn("_run", F.col("x") - rank)
+    runs = islands.groupBy(*line, "_run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    return runs.select(*_run_columns())
+
+
 def stroke_points(strokes: DataFrame) -> DataFrame:
     """Stamp centres along each stroke, at most half a radius apart.
 
@@ -113,7 +153,13 @@ def polygon_edges(polygons: DataFrame) -> DataFrame:
 
 
 def fill_polygons(polygons: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Even-odd fill at row centres, spans rounded half up, clipped to the scene.
+    """Pixels of `polygon_runs`."""
+    runs = polygon_runs(polygons, scenes)
+    return runs.withColumn("x", F.explode(F.sequence("x0", "x1"))).drop("x0", "x1")
+
+
+def polygon_runs(polygons: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Even-odd fill at row centres as runs `(image_id, poly_id, y, x0, x1)`: spans rounded half up, clipped to the scene.
 
     Crossings are paired per scanline, so the sorted group is one scanline of one polygon; spans of
     sorted crossings, rounded monotonously, do not overlap.
@@ -144,10 +190,9 @@ def fill_polygons(polygons: DataFrame, scenes: DataFrame) -> DataFrame:
         .filter("n = 2")
     )
     half_up = lambda c: F.floor(F.col(c) + 0.5).cast("int")
-    span = _span(
-        F.greatest(F.lit(0), half_up("x1")), F.least(F.col("width") - 1, half_up("x2") - 1)
-    )
-    return paired.withColumn("x", F.explode(span)).select(*key, "x")
+    low = F.greatest(F.lit(0), half_up("x1"))
+    high = F.least(F.col("width") - 1, half_up("x2") - 1)
+    return paired.select(*key, low.alias("x0"), high.alias("x1")).filter("x0 <= x1")
 
 
 # ---- replay ----

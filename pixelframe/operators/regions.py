@@ -4,16 +4,18 @@ Work inside a block of pixels is done with NumPy on one bounded group; everythin
 joins and groupings on a graph that holds block borders only.
 """
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.graph import contract
 from ..plans.ordered import take_lowest
 from ..plans.sizing import is_empty
-from ..session import cut
+from ..session import cut, ensure_checkpoint_dir
 
 BLOCK = 128
 UNSET = np.iinfo(np.int64).max
@@ -66,8 +68,8 @@ def components(
 ) -> DataFrame:
     """Add `component`: the smallest pixel number (y * 2^31 + x) of the 4-connected component.
 
-    Blocks are labelled locally; touching labels of neighbouring blocks form a graph that is
-    contracted by minimum propagation with pointer jumping. The label does not depend on `block`.
+    Blocks are labelled locally; touching labels of neighbouring blocks form a graph that root
+    hooking contracts (`plans/graph.py`). The label does not depend on `block`.
     """
     keys = list(keys)
     pixels = _blocks(mask.select(*keys, "y", "x").distinct(), block)
@@ -86,7 +88,7 @@ def components(
     links = _block_links(local, keys, block)
     if is_empty(links):
         return local.withColumnRenamed("local", "component")
-    roots = _contract(links, keys)
+    roots = contract(links, keys)
     return (
         local.join(roots.withColumnRenamed("node", "local"),
                    [*keys, "local"], "left")
@@ -112,33 +114,6 @@ def _block_links(local: DataFrame, keys: list[str], block: int) -> DataFrame:
     return cut(both.distinct())
 
 
-def _contract(links: DataFrame, keys: list[str]) -> DataFrame:
-    """`root` of every node: the least node of its connected part.
-
-    Each round lowers a node to the least root among its neighbours and then to its root's root.
-    Neighbours per node are bounded by the block border; the jump joins on the unique node id.
-    """
-    nodes = cut(links.groupBy(*keys, F.col("a").alias("node")).agg(
-        F.least(F.min("b"), F.col("a")).alias("root")
-    ))
-    while True:
-        offered = links.join(
-            nodes.select(*keys, F.col("node").alias("b"), "root"), [*keys, "b"]
-        ).groupBy(*keys, F.col("a").alias("node")).agg(F.min("root").alias("offer"))
-        lowered = nodes.join(offered, [*keys, "node"]).select(
-            *keys, "node", F.col("root").alias("old"), F.least("root", "offer").alias("root")
-        )
-        ahead = lowered.select(*keys, F.col("node").alias("root"), F.col("root").alias("next"))
-        jumped = lowered.join(ahead, [*keys, "root"], "left").select(
-            *keys, "node", "old", F.least("root", F.coalesce("next", "root")).alias("root")
-        )
-        jumped = cut(jumped)
-        changed = not is_empty(jumped.filter(F.col("root") != F.col("old")))
-        nodes = jumped.drop("old")
-        if not changed:
-            return nodes
-
-
 def region_of(mask: DataFrame, seeds: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pixels of each sample's mask that are 4-connected to its seed.
 
@@ -177,50 +152,108 @@ def _local_distance(
         ring = int(later.min())
 
 
+class _Store:
+    """Versions of blocks in the shared folder: each round adds the blocks it improved, nothing else.
+
+    A block row holds `dist` of its pixels in the order of the packed region, how many pixels it has
+    per ring (equal distance), and the border pixels that this version improved.
+    """
+
+    VERSION = (
+        "n long, dist array<long>, rings array<struct<ring: long, n: long>>, "
+        "border array<struct<y: int, x: int, dist: long>>"
+    )
+
+    def __init__(self, region: DataFrame, keys: list[str], block: int):
+        self.keys, self.at = keys, [*keys, "by", "bx"]
+        spark = region.sparkSession
+        ensure_checkpoint_dir(spark)
+        self.path = f"{spark.sparkContext.getCheckpointDir()}/rings-{uuid.uuid4().hex}"
+        self.spark, self.round = spark, 0
+        pixels = _blocks(region.select(*keys, "y", "x").distinct(), block)
+        self.blocks = cut(
+            pixels.repartition(*self.at).groupBy(*self.at)
+            .agg(F.collect_list(F.struct("y", "x")).alias("pixels"))
+            .select(*self.at, F.col("pixels.y").alias("ys"), F.col("pixels.x").alias("xs"))
+        )
+        self.schema = _schema(self.blocks, self.at, self.VERSION)
+
+    def add(self, improved: DataFrame) -> int:
+        """Write a round's blocks; how many there are."""
+        self.round += 1
+        folder = f"{self.path}/round={self.round}"
+        improved.write.parquet(folder)
+        return self.spark.read.schema(self.schema).parquet(folder).count()
+
+    def versions(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, round int").parquet(self.path)
+
+    def latest(self, *columns: str) -> DataFrame:
+        """Each touched block's last version of `columns`; other columns are not read."""
+        kept = F.max_by(F.struct(*columns), "round").alias("_v")
+        return self.versions().groupBy(*self.at).agg(kept).select(
+            *self.at, *[F.col(f"_v.{c}").alias(c) for c in columns]
+        )
+
+    def last_border(self) -> DataFrame:
+        rows = self.versions().filter(F.col("round") == self.round)
+        return rows.select(*self.keys, F.explode("border").alias("_p")).select(
+            *self.keys, "_p.y", "_p.x", "_p.dist"
+        )
+
+
+def _far_limits(store: _Store, budget: int) -> DataFrame:
+    """Distance of the ring that already holds the `budget`-th pixel, per sample that has as many."""
+    per_ring = (
+        store.latest("rings").select(*store.keys, F.explode("rings").alias("_r"))
+        .groupBy(*store.keys, F.col("_r.ring").alias("ring")).agg(F.sum("_r.n").alias("n"))
+    )
+    upto = F.sum("n").over(Window.partitionBy(*store.keys).orderBy("ring"))
+    return (
+        per_ring.withColumn("_upto", upto).filter(F.col("_upto") >= budget)
+        .groupBy(*store.keys).agg(F.min("ring").alias("_far"))
+    )
+
+
 def path_distance(
     region: DataFrame, seeds: DataFrame, budget: int | None = None, block: int = BLOCK
 ) -> DataFrame:
     """`dist`: steps through the region from each sample's seed; unreached pixels are absent.
 
-    Blocks relax locally and hand improved border values to their neighbours, so the number of
-    rounds follows blocks, not pixels. With a budget, values beyond the distance that already
-    holds `budget` pixels are not passed on; they cannot be among the nearest.
+    A frontier walks over blocks: a round relaxes the blocks that were offered values across their
+    borders, and writes those that became nearer; settled blocks are not written again. Rounds follow
+    blocks, not pixels. With a budget, values beyond the ring that holds the `budget`-th pixel, which
+    the blocks' ring counts tell, are not passed on; they cannot be among the nearest.
     """
     keys = ["sample_id", "image_id"]
-    pixel = [*keys, "y", "x"]
-    pixels = cut(_blocks(region.select(*pixel), block).repartition(*keys, "by", "bx"))
-    done = None
-    incoming = seeds.select(*pixel).distinct().withColumn("start", F.lit(0).cast("long"))
-    schema = _schema(pixels, pixel, "dist long")
+    store = _Store(region, keys, block)
+    offers = seeds.select(*keys, "y", "x", F.lit(0).cast("long").alias("dist")).distinct()
+    names, schema = [x.name for x in store.spark.createDataFrame([], store.schema).schema], store.schema
 
-    def relax(frame: pd.DataFrame) -> pd.DataFrame:
-        start = frame["start"].fillna(FAR).astype("int64").to_numpy()
-        out = frame[pixel].copy()
-        out["dist"] = _local_distance(frame["y"].to_numpy(), frame["x"].to_numpy(), start)
-        return out[out["dist"] < FAR]
+    def relax(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            kept = [_relaxed(row, block) for row in frame.itertuples(index=False)]
+            kept = [list(row[:4]) + found for row, found in zip(frame.itertuples(index=False), kept) if found]
+            yield pd.DataFrame(kept, columns=names)
 
     while True:
-        active = _blocks(incoming, block).select(*keys, "by", "bx").distinct()
-        work = pixels.join(active, [*keys, "by", "bx"], "left_semi")
-        if done is not None:
-            known = done.select(*pixel, F.col("dist").alias("_known"))
-            work = work.join(known, pixel, "left")
+        to_block = _blocks(offers, block).groupBy(*store.at).agg(
+            F.collect_list(F.struct("y", "x", "dist")).alias("offers")
+        )
+        work = store.blocks.join(to_block, store.at)
+        if store.round:
+            work = work.join(store.latest("dist"), store.at, "left")
         else:
-            work = work.withColumn("_known", F.lit(None).cast("long"))
-        work = work.join(incoming, pixel, "left").withColumn("start", F.least("_known", "start"))
-        relaxed = work.groupBy(*keys, "by", "bx").applyInPandas(relax, schema)
-        merged = relaxed if done is None else done.unionByName(relaxed)
-        done = cut(merged.groupBy(*pixel).agg(F.min("dist").alias("dist")))
-
-        border = done.filter(
-            (F.col("y") % block).isin(0, block - 1) | (F.col("x") % block).isin(0, block - 1)
+            work = work.withColumn("dist", F.lit(None).cast("array<long>"))
+        work = work.select(
+            *store.at, "ys", "xs", "dist", F.col("offers.y").alias("oy"), F.col("offers.x").alias("ox"),
+            F.col("offers.dist").alias("od"),
         )
+        if not store.add(work.mapInPandas(relax, schema)):
+            break
+        border = store.last_border()
         if budget is not None:
-            limits = take_lowest(
-                done, keys, F.col("dist"), [F.col("y"), F.col("x")], F.lit(budget)
-            ).groupBy(*keys).agg(F.max("dist").alias("_far"), F.count(F.lit(1)).alias("_n"))
-            full = limits.filter(F.col("_n") >= budget)
-            border = border.join(full.select(*keys, "_far"), keys, "left").filter(
+            border = border.join(_far_limits(store, budget), keys, "left").filter(
                 F.col("_far").isNull() | (F.col("dist") < F.col("_far"))
             )
         out = F.explode(F.array(*[
@@ -230,18 +263,36 @@ def path_distance(
         offers = border.select(*keys, "y", "x", "dist", out.alias("to")).filter(
             (F.floor(F.col("to.y") / block) != F.floor(F.col("y") / block))
             | (F.floor(F.col("to.x") / block) != F.floor(F.col("x") / block))
-        ).select(
-            *keys, F.col("to.y").alias("y"), F.col("to.x").alias("x"),
-            (F.col("dist") + 1).alias("start"),
-        ).groupBy(*pixel).agg(F.min("start").alias("start"))
-        incoming = cut(
-            offers.join(pixels.select(*pixel), pixel, "left_semi")
-            .join(done, pixel, "left")
-            .filter(F.col("dist").isNull() | (F.col("start") < F.col("dist")))
-            .drop("dist")
+        ).groupBy(*keys, F.col("to.y").alias("y"), F.col("to.x").alias("x")).agg(
+            (F.min("dist") + 1).alias("dist")
         )
-        if is_empty(incoming):
-            return done
+    both = store.blocks.join(store.latest("dist"), store.at)
+    pixels = both.select(*keys, F.explode(F.arrays_zip("ys", "xs", "dist")).alias("_p"))
+    return pixels.select(
+        *keys, F.col("_p.ys").alias("y"), F.col("_p.xs").alias("x"), F.col("_p.dist").alias("dist")
+    ).filter(F.col("dist") < FAR)
+
+
+def _relaxed(row, block: int) -> list | None:
+    """Version columns of a block after its offers, or None if none of them is nearer."""
+    ys, xs = np.asarray(row.ys, np.int64), np.asarray(row.xs, np.int64)
+    known = np.full(len(ys), FAR, np.int64) if row.dist is None else np.asarray(row.dist, np.int64)
+    y0, x0 = ys.min(), xs.min()
+    height, width = int(ys.max() - y0) + 1, int(xs.max() - x0) + 1
+    offered = np.full((height, width), FAR, np.int64)
+    oy, ox = np.asarray(row.oy, np.int64) - y0, np.asarray(row.ox, np.int64) - x0
+    inside = (oy >= 0) & (oy < height) & (ox >= 0) & (ox < width)
+    np.minimum.at(offered, (oy[inside], ox[inside]), np.asarray(row.od, np.int64)[inside])
+    start = np.minimum(known, offered[ys - y0, xs - x0])
+    if np.array_equal(start, known):
+        return None
+    dist = _local_distance(ys, xs, start)
+    edge = np.isin(ys % block, (0, block - 1)) | np.isin(xs % block, (0, block - 1))
+    nearer = np.flatnonzero(edge & (dist < known))
+    border = [{"y": int(ys[i]), "x": int(xs[i]), "dist": int(dist[i])} for i in nearer]
+    rings, counts = np.unique(dist[dist < FAR], return_counts=True)
+    per_ring = [{"ring": int(r), "n": int(n)} for r, n in zip(rings, counts)]
+    return [int(counts.sum()), dist.tolist(), per_ring, border]
 
 
 def grow(region: DataFrame, seeds: DataFrame, budget: int, block: int = BLOCK) -> DataFrame:

@@ -3,195 +3,293 @@
 An undo pops the latest surviving edit of its scene; edits that changed nothing are not on the
 stack, and the stack holds the last 50. Whether an edit changed anything depends on the pixels, and
 the pixels depend on what was undone, so the log is solved as a fixpoint: guess which edits are on
-the stack, pair undos with edits, rebuild every edit's previous pixel values, and correct the guess.
-A round is right at least up to the first edit the previous one got wrong, so the rounds end, and
-what they end in is the sequential result. Every step is a running fold or a join; no scene is
-replayed inside one task.
+the stack, pair undos with edits, replay every block of pixels with these pairs, and correct the
+guess. A round is right at least up to the first edit the previous one got wrong, and what the rounds
+end in is the sequential result. Scenes whose guess held are settled and leave. Logs can be made in
+which each edit hangs on the one before; scenes that are open after ROUNDS rounds are therefore read
+in order instead, each by one iterator that holds the touched blocks and the stack.
+
+Edits stay runs of pixels (y, x0..x1); pixels appear only in the result. Stacks are paired in chunks
+of the log: a chunk is summed up as what it takes from the stack below and what it leaves on top, the
+sums are folded in order, and each chunk is then walked with the stack it starts from.
 """
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import running
 from ..plans.sizing import is_empty
-from ..schema import PIXEL_KEY, UNDO_LIMIT, UNLABELED
+from ..schema import UNDO_LIMIT, UNLABELED
 from ..session import cut
-from .labels import EDIT_CHUNK, pixel_edits
+from .labels import EDIT_CHUNK, RUN, stamp_runs
 
 SCENE = ["image_id"]
-END_OF_LOG = (1 << 62) - 1
+BLOCK = 64  # pixels on a side of what one group replays
+ROUNDS = 6
+NEVER = (1 << 63) - 1
+PIXELS = "y int, x int, label int, seq long"
+
+
+def _summed_up(seqs: np.ndarray, pushes: np.ndarray, limit: int) -> tuple[int, int, list[int]]:
+    """What a chunk does to a stack of k edits below it: `taken` from the top, at most `room` left, own edits on top.
+
+    max(min(k - taken, room), 0) edits stay. The form is closed under every step: a push leaves the
+    stack below `limit` less the own edits, an undo without own edits takes one.
+    """
+    taken, room, own = 0, limit, []
+    for seq, push in zip(seqs.tolist(), pushes.tolist()):
+        if push > 0:
+            own.append(seq)
+            del own[:-limit]
+            room = min(room, limit - len(own))
+        elif own:
+            own.pop()
+        else:
+            taken, room = taken + 1, room - 1
+    return taken, room, own
 
 
-def _chunk() -> Column:
-    return F.floor(F.col("seq") / EDIT_CHUNK)
+def _walked(stack: list[int], seqs: np.ndarray, pushes: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """(edit, undo) pairs of a chunk that starts from `stack`."""
+    pairs = []
+    for seq, push in zip(seqs.tolist(), pushes.tolist()):
+        if push > 0:
+            stack.append(seq)
+            del stack[:-limit]
+        elif stack:
+            pairs.append((stack.pop(), seq))
+    return pairs
 
 
 def match_undo(steps: DataFrame, limit: int = UNDO_LIMIT) -> DataFrame:
     """Pair every undo with the edit it pops: `(image_id, seq, undone_at)`.
 
-    `steps(image_id, seq, push)` holds +1 for an edit on the stack and -1 for an undo. The depth is
-    the running sum lifted by its lowest point below zero; a step that sets a new lowest point is
-    an undo of an empty stack and does nothing. At one depth edits and undos alternate, so the k-th
-    edit meets the k-th undo. An edit that had `limit` further edits above it meanwhile has left
-    the bounded stack, and its undo does nothing.
+    `steps(image_id, seq, push)` holds +1 for an edit on the stack and -1 for an undo; an undo of an
+    empty stack does nothing. One task sees the steps of one chunk, or one sum per chunk of a scene.
     """
-    order = [F.col("seq")]
-    walked = cut(running(steps, SCENE, _chunk(), order, {"height": ("sum", F.col("push"))}))
-    walked = running(
-        walked, SCENE, _chunk(), order, {"low": ("min", F.col("height"))}, inclusive=False
-    )
-    low = F.least(F.coalesce("low", F.lit(0)), F.lit(0))
-    void = (F.col("push") < 0) & (F.col("height") < low)
-    depth = F.col("height") - low
-    level = F.when(F.col("push") > 0, depth).otherwise(depth + 1)
-    at_level = walked.filter(~void).select("image_id", "seq", "push", level.alias("level"))
-    above = at_level.filter("push > 0").select(
-        "image_id", "seq", F.lit(0).alias("push"), (F.col("level") - limit).alias("level")
-    ).filter("level > 0")
-    events = cut(
-        at_level.withColumn("over", F.lit(0)).unionByName(above.withColumn("over", F.lit(1)))
-    )
-    counted = running(events, [*SCENE, "level"], _chunk(), order, {
-        "pushes": ("sum", (F.col("push") > 0).cast("long")),
-        "pops": ("sum", (F.col("push") < 0).cast("long")),
-        "overs": ("sum", F.col("over")),
-    })
-    pushed = counted.filter("push > 0").select(
-        *SCENE, "level", F.col("pushes").alias("k"), "seq", F.col("overs").alias("_o0")
-    )
-    popped = counted.filter("push < 0").select(
-        *SCENE, "level", F.col("pops").alias("k"), F.col("seq").alias("undone_at"),
-        F.col("overs").alias("_o1"),
-    )
-    pairs = pushed.join(popped, [*SCENE, "level", "k"])
-    return pairs.filter(F.col("_o0") == F.col("_o1")).select(*SCENE, "seq", "undone_at")
+    kind = steps.schema["image_id"].dataType.simpleString()
+    chunked = steps.select(*SCENE, F.floor(F.col("seq") / EDIT_CHUNK).alias("chunk"), "seq", "push")
 
+    def sum_up(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("seq")
+        found = _summed_up(frame["seq"].to_numpy(), frame["push"].to_numpy(), limit)
+        return pd.DataFrame([[frame["image_id"].iloc[0], frame["chunk"].iloc[0], *found]], columns=sums)
 
-def _latest_active(pushes: DataFrame, asks: DataFrame, keys: list[str]) -> DataFrame:
-    """For every ask, the latest push of its key still in force: `found` (seq, payload) or null.
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        stack, out = [], []
+        for row in frame.sort_values("chunk").itertuples(index=False):
+            out.append([row.image_id, row.chunk, list(stack)])
+            left = max(0, len(stack) - row.taken)
+            stack = stack[max(0, left - max(0, row.room)):left] + list(row.own)
+        return pd.DataFrame(out, columns=["image_id", "chunk", "stack"])
 
-    `pushes(keys, seq, undone_at, payload)` nest like a stack, so the push in force at depth d is
-    the last one that landed on depth d. `asks(keys, seq)` look at the state just before `seq`.
-    """
-    rows = (
-        asks.select(*keys, "seq", F.lit(0).alias("turn"), F.lit(0).alias("step"),
-                    F.lit(None).cast("int").alias("payload"))
-        .unionByName(pushes.select(
-            *keys, "seq", F.lit(1).alias("turn"), F.lit(1).alias("step"), "payload"))
-        .unionByName(pushes.filter("undone_at is not null").select(
-            *keys, F.col("undone_at").alias("seq"), F.lit(1).alias("turn"),
-            F.lit(-1).alias("step"), F.lit(None).cast("int").alias("payload")))
+    def walk(key: tuple, frame: pd.DataFrame, below: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("seq")
+        stack = list(below["stack"].iloc[0]) if len(below) else []
+        pairs = _walked(stack, frame["seq"].to_numpy(), frame["push"].to_numpy(), limit)
+        return pd.DataFrame([[key[0], *p] for p in pairs], columns=["image_id", "seq", "undone_at"])
+
+    sums = ["image_id", "chunk", "taken", "room", "own"]
+    at = [*SCENE, "chunk"]
+    stacks = (
+        chunked.groupBy(*at)
+        .applyInPandas(sum_up, f"image_id {kind}, chunk long, taken long, room long, own array<long>")
+        .groupBy(*SCENE).applyInPandas(fold, f"image_id {kind}, chunk long, stack array<long>")
     )
-    order = [F.col("seq"), F.col("turn")]
-    leveled = cut(running(cut(rows), keys, _chunk(), order, {"level": ("sum", F.col("step"))}).filter(
-        "step >= 0"
-    ))
-    put = F.when(F.col("step") > 0, F.struct("seq", "payload"))
-    found = running(leveled, [*keys, "level"], _chunk(), order, {"found": ("max", put)})
-    return found.filter("step = 0").select(*keys, "seq", "found")
-
-
-def _cleared_before(clears: DataFrame, asks: DataFrame) -> DataFrame:
-    found = _latest_active(
-        clears.withColumn("payload", F.lit(0)), asks.select(*SCENE, "seq").distinct(), SCENE
+    return chunked.groupBy(*at).cogroup(stacks.groupBy(*at)).applyInPandas(
+        walk, f"image_id {kind}, seq long, undone_at long"
     )
-    return found.select(*SCENE, "seq", F.col("found.seq").alias("cleared_at"))
 
 
-def _previous(writes: DataFrame, asks: DataFrame, cleared: DataFrame) -> DataFrame:
-    """`prev` value of every asked pixel just before `seq`."""
-    found = _latest_active(writes.withColumnRenamed("value", "payload"), asks, PIXEL_KEY)
-    joined = found.join(cleared, [*SCENE, "seq"], "left")
-    stands = F.col("found").isNotNull() & (
-        F.col("cleared_at").isNull() | (F.col("found.seq") > F.col("cleared_at"))
-    )
-    return joined.select(
-        *PIXEL_KEY, "seq",
-        F.when(stands, F.col("found.payload")).otherwise(UNLABELED).alias("prev"),
-        F.when(stands, F.col("found.seq")).alias("set_at"),
+def _in_blocks(runs: DataFrame) -> DataFrame:
+    """Runs cut at block borders, with their block."""
+    by = F.floor(F.col("y") / BLOCK)
+    first, last = F.floor(F.col("x0") / BLOCK), F.floor(F.col("x1") / BLOCK)
+    return (
+        runs.withColumn("by", by).withColumn("bx", F.explode(F.sequence(first, last)))
+        .withColumn("x0", F.greatest("x0", (F.col("bx") * BLOCK).cast("int")))
+        .withColumn("x1", F.least("x1", (F.col("bx") * BLOCK + (BLOCK - 1)).cast("int")))
     )
 
 
+class _Block:
+    """One block of pixels under its edits, in order, with their undos."""
+
+    def __init__(self, frame: pd.DataFrame):
+        frame = frame.sort_values("seq", kind="stable")
+        seqs, start = np.unique(frame["seq"].to_numpy(), return_index=True)
+        self.seqs = seqs
+        self.live = frame["live"].to_numpy()[start]
+        self.clear = frame["x0"].isna().to_numpy()[start]
+        self.value = frame["value"].fillna(UNLABELED).to_numpy(np.int64)[start]
+        self.undone = frame["undone_at"].to_numpy(np.int64)[start]
+        y, x0, x1 = (frame[c].fillna(0).to_numpy(np.int64) for c in ("y", "x0", "x1"))
+        self.y0, self.x0 = (int(frame[c].iloc[0]) * BLOCK for c in ("by", "bx"))
+        length = np.where(frame["x0"].isna().to_numpy(), 0, x1 - x0 + 1)
+        first = (y - self.y0) * BLOCK + x0 - self.x0
+        before = np.cumsum(length) - length
+        cells = np.repeat(first - before, length) + np.arange(length.sum())
+        ends = np.append(before[start], length.sum())
+        self.cells = [cells[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        self.label = np.full(BLOCK * BLOCK, UNLABELED, np.int64)
+        self.set_at = np.full(BLOCK * BLOCK, -1, np.int64)
+
+    def replay(self) -> np.ndarray:
+        """Whether each edit changes a pixel when its turn comes; leaves the final labels."""
+        n = len(self.seqs)
+        undos = np.flatnonzero(self.live & (self.undone < NEVER))
+        times = np.concatenate([self.seqs, self.undone[undos]])
+        turns = np.concatenate([np.arange(n), undos - n])[np.argsort(times, kind="stable")]
+        changed, saved = np.zeros(n, bool), {}
+        for turn in turns.tolist():
+            if turn < 0:
+                at, label, set_at = saved.pop(turn + n)
+                self.label[at], self.set_at[at] = label, set_at
+                continue
+            at = slice(None) if self.clear[turn] else self.cells[turn]
+            changed[turn] = bool((self.label[at] != self.value[turn]).any())
+            if self.live[turn]:
+                if self.undone[turn] < NEVER:
+                    saved[turn] = at, self.label[at].copy(), self.set_at[at].copy()
+                self.label[at], self.set_at[at] = self.value[turn], self.seqs[turn]
+        return changed
+
+
+def _replayed(rows: DataFrame, on_stack: DataFrame, undos: DataFrame, limit: int, final: bool) -> DataFrame:
+    """`(image_id, seq)` of edits that change something under the guess `on_stack`; if `final`, the pixels."""
+    steps = on_stack.withColumn("push", F.lit(1)).unionByName(undos.withColumn("push", F.lit(-1)))
+    spans = on_stack.withColumn("live", F.lit(True)).join(match_undo(steps, limit), [*SCENE, "seq"], "left")
+    work = rows.join(spans, [*SCENE, "seq"], "left").withColumn("live", F.coalesce("live", F.lit(False)))
+    work = work.withColumn("undone_at", F.coalesce("undone_at", F.lit(NEVER)))
+    kind = rows.schema["image_id"].dataType.simpleString()
+
+    def judge(frame: pd.DataFrame) -> pd.DataFrame:
+        block = _Block(frame)
+        seqs = block.seqs[block.replay()]
+        return pd.DataFrame({"image_id": np.full(len(seqs), frame["image_id"].iloc[0]), "seq": seqs})
+
+    def paint(frame: pd.DataFrame) -> pd.DataFrame:
+        block = _Block(frame)
+        block.replay()
+        at = np.flatnonzero(block.label != UNLABELED)
+        return pd.DataFrame({
+            "image_id": np.full(len(at), frame["image_id"].iloc[0]), "y": at // BLOCK + block.y0,
+            "x": at % BLOCK + block.x0, "label": block.label[at], "seq": block.set_at[at],
+        })
+
+    groups = work.groupBy(*SCENE, "by", "bx")
+    if final:
+        return groups.applyInPandas(paint, f"image_id {kind}, {PIXELS}")
+    return groups.applyInPandas(judge, f"image_id {kind}, seq long").distinct()
+
+
 def replay_with_undo(
-    edits: DataFrame, scenes: DataFrame, limit: int = UNDO_LIMIT
+    edits: DataFrame, scenes: DataFrame, limit: int = UNDO_LIMIT, runs: DataFrame | None = None,
+    each_round: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
-    """Final labelled pixels of an edit log of kinds stamp, clear and undo."""
+    """Final labelled pixels of an edit log of kinds stamp, clear and undo, and of any `runs`.
+
+    `runs(image_id, seq, value, y, x0, x1)` are edits of other kinds: polygons, strokes and selections
+    as `labels.polygon_runs`, `stroke_runs` and `pixel_runs` give them; a seq is one edit.
+    `each_round` is shown the scenes that a round did not settle.
+    """
     edits = edits.join(scenes.select("image_id"), "image_id", "left_semi")
-    writes = cut(pixel_edits(edits, scenes))
-    clears = cut(edits.filter("kind = 'clear'").select(*SCENE, "seq"))
-    undos = cut(edits.filter("kind = 'undo'").select(*SCENE, "seq"))
-    stamped = writes.select(*SCENE, "seq").distinct()
-    on_stack = cut(stamped.withColumn("clear", F.lit(False)).unionByName(
-        clears.withColumn("clear", F.lit(True))
-    ))
-    while True:
-        steps = on_stack.select(*SCENE, "seq", F.lit(1).alias("push")).unionByName(
-            undos.withColumn("push", F.lit(-1))
-        )
-        pairs = match_undo(steps, limit)
-        spans = cut(on_stack.join(pairs, [*SCENE, "seq"], "left"))
-        live_clears = spans.filter("clear").select(*SCENE, "seq", "undone_at")
-        live_writes = writes.join(
-            spans.filter("not clear").select(*SCENE, "seq", "undone_at"), [*SCENE, "seq"]
-        )
-        cleared = cut(_cleared_before(
-            live_clears, writes.select(*SCENE, "seq").unionByName(clears)
-        ))
-        before = _previous(live_writes, writes.select(*PIXEL_KEY, "seq"), cleared)
-        drawn, was = F.col("value") != UNLABELED, F.col("prev") != UNLABELED
-        effect = cut(
-            writes.join(before, [*PIXEL_KEY, "seq"])
-            .groupBy(*SCENE, "seq")
-            .agg(
-                F.bool_or(F.col("value") != F.col("prev")).alias("changed"),
-                F.sum(drawn.cast("long") - was.cast("long")).alias("gain"),
-            )
-        )
-        truly = effect.filter("changed").select(*SCENE, "seq", F.lit(False).alias("clear"))
-        truly = cut(truly.unionByName(_clears_that_wipe(spans, effect, clears, cleared)))
-        differ = truly.join(on_stack, [*SCENE, "seq"], "left_anti").unionByName(
-            on_stack.join(truly, [*SCENE, "seq"], "left_anti")
+    drawn = stamp_runs(edits.filter("kind = 'stamp'"), scenes)
+    if runs is not None:
+        drawn = drawn.unionByName(runs.join(scenes.select("image_id"), "image_id", "left_semi").select(*RUN))
+    drawn = cut(_in_blocks(drawn))
+    clears = edits.filter("kind = 'clear'").select(*SCENE, F.col("seq").cast("long"))
+    undos = cut(edits.filter("kind = 'undo'").select(*SCENE, F.col("seq").cast("long")))
+    # A clear reaches every block that is ever drawn on.
+    touched = drawn.select(*SCENE, "by", "bx").distinct()
+    rows = cut(drawn.unionByName(clears.join(touched, SCENE), allowMissingColumns=True))
+    guess = cut(drawn.select(*SCENE, "seq").distinct().unionByName(clears))
+    settled, open_rows, open_undos = None, rows, undos
+    for _ in range(ROUNDS):
+        found = cut(_replayed(open_rows, guess, open_undos, limit, final=False))
+        differ = found.withColumn("n", F.lit(1)).unionByName(guess.withColumn("n", F.lit(-1)))
+        dirty = cut(
+            differ.groupBy(*SCENE, "seq").agg(F.sum("n").alias("n")).filter("n <> 0")
+            .select(*SCENE).distinct()
         )
-        if is_empty(differ):
-            break
-        on_stack = truly
-
-    ends = writes.select(*PIXEL_KEY).distinct().withColumn("seq", F.lit(END_OF_LOG))
-    cleared = _cleared_before(live_clears, ends)
-    final = _previous(live_writes, ends, cleared)
-    return final.filter(F.col("prev") != UNLABELED).select(
-        *PIXEL_KEY, F.col("prev").alias("label"), F.col("set_at").alias("seq")
-    )
+        held = found.join(dirty, SCENE, "left_anti")
+        settled = held if settled is None else settled.unionByName(held)
+        if is_empty(dirty):
+            return _replayed(rows, settled, undos, limit, final=True)
+        if each_round is not None:
+            each_round(dirty)
+        guess = cut(found.join(dirty, SCENE, "left_semi"))
+        open_rows = rows.join(dirty, SCENE, "left_semi")
+        open_undos = undos.join(dirty, SCENE, "left_semi")
+    log = drawn.withColumn("kind", F.lit(DRAW))
+    for marks, kind in ((clears, CLEAR), (undos, UNDO)):
+        log = log.unionByName(marks.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+    rest = _in_order(log.join(dirty, SCENE, "left_semi"), limit)
+    return _replayed(rows.join(dirty, SCENE, "left_anti"), settled, undos, limit, final=True).unionByName(rest)
 
 
-def _clears_that_wipe(
-    spans: DataFrame, effect: DataFrame, clears: DataFrame, cleared: DataFrame
-) -> DataFrame:
-    """Clears with at least one labelled pixel before them.
+DRAW, CLEAR, UNDO = range(3)
 
-    Labelled pixels are a running sum of what stamps gained and undos gave back, counted from the
-    last clear still in force.
-    """
-    gains = spans.filter("not clear").join(effect, [*SCENE, "seq"])
-    moves = (
-        gains.select(*SCENE, "seq", F.col("gain").alias("move"))
-        .unionByName(gains.filter("undone_at is not null").select(
-            *SCENE, F.col("undone_at").alias("seq"), (-F.col("gain")).alias("move")))
-        .withColumn("is_clear", F.lit(False))
-    )
-    marks = clears.select(*SCENE, "seq", F.lit(0).cast("long").alias("move"), F.lit(True).alias(
-        "is_clear"))
-    level = running(
-        moves.unionByName(marks), SCENE, _chunk(), [F.col("seq"), F.col("is_clear")],
-        {"labeled": ("sum", F.col("move"))},
-    ).filter("is_clear").select(*SCENE, "seq", "labeled")
-    base = level.select(
-        "image_id", F.col("seq").alias("cleared_at"), F.col("labeled").alias("base")
-    )
-    counted = level.join(cleared, [*SCENE, "seq"], "left").join(
-        base, [*SCENE, "cleared_at"], "left"
-    )
-    return counted.filter(F.col("labeled") - F.coalesce("base", F.lit(0)) > 0).select(
-        *SCENE, "seq", F.lit(True).alias("clear")
-    )
 
+class _Scene:
+    """Touched blocks of a scene and its stack of (block, cells, labels, edits) before each change."""
+
+    def __init__(self, limit: int):
+        self.blocks, self.stack, self.limit = {}, [], limit
+
+    def apply(self, kind: int, seq: int, value: int, parts: dict) -> None:
+        if kind == UNDO:
+            for at, cells, label, set_at in self.stack.pop() if self.stack else ():
+                self.blocks[at][0][cells], self.blocks[at][1][cells] = label, set_at
+            return
+        if kind == CLEAR:
+            value = UNLABELED
+            parts = {at: np.flatnonzero(label != UNLABELED) for at, (label, _) in self.blocks.items()}
+        before, changed = [], False
+        for at, cells in parts.items():
+            fresh = np.full(BLOCK * BLOCK, UNLABELED, np.int64), np.full(BLOCK * BLOCK, -1, np.int64)
+            label, set_at = self.blocks.setdefault(at, fresh)
+            before.append((at, cells, label[cells].copy(), set_at[cells].copy()))
+            changed = changed or bool((label[cells] != value).any())
+        if changed:
+            for at, cells, _, _ in before:
+                self.blocks[at][0][cells], self.blocks[at][1][cells] = value, seq
+            self.stack.append(before)
+            del self.stack[:-self.limit]
+
+    def pixels(self, image_id) -> Iterator[pd.DataFrame]:
+        for (by, bx), (label, set_at) in self.blocks.items():
+            at = np.flatnonzero(label != UNLABELED)
+            yield pd.DataFrame({
+                "image_id": np.full(len(at), image_id), "y": at // BLOCK + by * BLOCK,
+                "x": at % BLOCK + bx * BLOCK, "label": label[at], "seq": set_at[at],
+            })
+
+
+def _in_order(log: DataFrame, limit: int) -> DataFrame:
+    """Final pixels of whole scenes, each log read once in order."""
+    kind = log.schema["image_id"].dataType.simpleString()
+    numbers = ["value", "y", "x0", "x1", "by", "bx"]
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for frame in frames for row in frame.itertuples(index=False))
+        for image_id, of_scene in groupby(rows, lambda row: row.image_id):
+            scene = _Scene(limit)
+            for seq, of_edit in groupby(of_scene, lambda row: row.seq):
+                parts: dict[tuple, list] = {}
+                for row in of_edit:
+                    if row.kind == DRAW:
+                        first = (row.y - row.by * BLOCK) * BLOCK - row.bx * BLOCK
+                        cells = np.arange(first + row.x0, first + row.x1 + 1)
+                        parts.setdefault((int(row.by), int(row.bx)), []).append(cells)
+                scene.apply(row.kind, seq, row.value, {at: np.concatenate(c) for at, c in parts.items()})
+            yield from scene.pixels(image_id)
+
+    ordered = log.fillna(0, numbers).select(*SCENE, "seq", "kind", *numbers)
+    return ordered.repartition(*SCENE).sortWithinPartitions(*SCENE, "seq").mapInPandas(
+        walk, f"image_id {kind}, {PIXELS}"
+    )

@@ -1,11 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from geometry import scene
 from pyspark.sql import functions as F
 
-from pixelframe.operators import labels
+from contract.fixtures import view
+from pixelframe.operators import labels, undo
 from pixelframe.operators.undo import match_undo, replay_with_undo
 from pixelframe.schema import EDITS
 from pixelframe.streaming import edits as stream
@@ -13,8 +15,8 @@ from pixelframe.streaming import edits as stream
 HEIGHT = WIDTH = 12
 
 
-def step_by_step(log, limit):
-    """The editor, one edit at a time."""
+def step_by_step(log, limit, drawn=None):
+    """The editor, one edit at a time; `drawn` holds the pixels of edits that are no stamps."""
     state, stack = {}, []
     for seq, kind, value, cx, cy, r in log:
         if kind == "undo":
@@ -25,6 +27,8 @@ def step_by_step(log, limit):
         if kind == "clear":
             touched = [p for p, v in state.items() if v != 255]
             value = 255
+        elif kind == "drawn":
+            touched = drawn[seq]
         else:
             touched = [
                 (y, x) for y in range(HEIGHT) for x in range(WIDTH)
@@ -64,6 +68,82 @@ def test_undo_equals_step_by_step(spark, seed, undo_share, limit):
     assert {(r["y"], r["x"]): r["label"] for r in got.collect()} == step_by_step(log, limit)
 
 
+def chain(links):
+    """Each link: paint, paint the same again for nothing, undo; whether a paint counts hangs on the link before."""
+    kinds = ["stamp", "stamp", "undo"] * links
+    return [(i, kind, 0, 5.0, 5.0, 2.0) for i, kind in enumerate(kinds)]
+
+
+@pytest.mark.parametrize("log", [chain(30), random_log(5, 90, 0.5) + [(200, "stamp", 1, 3.0, 3.0, 2.0)]])
+def test_rounds_of_undo_are_bounded(spark, log):
+    rounds = []
+    got = replay_with_undo(frame_of(spark, log), scene(spark, HEIGHT, WIDTH), 50, each_round=rounds.append)
+    assert {(r["y"], r["x"]): r["label"] for r in got.collect()} == step_by_step(log, 50)
+    assert len(rounds) <= undo.ROUNDS
+
+
+def test_undo_over_every_kind_of_edit(spark):
+    """Strokes, polygons and a selection among stamps, over several blocks."""
+    rng = random.Random(11)
+    log = random_log(8, 60, 0.35)
+    kinds = {i: rng.choice(["stroke", "polygon", "selection"]) for i in range(0, 60, 4)}
+    log = [(s, "drawn" if s in kinds else k, v, cx, cy, r) for s, k, v, cx, cy, r in log]
+    value = {s: v for s, _, v, *_ in log}
+    of = lambda kind: [s for s in kinds if kinds[s] == kind]
+    shape = scene(spark, HEIGHT, WIDTH)
+    corners = lambda s: [(rng.uniform(-2, 14), rng.uniform(-2, 14)) for _ in range(4)]
+    strokes = spark.createDataFrame(
+        [(0, s, i, x, y, 1.5, s, value[s]) for s in of("stroke") for i, (x, y) in enumerate(corners(s))],
+        "image_id int, stroke_id int, pos int, cx double, cy double, r double, seq long, value int")
+    polygons = spark.createDataFrame(
+        [(0, s, i, x, y) for s in of("polygon") for i, (x, y) in enumerate(corners(s))],
+        "image_id int, poly_id int, vertex int, vx double, vy double")
+    picked = spark.createDataFrame(
+        [(0, rng.randrange(12), rng.randrange(12), s, value[s]) for s in of("selection") for _ in range(30)],
+        "image_id int, y int, x int, seq long, value int")
+    values = spark.createDataFrame(list(value.items()), "seq long, value int")
+    filled = labels.polygon_runs(polygons, shape).withColumn("seq", F.col("poly_id").cast("long")).join(values, "seq")
+    runs = labels.stroke_runs(strokes, shape).unionByName(labels.pixel_runs(picked)).unionByName(
+        filled.select(*labels.RUN))
+
+    drawn = {s: set() for s in kinds}
+    for r in picked.collect():
+        drawn[r["seq"]].add((r["y"], r["x"]))
+    for r in labels.fill_polygons(polygons, shape).collect():
+        drawn[r["poly_id"]].add((r["y"], r["x"]))
+    marks = labels.stroke_points(strokes).drop("cx", "cy").withColumnsRenamed({"sx": "cx", "sy": "cy"})
+    for r in labels.stamp(marks, shape).collect():
+        drawn[r["seq"]].add((r["y"], r["x"]))
+
+    got = replay_with_undo(frame_of(spark, log), shape, 50, runs)
+    assert {(r["y"], r["x"]): r["label"] for r in got.collect()} == step_by_step(log, 50, drawn)
+
+
+def test_runs_hold_the_pixels_of_discs(spark, small):
+    edits = view(spark, small, "edits").filter("kind = 'stamp'")
+    shapes = view(spark, small, "scenes")
+    runs = labels.stamp_runs(edits, shapes).withColumn("x", F.explode(F.sequence("x0", "x1"))).select(
+        "image_id", "y", "x", "seq", "value")
+    discs = labels.stamp(edits, shapes).select("image_id", "y", "x", "seq", "value")
+    assert runs.exceptAll(discs).count() == discs.exceptAll(runs).count() == 0 < discs.count()
+
+
+def test_stack_sums_compose():
+    """A chunk's sum does to any stack what its steps do one by one."""
+    rng = random.Random(3)
+    for limit in (1, 3, 50):
+        for _ in range(200):
+            pushes = np.array([rng.choice([1, -1, -1]) for _ in range(rng.randrange(12))], dtype=int)
+            seqs = np.arange(100, 100 + len(pushes))
+            below = list(range(rng.randrange(limit + 1)))
+            taken, room, own = undo._summed_up(seqs, pushes, limit)
+            left = max(0, len(below) - taken)
+            stack = below[max(0, left - max(0, room)):left] + own
+            walked = list(below)
+            undo._walked(walked, seqs, pushes, limit)
+            assert stack == walked
+
+
 def test_undo_pairs(spark):
     #        empty undo, then nested pairs with a stack of two
     moves = [-1, 1, 1, 1, -1, -1, -1, 1, -1]

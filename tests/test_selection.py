@@ -1,8 +1,14 @@
+import math
+import random
+
 import numpy as np
 import pytest
 from geometry import component_labels, flood, frame, mask_rows, points, samples, scene
+from pyspark.sql import functions as F
 
 from pixelframe.operators import regions, selection
+from pixelframe.plans import graph
+from pixelframe.plans.skew import salted_join
 
 
 def field_of(spark, values, point_list):
@@ -110,6 +116,86 @@ def test_spiral_component_spans_blocks(spark):
     assert labelled.select("component").distinct().count() == 1
 
 
+def serpentine(side):
+    """One corridor through the whole square: rows joined at alternating ends."""
+    mask = np.zeros((side, side), dtype=bool)
+    mask[::2] = True
+    mask[1::4, -1] = True
+    mask[3::4, 0] = True
+    return mask
+
+
+def test_hooking_rounds_are_logarithmic(spark, monkeypatch):
+    mask, rounds = serpentine(400), []
+    contract = regions.contract
+    monkeypatch.setattr(regions, "contract", lambda links, keys: contract(links, keys, rounds.append))
+    labelled = regions.components(mask_rows(spark, mask), block=20)
+    assert labelled.groupBy("component").count().collect() == [(0, int(mask.sum()))]
+    # 200 corridor rows in 20 blocks each make 4,000 nodes: 12 is their logarithm.
+    assert 1 <= len(rounds) <= 12
+
+
+def test_contraction_of_any_graph(spark):
+    """Stars, long paths in bad orders, a hub of thousands of nodes, and parts of several keys."""
+    rng = random.Random(5)
+    hub = [(5000, i) for i in range(3000)]
+    order = list(range(6000, 6400))
+    rng.shuffle(order)
+    path = list(zip(order, order[1:]))
+    chain = [(i, i + 1) for i in range(7000, 7300)]
+    few = [(rng.randrange(9000, 9600), rng.randrange(9000, 9600)) for _ in range(400)]
+    edges = {(k, a, b) for k, es in enumerate([hub + path, chain + few, path]) for a, b in es if a != b}
+    links = spark.createDataFrame(
+        sorted(edges | {(k, b, a) for k, a, b in edges}), "k int, a long, b long")
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k, a, b in edges:
+        a, b = find((k, a)), find((k, b))
+        parent[max(a, b)] = min(a, b)
+    rounds = []
+    got = {(r["k"], r["node"]): (r["k"], r["root"]) for r in graph.contract(links, ["k"], rounds.append).collect()}
+    assert got == {x: find(x) for x in parent if find(x) != x}
+    assert len(rounds) <= 2 * math.ceil(math.log2(len(parent)))
+
+
+def test_no_hot_root_in_one_task(spark):
+    """Joins on a root are salted."""
+    left = spark.createDataFrame([(1, i) for i in range(400)], "root long, node long")
+    right = spark.createDataFrame([(1, 7)], "root long, _root long")
+    joined = salted_join(left, right, ["root"], ["node"])
+    assert joined.select("_root").distinct().collect() == [(7,)] and joined.count() == 400
+    tasks = left.select(F.pmod(F.xxhash64("node"), F.lit(16)).alias("part")).distinct().count()
+    assert tasks == 16
+
+
+def test_path_frontier_writes_follow_the_frontier(spark, monkeypatch):
+    """A corridor is walked block by block, and settled blocks are not written again."""
+    mask, written = serpentine(20), []
+    add = regions._Store.add
+
+    def counted(store, improved):
+        written.append(add(store, improved))
+        return written[-1]
+
+    monkeypatch.setattr(regions._Store, "add", counted)
+    rows = mask_rows(spark, mask).selectExpr("1 as sample_id", "*")
+    seed = spark.createDataFrame([(1, 0, 0, 0)], "sample_id int, image_id int, y int, x int")
+    block = 5
+    got = {(r["y"], r["x"]): r["dist"] for r in regions.path_distance(rows, seed, block=block).collect()}
+    assert got == flood(mask, (0, 0))
+    # Each of the three corridor rows that a block holds at most reaches it once more.
+    assert sum(written) <= 3 * (20 // block) ** 2 + 20 // block and max(written) <= 2
+    del written[:]
+    near = {(r["y"], r["x"]) for r in regions.grow(rows, seed, 12, block).collect()}
+    assert near == {(0, x) for x in range(12)} and sum(written) <= 4
+
+
 @pytest.mark.parametrize("block", [4, 32])
 @pytest.mark.parametrize("budget", [1, 25, 10 ** 6])
 def test_path_budget_equals_breadth_first(spark, block, budget):
