@@ -9,6 +9,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,6 @@ from ..plans.sizing import is_empty
 from ..session import cut, ensure_checkpoint_dir
 
 BLOCK = 128
-UNSET = np.iinfo(np.int64).max
 # Beyond any path length, yet exact as a float: missing starts arrive from Arrow as NaN.
 FAR = 1 << 52
 STEPS = ((-1, 0), (1, 0), (0, -1), (0, 1))
@@ -38,29 +39,65 @@ def _schema(df: DataFrame, names: Sequence[str], extra: str) -> str:
     return f"{kept}, {extra}"
 
 
-def _local_labels(ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    """Smallest pixel number of each pixel's component, within one block."""
-    y0, x0 = ys.min(), xs.min()
-    height, width = ys.max() - y0 + 1, xs.max() - x0 + 1
-    number = np.full((height + 2, width + 2), UNSET, dtype=np.int64)
-    on = np.zeros(number.shape, dtype=bool)
-    at = (ys - y0 + 1, xs - x0 + 1)
-    on[at] = True
-    number[at] = ys.astype(np.int64) * ROW_STRIDE + xs
-    while True:
-        # Sweep the minimum along runs in all four directions until nothing moves.
-        before = number.copy()
-        for axis in (0, 1):
-            for flip in (False, True):
-                view = np.flip(number, axis) if flip else number
-                live = np.flip(on, axis) if flip else on
-                view = view if axis == 0 else view.T
-                live = live if axis == 0 else live.T
-                for i in range(1, view.shape[0]):
-                    both = live[i] & live[i - 1]
-                    view[i] = np.where(both, np.minimum(view[i], view[i - 1]), view[i])
-        if np.array_equal(before, number):
-            return number[at]
+def _local_labels(group: np.ndarray, ys: np.ndarray, xs: np.ndarray, block: int) -> np.ndarray:
+    """Smallest pixel number of each pixel's component, for whole blocks in order of (group, y, x).
+
+    Roots hook onto smaller neighbours and pointers double, for all blocks at once.
+    """
+    n = len(ys)
+    cell = group.astype(np.int64) * (block * block) + ys % block * block + xs % block
+    beside = np.flatnonzero((np.diff(cell) == 1) & (np.diff(ys) == 0))
+    upper = np.flatnonzero(ys % block < block - 1)
+    under = np.searchsorted(cell, cell[upper] + block)
+    there = np.minimum(under, n - 1)
+    met = (under < n) & (cell[there] == cell[upper] + block)
+    a = np.concatenate([beside, upper[met]])
+    b = np.concatenate([beside + 1, there[met]])
+    root = np.arange(n)
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while not np.array_equal(root, ahead := root[root]):
+            root = ahead
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return (ys.astype(np.int64) * ROW_STRIDE + xs)[root]
+
+
+def _starts(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
+    """Rows of a sorted batch at which any of `columns` changes, the first among them."""
+    change = np.zeros(batch.num_rows, bool)
+    change[:1] = True
+    for name in columns:
+        column = batch.column(name)
+        change[1:] |= np.asarray(pc.not_equal(column[1:], column[:-1]))
+    return np.flatnonzero(change)
+
+
+def _labeller(keys: list[str], block: int):
+    """Pixels sorted by block to the same rows with `local`; holds one block and one batch."""
+    at = [*keys, "by", "bx"]
+
+    def labelled(batch: pa.RecordBatch) -> pa.RecordBatch:
+        starts = _starts(batch, at)
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+        ys, xs = (batch.column(c).to_numpy() for c in ("y", "x"))
+        local = pa.array(_local_labels(group, ys, xs, block), pa.int64())
+        kept = [*keys, "y", "x"]
+        return pa.record_batch([*[batch.column(c) for c in kept], local], names=[*kept, "local"])
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            whole = pa.concat_batches([*held, batch])
+            last = int(_starts(whole, at)[-1]) if whole.num_rows else 0
+            if last:
+                yield labelled(whole.slice(0, last))
+            held = [whole.slice(last)]
+        if held and held[0].num_rows:
+            yield labelled(held[0])
+
+    return label
 
 
 def components(
@@ -73,17 +110,10 @@ def components(
     """
     keys = list(keys)
     pixels = _blocks(mask.select(*keys, "y", "x").distinct(), block)
-    columns = [*keys, "y", "x"]
-
-    def label(frame: pd.DataFrame) -> pd.DataFrame:
-        out = frame[columns].copy()
-        out["local"] = _local_labels(frame["y"].to_numpy(), frame["x"].to_numpy())
-        return out
-
+    order = [*keys, "by", "bx"]
     local = cut(
-        pixels.groupBy(*keys, "by", "bx").applyInPandas(
-            label, _schema(pixels, columns, "local long")
-        )
+        pixels.repartition(*order).sortWithinPartitions(*order, "y", "x")
+        .mapInArrow(_labeller(keys, block), _schema(pixels, [*keys, "y", "x"], "local long"))
     )
     links = _block_links(local, keys, block)
     if is_empty(links):

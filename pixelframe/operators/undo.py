@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from ..plans.sizing import is_empty
 from ..schema import UNDO_LIMIT, UNLABELED
 from ..session import cut
-from .labels import EDIT_CHUNK, RUN, stamp_runs
+from .labels import RUN, stamp_runs
 
 SCENE = ["image_id"]
+STACK_CHUNK = 1 << 16  # steps of the log that one group walks: two numbers each
 BLOCK = 64  # pixels on a side of what one group replays
 ROUNDS = 6
 NEVER = (1 << 63) - 1
@@ -72,7 +73,7 @@ def match_undo(steps: DataFrame, limit: int = UNDO_LIMIT) -> DataFrame:
     empty stack does nothing. One task sees the steps of one chunk, or one sum per chunk of a scene.
     """
     kind = steps.schema["image_id"].dataType.simpleString()
-    chunked = steps.select(*SCENE, F.floor(F.col("seq") / EDIT_CHUNK).alias("chunk"), "seq", "push")
+    chunked = steps.select(*SCENE, F.floor(F.col("seq") / STACK_CHUNK).alias("chunk"), "seq", "push")
 
     def sum_up(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("seq")
