@@ -128,7 +128,7 @@ def start(rows: DataFrame, k: int) -> np.ndarray:
     """The `k` vectors of smallest sha256 of "2:<vec_id>", as rows."""
     rank = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")).cast("binary"), 256)
     first = rows.select(rank.alias("rank"), "v").orderBy("rank", "v").limit(k).collect()
-    return np.array([r.v for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r.v for r in first], np.int64).reshape(len(first), WIDTH)
 
 
 def moved(packed: DataFrame, centroids: np.ndarray) -> np.ndarray:

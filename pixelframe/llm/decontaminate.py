@@ -1,10 +1,12 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are compared as sequences of lower-case letters and digits with one blank between words. An
-item is covered by overlapping segments; two segments within an edit budget share at least
-length - q + 1 - edits * q of their q-grams, all on diagonals that differ by the budget at most.
+item is covered by overlapping segments, one every STRIDE characters, so that a verbatim quote of
+SEGMENT + STRIDE - 1 of these characters is found wherever it starts; two segments within an edit budget share
+at least length - q + 1 - edits * q of their q-grams, all on diagonals that differ by the budget at most.
 Shared q-grams are counted in overlapping diagonal bands twice that wide, regions that meet the bound
-are kept, and each is verified by an alignment inside its band.
+are kept, and each is verified by an alignment inside its band and inside one document: characters of an item that
+lie before a document's beginning or after its end count as edits.
 
 Documents are searched where they are scanned, nothing is shuffled but the few hits. The items go to
 the tasks in blocks of bounded size; a larger benchmark only takes more blocks.
@@ -24,7 +26,7 @@ from pixelframe.llm.common import documents, table
 from pixelframe.llm.neardup import blocks
 
 Q = 10
-SEGMENT = 96  # characters
+SEGMENT, STRIDE = 96, 16  # characters
 RATE = 0.075  # edits per character of a segment
 LEAST = 3  # shared q-grams that a budget must leave
 BLOCK_BYTES = 8 << 20  # of benchmark text that a task holds at once
@@ -76,7 +78,7 @@ class Items:
             if len(chars) < Q:
                 continue
             size = min(SEGMENT, len(chars))
-            starts = sorted({*range(0, len(chars) - size + 1, SEGMENT // 2), len(chars) - size})
+            starts = sorted({*range(0, len(chars) - size + 1, STRIDE), len(chars) - size})
             for s in starts:
                 part = chars[s:s + size]
                 edits = max(0, min(int(size * RATE), (size - Q + 1 - LEAST) // Q))
@@ -119,21 +121,20 @@ class Items:
         segment, number = segment[kept], number[kept]
         return np.stack([segment, number * (self.band[segment] // 2)], 1)
 
-    def verify(self, chars: np.ndarray, segment: int, low: int) -> tuple[int, int, int] | None:
-        """(start, end, edits) of the best alignment of the segment inside its band, within the budget."""
+    def verify(self, chars: np.ndarray, segment: int, low: int, first: int, last: int) -> tuple[int, int, int] | None:
+        """(start, end, edits) of the best alignment of the segment inside its band and chars[first:last], within the budget."""
         _, part, budget, _ = self.segments[segment]
         width, n = int(self.band[segment]) + 1, len(part)
-        for d in range(low, low + width):
-            if 0 <= d and d + n <= len(chars):
-                wrong = int((chars[d:d + n] != part).sum())
-                if wrong <= budget:
-                    return d, d + n, wrong
+        for d in range(max(low, first), min(low + width, last - n + 1)):
+            wrong = int((chars[d:d + n] != part).sum())
+            if wrong <= budget:
+                return d, d + n, wrong
         lanes = np.arange(width)
         padded = np.full(n + 2 * width, 0, np.uint32)
-        first = low - 1
-        a, b = max(first, 0), min(first + n + width, len(chars))
+        begin_at = low - 1
+        a, b = max(begin_at, first), min(begin_at + n + width, last)
         if a < b:
-            padded[a - first:b - first] = chars[a:b]
+            padded[a - begin_at:b - begin_at] = chars[a:b]
         cost, begin = np.zeros(width, np.int64), low + lanes
         for i in range(n):
             direct = cost + (padded[i + 1 + lanes] != part[i])
@@ -145,7 +146,26 @@ class Items:
             source = np.maximum.accumulate(np.where(here - lanes == run, lanes, -1))
             cost, begin = run + lanes, since[source]
         k = int(cost.argmin())
-        return (int(begin[k]), low + n + k, int(cost[k])) if cost[k] <= budget else None
+        start, end = max(int(begin[k]), first), min(low + n + k, last)
+        return (start, end, int(cost[k])) if cost[k] <= budget and start < end else None
+
+    def found(self, chars: np.ndarray):
+        """(segment, document, start, end, edits) of verified regions; texts end at END_OF_TEXT."""
+        stops = np.flatnonzero(chars == END_OF_TEXT)
+        for segment, low in self.candidates(chars).tolist():
+            _, part, budget, _ = self.segments[segment]
+            width = int(self.band[segment]) + 1
+            high = low + width + len(part)
+            doc = int(np.searchsorted(stops, max(low, 0)))
+            while doc < len(stops):
+                first, last = int(stops[doc - 1]) + 1 if doc else 0, int(stops[doc])
+                if first >= high:
+                    break
+                # A document that holds too little of the region cannot be within the budget.
+                if min(last, high) - max(first, low) >= len(part) - budget:
+                    if hit := self.verify(chars, segment, low, first, last):
+                        yield segment, doc, *hit
+                doc += 1
 
 
 def searcher(rows: list[tuple[int, str]]):
@@ -156,13 +176,10 @@ def searcher(rows: list[tuple[int, str]]):
             for batch in blocks(whole):
                 chars, places, begins = normal([x or "" for x in batch.column("text").to_pylist()], folded)
                 ids, out = batch.column("doc_id").to_pylist(), []
-                for segment, low in items.candidates(chars).tolist():
-                    if found := items.verify(chars, segment, low):
-                        start, end, edits = found
-                        a, b = int(places[max(start, 0)]), int(places[min(end, len(places)) - 1]) + 1
-                        doc = int(np.searchsorted(begins, a, "right")) - 1
-                        begin = int(begins[doc])
-                        out.append((ids[doc], items.segments[segment][0], a - begin, b - begin, edits))
+                for segment, doc, start, end, edits in items.found(chars):
+                    begin = int(begins[doc])
+                    a, b = int(places[start]) - begin, int(places[end - 1]) + 1 - begin
+                    out.append((ids[doc], items.segments[segment][0], a, b, edits))
                 columns = list(zip(*out)) or [()] * 5
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "start", "end", "edits"])
 

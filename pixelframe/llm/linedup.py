@@ -6,19 +6,20 @@ on the input, so a line may go that belongs to the first occurrence of another w
 
 Null text stays null, with no lines. A text of fewer than three lines has no window. Windows of
 three blank lines do not count. Rows without a doc_id are returned as they are and take no part.
-Repeated rows share their place in the order: each is kept as its twin is.
+Repeated rows share their place in the order: each is kept as its twin is. Rows that share a doc_id but not
+the text are judged each by its own lines.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import documents
+from pixelframe.llm.common import documents, text_key
 
 SALT = 16  # a window that a third of all documents share is joined in this many parts
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, h1, h2): two 64-bit hashes of lines pos, pos+1, pos+2."""
+    """(doc_id, text_at, pos, h1, h2): two 64-bit hashes of lines pos, pos+1, pos+2; text_at tells a doc_id's texts apart."""
     lines = F.split("text", "\n", -1)
     at = F.transform(
         F.expr("sequence(0, size(ls) - 3)"),
@@ -31,16 +32,16 @@ def windows(docs: DataFrame) -> DataFrame:
     )
     return (
         docs.where("doc_id is not null and text is not null")
-        .select("doc_id", lines.alias("ls"))
+        .select("doc_id", text_key().alias("text_at"), lines.alias("ls"))
         .where("size(ls) >= 3")
-        .select("doc_id", F.explode(at).alias("w"))
+        .select("doc_id", "text_at", F.explode(at).alias("w"))
         .where("w.full")
-        .select("doc_id", "w.pos", "w.h1", "w.h2")
+        .select("doc_id", "text_at", "w.pos", "w.h1", "w.h2")
     )
 
 
 def later_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, at): per document the starts of windows that occurred before."""
+    """(doc_id, text_at, at): per text of a document the starts of windows that occurred before."""
     each = windows(docs)
     firsts = (
         each.groupBy("h1", "h2")
@@ -52,7 +53,7 @@ def later_windows(docs: DataFrame) -> DataFrame:
     return (
         salted.join(firsts, ["h1", "h2", "salt"])
         .where(F.struct("doc_id", "pos") > F.col("first"))
-        .groupBy("doc_id")
+        .groupBy("doc_id", "text_at")
         .agg(F.collect_set("pos").alias("at"))
     )
 
@@ -63,7 +64,7 @@ def marked(docs: DataFrame) -> DataFrame:
     kept = F.expr("array_except(sequence(0, n_lines - 1), covered)")
     return (
         docs.select(F.struct("*").alias("row"))
-        .join(later_windows(docs), F.col("row.doc_id") == F.col("doc_id"), "left")
+        .join(later_windows(docs), (F.col("row.doc_id") == F.col("doc_id")) & (text_key("row.text") == F.col("text_at")), "left")
         .withColumn("ls", F.split("row.text", "\n", -1))
         .withColumn("n_lines", F.when(F.col("row.text").isNull(), 0).otherwise(F.size("ls")))
         .withColumn("covered", covered)

@@ -6,17 +6,22 @@ if pages say different things there: both are entropies over the host's pages, a
 importance combines its own with its children's. Branches of low importance are removed from every
 page of the host.
 
-What pages say of themselves comes first: scripts, styles, forms, and elements whose tag, role, class
-or id names a menu, header, footer, sidebar, notice, advert or comments are never content, and a page
-with an article or main element is exactly that element's content. Importance decides for the rest.
+What pages say of themselves comes first: scripts, styles, forms, and elements whose tag or role names a menu,
+header, footer, sidebar or dialog are never content; nor are those whose class or id hints at such, an advert or
+comments, unless the branch lies outside of any article or main element and holds most of the page's text: a hint at a
+wrapper says nothing of an article in it. A page with an article or main element is that element's content.
+
+Importance then takes low branches out, within articles too. A branch that says different things on a host's pages is
+never low. Where low branches make up more than half of what is left of a page, as where a host's pages are copies of one
+another, they are its content and stay.
 
 Null or empty html gives an empty text. Null or odd urls share one host. Hosts with fewer than
 LEAST_PAGES pages are not judged by the tree. Repeated rows are extracted each.
 """
 
 import html as entities
-import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -61,54 +66,52 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "out", "main", "noise", "kids", "parent")
+    __slots__ = ("tag", "path", "never", "hint", "inside", "noise", "kids", "parent", "size", "landed", "out", "main")
 
-    def __init__(self, tag, path, out, main, noise, parent):
-        self.tag, self.path, self.out, self.main, self.noise, self.parent = tag, path, out, main, noise, parent
+    def __init__(self, tag, path, never, hint, noise, parent):
+        self.tag, self.path, self.never, self.hint, self.noise, self.parent = tag, path, never, hint, noise, parent
+        self.inside = tag in LANDMARKS or parent is not None and parent.inside  # a landmark
         self.kids = []
+        self.size = self.landed = 0  # characters said in the branch, and of them inside landmarks
+        self.out = self.main = False
 
 
-def hinted(tag: str, attrs: str) -> tuple[str, bool]:
-    """The class part of an element's key, and whether its attributes mark it as no content."""
+def hinted(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """The class part of an element's key, whether its attributes say that it is no content, and whether they hint at it."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
     key = re.sub(r"\d+", "0", " ".join(sorted(found.get("class", "").lower().split())))
     if tag in KEEP_HINTED:
-        return key, False
+        return key, False, False
     words = {p.lower() for k in ("class", "id") for p in PARTS.findall(found.get(k, ""))}
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
-    return key, bool(words & HINTS or hidden or found.get("role", "").lower() in ROLES)
+    return key, bool(hidden or found.get("role", "").lower() in ROLES), bool(words & HINTS)
 
 
 def path_hash(path: str) -> int:
     return xxhash.xxh64_intdigest(path.encode()) - (1 << 63)
 
 
-def blocks(page: str, noise: frozenset = frozenset()) -> tuple[list[tuple[Element, str]], list[Element], bool]:
-    """Text blocks of a page with the element each begins in, all elements, and whether there is a landmark."""
+def parsed(page: str, noise: frozenset) -> tuple[list[list[tuple[Element, str]]], list[Element], Element]:
+    """Text blocks of a page as pieces with the element each is in, all elements in order, and the root."""
     root = Element("", "", False, False, False, None)
-    stack, elements, done, marked = [root], [], [], False
-    text: list[str] = []
-    owner = root
+    stack, elements, done = [root], [], []
+    held = Counter()  # how often a tag is open: closing tags that close nothing are not searched for
+    text: list[tuple[Element, str]] = []
     known: dict[str, bool] = {}
 
     def end_block():
-        nonlocal owner
         if text:
-            said = " ".join("".join(text).split())
+            done.append(text[:])
             text.clear()
-            if said:
-                done.append((owner, said))
 
     def say(piece: str):
-        nonlocal owner
-        if not text:
-            owner = stack[-1]
-        if not stack[-1].out:
-            text.append(entities.unescape(piece) if "&" in piece else piece)
+        if not stack[-1].never:
+            text.append((stack[-1], entities.unescape(piece) if "&" in piece else piece))
 
     def pop_to(k: int):
         if any(e.tag not in INLINE for e in stack[k:]):
             end_block()
+        held.subtract(e.tag for e in stack[k:])
         del stack[k:]
 
     at, n = 0, len(page)
@@ -125,14 +128,12 @@ def blocks(page: str, noise: frozenset = frozenset()) -> tuple[list[tuple[Elemen
             continue
         tag = tag.lower()
         if found["close"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    pop_to(k)
-                    break
+            if held[tag]:
+                pop_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag == "br" or tag not in INLINE:
             end_block()
-        if tag in P_ENDERS:
+        if tag in P_ENDERS and held["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     pop_to(k)
@@ -141,23 +142,21 @@ def blocks(page: str, noise: frozenset = frozenset()) -> tuple[list[tuple[Elemen
                     break
         if tag in ENDS:
             enders, scope = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in enders:
-                    pop_to(k)
-                    if tag != "tr" or stack[-1].tag not in enders:
+            if any(held[x] for x in enders):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in enders:
+                        pop_to(k)
+                        if tag != "tr" or stack[-1].tag not in enders:
+                            break
+                    elif stack[k].tag in scope:
                         break
-                elif stack[k].tag in scope:
-                    break
         above, attrs = stack[-1], found["attrs"]
-        key, no_content = hinted(tag, attrs) if attrs.strip(" /") else ("", False)
+        key, no_content, hint = hinted(tag, attrs) if attrs.strip(" /") else ("", False, False)
         path = f"{above.path}/{tag}.{key}" if len(stack) <= DEPTH else above.path
         low = known.get(path)
         if low is None:
             low = known[path] = bool(noise) and path_hash(path) in noise
-        out = above.out or no_content or tag in NEVER
-        main = above.main or tag in LANDMARKS and not out
-        marked = marked or main
-        element = Element(tag, path, out, main, above.noise or low, above)
+        element = Element(tag, path, above.never or no_content or tag in NEVER, hint, above.noise or low, above)
         above.kids.append(f"{tag}.{key}")
         elements.append(element)
         if tag in RAW:
@@ -165,13 +164,46 @@ def blocks(page: str, noise: frozenset = frozenset()) -> tuple[list[tuple[Elemen
             at = close.end() if close else n
         elif tag not in VOID and not attrs.endswith("/"):
             stack.append(element)
+            held[tag] += 1
     end_block()
-    return done, elements, marked
+    return done, elements, root
 
 
-def main_text(page: str | None, noise: frozenset = frozenset()) -> str:
+def blocks(page: str, noise: frozenset = frozenset()) -> tuple[list[tuple[Element, str]], list[Element], bool]:
+    """Text blocks of a page with the element each begins in, all elements, and whether there is a landmark."""
+    done, elements, root = parsed(page, noise)
+    for pieces in done:
+        for element, piece in pieces:
+            element.size += len(piece) - piece.count(" ")
+    for element in reversed(elements):
+        if element.tag in LANDMARKS and not element.never:
+            element.landed = element.size
+        element.parent.size += element.size
+        element.parent.landed += element.landed
+    for e in elements:
+        most = 2 * e.size > root.size or 2 * e.landed > root.landed > 0
+        e.out = e.never or e.parent.out or e.hint and (e.parent.inside or not most)
+        e.main = not e.out and (e.parent.main or e.tag in LANDMARKS)
+    said = []
+    for pieces in done:
+        kept = [(e, piece) for e, piece in pieces if not e.out]
+        if words := " ".join("".join(piece for _, piece in kept).split()):
+            said.append((kept[0][0], words))
+    return said, elements, any(e.main for e in elements)
+
+
+def judged(page: str | None, noise: frozenset = frozenset()) -> tuple[str, int]:
+    """The main text of a page, and how many blocks the host's tree took out of it."""
     done, _, marked = blocks(page or "", noise)
-    return " ".join(said for e, said in done if not e.out and (e.main if marked else not e.noise))
+    kept = [(e.noise, said) for e, said in done if e.main or not marked]
+    low = sum(len(said) for is_low, said in kept if is_low)
+    if marked and 2 * low > sum(len(said) for _, said in kept) or kept and all(is_low for is_low, _ in kept):
+        return " ".join(said for _, said in kept), 0
+    return " ".join(said for is_low, said in kept if not is_low), sum(is_low for is_low, _ in kept)
+
+
+def main_text(page: str | None, noise: frozenset = frozenset()) -> str:
+    return judged(page, noise)[0]
 
 
 NODES = "host string, path long, parent long, depth int, style long, feature long"
@@ -250,23 +282,21 @@ def site_noise(pages: DataFrame) -> DataFrame:
 
 def extractor(batches):
     for batch in batches:
-        said = [
-            main_text(page, frozenset(noise or ()))
-            for page, noise in zip(batch.column("html").to_pylist(), batch.column("noise").to_pylist())
-        ]
+        pages = zip(batch.column("html").to_pylist(), batch.column("noise").to_pylist())
+        said, low = zip(*(judged(page, frozenset(noise or ())) for page, noise in pages)) if batch.num_rows else ((), ())
         yield pa.record_batch(
-            [batch.column("page_id"), batch.column("url"), pa.array(said, pa.string()), pa.array(map(len, said), pa.int64())],
-            names=["page_id", "url", "text", "n_chars"],
+            [batch.column("page_id"), batch.column("url"), pa.array(said, pa.string()), pa.array(map(len, said), pa.int64()), pa.array(low, pa.int64())],
+            names=["page_id", "url", "text", "n_chars", "n_low"],
         )
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars), a row for each row of `pages`."""
+    """(page_id, url, text, n_chars, n_low), a row for each row of `pages`; n_low: blocks that the host's tree took out."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     noise = site_noise(rows.select("host", "html")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int"))
     return salted.join(noise, ["host", "salt"], "left").select("page_id", "url", "html", "noise").mapInArrow(
-        extractor, "page_id long, url string, text string, n_chars long")
+        extractor, "page_id long, url string, text string, n_chars long, n_low long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,11 @@
 """WARC round trips and main text of pages."""
 
 import hashlib
+import math
+import random
+import time
 import uuid
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -58,6 +62,83 @@ def test_main_text():
     assert text("<a href='unclosed>x</a> <p>y") != "" and text("a &am b &#233; &nosuch;") == "a &am b é &nosuch;"
 
 
+def test_hints_spare_what_holds_the_page():
+    text = sitetree.main_text
+    assert text("<div class='layout has-sidebar'><article><p>all of it</p></article><div class=sidebar>no</div></div>") == "all of it"
+    assert text("<div id=main-nav-wrapper><p>a long story without landmarks</p></div><div class=nav>no</div>") == "a long story without landmarks"
+    assert text("<article><p>x</p><div class=related>much longer than the story itself</div></article>") == "x"
+    assert text("<div class=comments><article>short</article></div><article>the story is longer</article>") == "the story is longer"
+    assert text("<p>a story <span class=ad>buy</span> goes on</p>") == "a story goes on"
+
+
+def test_unclosed_markup_takes_linear_time():
+    took = []
+    for n in (4000, 32000):
+        start = time.perf_counter()
+        assert sitetree.main_text("<div>a" * n + "</p>" * n) == " ".join("a" * n)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
+def test_low_branches_go_from_articles_unless_they_are_the_content(spark):
+    page = lambda i, said: f"<body><article><h1>Story {i}</h1><p>{said}</p><div class=tail>Tell your friends</div></article></body>"
+    rows = [(i, f"http://h.example/{i}", page(i, f"Words {i * i} and {i}.")) for i in range(30)]
+    rows += [(100 + i, "http://copies.example/", page(1, "Always the same story.")) for i in range(30)]
+    got = {r.page_id: (r.text, r.n_low) for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == (f"Story {i} Words {i * i} and {i}.", 1) for i in range(30))
+    assert all(got[100 + i] == ("Story 1 Always the same story. Tell your friends", 0) for i in range(30))
+
+
+def noise_by_hand(pages):
+    """Low branches of one host's pages, straight from the definitions."""
+    seen, layouts, texts, above = Counter(), {}, {}, {}
+    for page in pages:
+        done, elements, _ = sitetree.blocks(page)
+        for path in {e.path for e in elements} | {""}:
+            seen[path] += 1
+        kinds = {}
+        for e in elements:
+            above[e.path] = e.parent.path
+            kinds.setdefault(e.path, set()).add(",".join(e.kids))
+        for path, k in kinds.items():
+            layouts.setdefault(path, Counter())["|".join(sorted(k))] += 1
+        for path, said in {(e.path, said) for e, said in done}:
+            texts.setdefault(path, Counter())[said] += 1
+    entropy = lambda c: -sum(n / sum(c.values()) * math.log(n / sum(c.values())) for n in c.values())
+    most = lambda path: math.log(seen[path]) if seen[path] > 1 else 1.0
+
+    def judge(path):
+        kids = [p for p in above if above[p] == path and p != path]
+        below = [(seen[k], *judge(k)) for k in kids]
+        content = None
+        if path in texts:
+            # What is said on n pages weighs its share of all that is said there, against as many pages as have the node.
+            c = texts[path]
+            content = 1 - sum(n * math.log(n) for n in c.values()) / sum(c.values()) / most(path)
+        layout = entropy(layouts[path]) / most(path) if seen[path] > 1 else 1.0
+        parts = [(n, w) for n, w, _ in below] + ([] if content is None else [(seen[path], content)])
+        inner = sum(n * w for n, w in parts) / sum(n for n, _ in parts) if parts else layout
+        share = sitetree.DECAY ** len(kids)
+        worth = (1 - share) * layout + share * inner if kids else inner
+        low = worth < sitetree.LOW and all(x for _, _, x in below) and (content is None or content < sitetree.LOW)
+        return worth, low and seen[path] >= sitetree.LEAST_PAGES
+
+    return {sitetree.path_hash(p) for p in above if judge(p)[1]}
+
+
+def test_tree_equals_definitions(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice("red green blue one two three".split()) + str(rng.randrange(50)) for _ in range(n))
+    pages = [
+        f"<body><div class=top><b>Site</b> home<ul>{'<li>x' * rng.choice([2, 2, 2, 3])}</ul></div><div class=mid><h2>{rng.choice(['News', 'News', 'Views'])}</h2>"
+        f"{''.join(f'<p>{words(5)}</p>' for _ in range(rng.randrange(1, 4)))}<div class=same>{rng.choice(['a', 'a', 'a', 'a', 'b'])}</div></div><p class=end>bye</p></body>"
+        for _ in range(40)
+    ]
+    rows = spark.createDataFrame([("h", p) for p in pages], "host string, html string").repartition(5)
+    got = {x for r in sitetree.site_noise(rows).collect() for x in r.noise}
+    assert got == noise_by_hand(pages) and got
+
+
 def test_branches_that_say_the_same_everywhere_go(spark):
     page = lambda i: f"<body><div class=top>Best site ever</div><div class=body><p>Story {i} of many.</p><p>{i * i} words</p></div><div class=end>All rights</div></body>"
     rows = [(i, f"http://h.example/{i}", page(i)) for i in range(30)] + [(100, "http://other.example/", page(100)), (101, None, None), (102, "odd", "")]
