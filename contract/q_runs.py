@@ -10,6 +10,7 @@ from pixelframe.session import ensure_checkpoint_dir
 from pixelframe.sources import tables
 from pixelframe.streaming import edits as edit_stream
 from pixelframe.streaming import gate as gate_stream
+from pixelframe.streaming import state as label_state
 
 from .common import PATCH, STRIDE, normed, predicted, r, roles, scored, truth
 from .fixtures import view
@@ -392,7 +393,29 @@ def _(spark, sf):
         _event_stream(spark, sf, "edits"), view(spark, sf, "scenes"), f"{base}/state", f"{base}/log"
     )
     run.awaitTermination()
-    return edit_stream.read_state(spark, f"{base}/state")
+    return label_state.read_state(spark, f"{base}/state")
+
+
+@query("e11_live_iou_stream", """
+select image_id, count(*) filter (where label = 0 and cls = 0 and valid) as tp,
+       count(*) filter (where label not in (0, 255) and cls = 0 and valid) as fp,
+       count(*) filter (where label = 0 and cls <> 0 and valid) as fn,
+       count(*) filter (where label not in (0, 255) and cls <> 0 and valid) as tn,
+       case when count(*) filter (where label = 0 and valid) > 0 then
+         count(*) filter (where label = 0 and cls = 0 and valid)
+         / count(*) filter (where label <> 255 and valid and (label = 0 or cls = 0)) end as iou
+from replayed join ppx using (image_id, y, x) group by image_id having count(*) filter (where valid) > 0""")
+def _(spark, sf):
+    """Edits arrive in four files out of order; counts follow by retraction."""
+    base, edits = scratch(spark), view(spark, sf, "edits")
+    late = F.pmod(F.hash("seq"), F.lit(4))
+    edits.withColumn("part", late).repartition(4, "part").drop("part").write.parquet(f"{base}/in")
+    flow = spark.readStream.schema(edits.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    run = edit_stream.stream_labels(
+        flow, view(spark, sf, "scenes"), f"{base}/state", f"{base}/log", pred=predicted(spark, sf)
+    )
+    run.awaitTermination()
+    return label_state.read_live(spark, f"{base}/state")
 
 
 @query("r2_save_points", """

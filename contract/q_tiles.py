@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from pixelframe.functions.windows import tile_count, tile_offsets
-from pixelframe.operators import scoring, tiling
+from pixelframe.operators import labels, scoring, tiling
 
-from .common import PATCH, STRIDE, normed, predicted, r, truth
+from .common import PATCH, STRIDE, normed, predicted, r, truth, valid_px
 from .fixtures import fixture_logits, fixture_model, neighbour_model, pixels, table, view
 from .registry import cte, query
 
@@ -141,14 +141,17 @@ def _(spark, sf):
 
 @query("t9_patch_label_stats", """
 select a.image_id, a.ty, a.tx,
-       count(*) filter (where m.label not in (254, 255)) as labeled_px, bool_or(m.label = 0) as has_target
-from assigned_sql a join fixed_masks m using (image_id, y, x)
+       count(*) filter (where v.valid and m.label <> 255) as labeled_px,
+       bool_or(v.valid and m.label = 0) as has_target
+from assigned_sql a join fixed_masks m using (image_id, y, x) join vpx v using (image_id, y, x)
 where not (m.y < 20 and m.x < 20)
 group by a.image_id, a.ty, a.tx
-having count(*) filter (where m.label not in (254, 255)) > 0""")
+having count(*) filter (where v.valid and m.label <> 255) > 0""")
 def _(spark, sf):
-    """Label statistics and the filter on them; a corner of every scene is left undrawn."""
-    drawn = truth(spark, sf).filter(~((F.col("y") < 20) & (F.col("x") < 20)))
+    """Label statistics and the filter on them; a corner of every scene is left undrawn, invalid pixels are excluded."""
+    valid = valid_px(spark, sf).select("image_id", "y", "x", "valid")
+    rows = labels.collapse_labels(truth(spark, sf).join(valid, ["image_id", "y", "x"]))
+    drawn = rows.filter(~((F.col("y") < 20) & (F.col("x") < 20))).withColumn("label", F.col("mask"))
     stats = tiling.patch_label_stats(
         tiling.assign_patches(drawn, view(spark, sf, "scenes"), PATCH, STRIDE)
     )

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordered import lag_in_chunks, running_totals
+from ..plans.skew import scene_join
 from ..schema import BACKGROUND, EXCLUDED, PIXEL_KEY, TARGET, UNLABELED
 
 EDIT_CHUNK = 1024
@@ -49,9 +50,7 @@ def _span(low: Column, high: Column) -> Column:
 
 def stamp(edits: DataFrame, scenes: DataFrame) -> DataFrame:
     """Pixels of each disc edit: integer positions within `r` of the pointer, inside the scene."""
-    sized = edits.join(
-        scenes.select("image_id", "height", "width"), "image_id"
-    )
+    sized = scene_join(edits, scenes.select("image_id", "height", "width"), ["cx", "cy"])
     return stamp_sized(sized)
 
 
@@ -73,7 +72,7 @@ def stamp_sized(sized: DataFrame) -> DataFrame:
 
 def stamp_runs(edits: DataFrame, scenes: DataFrame) -> DataFrame:
     """The pixels of `stamp` as runs `(image_id, seq, value, y, x0, x1)`, one per row of a disc."""
-    sized = edits.join(scenes.select("image_id", "height", "width"), "image_id")
+    sized = scene_join(edits, scenes.select("image_id", "height", "width"), ["cx", "cy"])
     low = F.greatest(F.lit(0), F.floor(F.col("cy") - F.col("r")).cast("int"))
     high = F.least(F.col("height") - 1, F.ceil(F.col("cy") + F.col("r")).cast("int"))
     dy, rr = F.col("y") - F.col("cy"), F.col("r") * F.col("r")
@@ -165,9 +164,8 @@ def polygon_runs(polygons: DataFrame, scenes: DataFrame) -> DataFrame:
     sorted crossings, rounded monotonously, do not overlap.
     """
     key = ["image_id", "poly_id", "y"]
-    edges = polygon_edges(polygons).join(
-        scenes.select("image_id", "height", "width"), "image_id"
-    )
+    shape = scenes.select("image_id", "height", "width")
+    edges = scene_join(polygon_edges(polygons), shape, ["ax", "ay"])
     top, bottom = F.least("ay", "by"), F.greatest("ay", "by")
     rows = _span(
         F.greatest(F.lit(0), F.floor(top).cast("int") - 1),
@@ -218,7 +216,7 @@ def replay(pixels: DataFrame, clears: DataFrame) -> DataFrame:
     last = pixels.groupBy(*PIXEL_KEY).agg(
         F.max("seq").alias("seq"), F.max_by("value", "seq").alias("label")
     )
-    kept = last.join(wiped, "image_id", "left").filter(
+    kept = scene_join(last, wiped, ["y", "x"], "left").filter(
         F.col("_wiped").isNull() | (F.col("seq") > F.col("_wiped"))
     )
     return kept.filter(F.col("label") != UNLABELED).select(*PIXEL_KEY, "label", "seq")

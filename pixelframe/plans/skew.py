@@ -23,3 +23,14 @@ def salted_join(
     numbered = left.withColumn(PART, F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int"))
     copied = right.withColumn(PART, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return numbered.join(copied, [*keys, PART], how).drop(PART)
+
+
+def scene_join(
+    rows: DataFrame, per_scene: DataFrame, spread: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """`rows` join a table of one row per scene; a scene's rows stay spread over tasks.
+
+    Where the small side is broadcast nothing moves. Where it is not, a plain join would leave whole
+    scenes in a task, and every grouping by scene and more would then go on inside that task.
+    """
+    return salted_join(rows, per_scene, ["image_id"], spread, how)

@@ -1,15 +1,10 @@
 """Label edits as a stream: latest-wins state, save points and labelling rate."""
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.labels import stamp_sized
 from ..operators.monitor import label_rate, save_points
-from ..schema import PIXEL_KEY, UNLABELED
-
-WRITES, CLEARS = "writes", "clears"
+from . import state
 
 
 def stream_labels(
@@ -18,25 +13,18 @@ def stream_labels(
     path: str,
     checkpoint: str,
     trigger: dict | None = None,
+    pred: DataFrame | None = None,
+    buckets: int = state.BUCKETS,
 ) -> StreamingQuery:
-    """Fold a stream of edits into label state under `path`.
+    """Fold a stream of edits into the label state under `path` (`state.read_state`).
 
-    Each micro-batch is reduced to one row per touched pixel (greatest `seq`) and stored as its own
-    partition, overwritten as a whole when the batch is replayed. Reading takes the greatest `seq`
-    again, so late, repeated and reordered edits change nothing. A clear stays one row per scene.
+    With predictions `pred(image_id, y, x, valid, cls)` the confusion counts of every scene are kept
+    up to date beside it (`state.read_live`).
     """
     shape = scenes.select("image_id", "height", "width")
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
-        sized = kept.filter("kind = 'stamp'").join(shape, "image_id")
-        writes = stamp_sized(sized).groupBy(*PIXEL_KEY).agg(
-            F.max("seq").alias("seq"), F.max_by("value", "seq").alias("label")
-        )
-        clears = kept.filter("kind = 'clear'").groupBy("image_id").agg(F.max("seq").alias("seq"))
-        writes.write.mode("overwrite").parquet(f"{path}/{WRITES}/batch={batch_id}")
-        clears.write.mode("overwrite").parquet(f"{path}/{CLEARS}/batch={batch_id}")
-        kept.unpersist()
+        state.fold(batch, batch_id, shape, path, pred, buckets)
 
     return (
         edits.writeStream.foreachBatch(fold)
@@ -46,45 +34,6 @@ def stream_labels(
     )
 
 
-def _folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path).drop("batch")
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-
-
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Current labels of a stream's state: labelled pixels with the edit that set them."""
-    writes = _folder(
-        spark, f"{path}/{WRITES}", "image_id int, y int, x int, seq bigint, label int"
-    )
-    clears = _folder(spark, f"{path}/{CLEARS}", "image_id int, seq bigint")
-    last = writes.groupBy(*PIXEL_KEY).agg(
-        F.max("seq").alias("seq"), F.max_by("label", "seq").alias("label")
-    )
-    wiped = clears.groupBy("image_id").agg(F.max("seq").alias("_wiped"))
-    return (
-        last.join(wiped, "image_id", "left")
-        .filter(F.col("_wiped").isNull() | (F.col("seq") > F.col("_wiped")))
-        .filter(F.col("label") != UNLABELED)
-        .select(*PIXEL_KEY, "label", "seq")
-    )
-
-
-def compact_state(spark: SparkSession, path: str, into: str) -> None:
-    """Rewrite a state folder as one batch in a new folder; run it while the stream is stopped."""
-    writes = _folder(
-        spark, f"{path}/{WRITES}", "image_id int, y int, x int, seq bigint, label int"
-    )
-    clears = _folder(spark, f"{path}/{CLEARS}", "image_id int, seq bigint")
-    writes.groupBy(*PIXEL_KEY).agg(
-        F.max("seq").alias("seq"), F.max_by("label", "seq").alias("label")
-    ).write.mode("overwrite").parquet(f"{into}/{WRITES}/batch=-1")
-    clears.groupBy("image_id").agg(F.max("seq").alias("seq")).write.mode("overwrite").parquet(
-        f"{into}/{CLEARS}/batch=-1"
-    )
-
-
 def _append(
     df: DataFrame, path: str, checkpoint: str, trigger: dict | None
 ) -> StreamingQuery:

@@ -7,10 +7,11 @@ from geometry import scene
 from pyspark.sql import functions as F
 
 from contract.fixtures import view
-from pixelframe.operators import labels, undo
+from pixelframe.operators import evaluate, labels, undo
 from pixelframe.operators.undo import match_undo, replay_with_undo
 from pixelframe.schema import EDITS
 from pixelframe.streaming import edits as stream
+from pixelframe.streaming import state
 
 HEIGHT = WIDTH = 12
 
@@ -200,9 +201,74 @@ def test_stream_is_order_and_repeat_proof(spark, tmp_path):
     run.awaitTermination()
     want = labels.replay(labels.pixel_edits(edits, shape), edits.filter("kind = 'clear'"))
     key = lambda df: sorted((r["y"], r["x"], r["label"], r["seq"]) for r in df.collect())
-    assert key(stream.read_state(spark, str(tmp_path / "state"))) == key(want)
-    stream.compact_state(spark, str(tmp_path / "state"), str(tmp_path / "small"))
-    assert key(stream.read_state(spark, str(tmp_path / "small"))) == key(want)
+    assert key(state.read_state(spark, str(tmp_path / "state"))) == key(want)
+    state.copy_state(spark, str(tmp_path / "state"), str(tmp_path / "small"), buckets=3)
+    assert key(state.read_state(spark, str(tmp_path / "small"))) == key(want)
+
+
+def wide_log(seed, length):
+    """Edits all over a scene of several blocks, with clears, and a second scene without."""
+    rng = random.Random(seed)
+    rows = []
+    for seq in range(length):
+        kind = "clear" if rng.random() < 0.04 else "stamp"
+        scene_id = rng.choice([0, 0, 1])
+        rows.append((seq, None, scene_id, "stamp" if scene_id else kind, rng.choice([0, 1, 255]),
+                     rng.uniform(0, 200), rng.uniform(0, 200), float(rng.choice([1, 3, 9]))))
+    return rows
+
+
+def test_live_counts_equal_the_batch_after_every_batch(spark, tmp_path):
+    log, path = wide_log(21, 160), str(tmp_path / "state")
+    edits = spark.createDataFrame(log, EDITS)
+    shape = spark.createDataFrame([(0, 200, 200), (1, 200, 200)], "image_id int, height int, width int")
+    grid = spark.range(2 * 200 * 200).select(
+        F.floor(F.col("id") / 40000).cast("int").alias("image_id"), (F.floor(F.col("id") / 200) % 200).cast("int").alias("y"),
+        (F.col("id") % 200).cast("int").alias("x"))
+    pred = grid.withColumn("cls", (F.hash("y", "x") % 2 == 0).cast("int")).withColumn("valid", F.col("x") % 11 != 3)
+    order = list(range(160))
+    random.Random(4).shuffle(order)  # late edits
+    seen = []
+    for version, part in enumerate([order[:50], order[50:90], order[30:70], order[90:], order[:5]]):
+        seen += part
+        state.fold(edits.filter(F.col("seq").isin(part)), version, shape, path, pred, buckets=8)
+        so_far = edits.filter(F.col("seq").isin(seen))
+        want = labels.replay(labels.pixel_edits(so_far, shape), so_far.filter("kind = 'clear'"))
+        assert {tuple(r) for r in state.read_state(spark, path).collect()} == {tuple(r) for r in want.collect()}
+        joined = want.join(pred, ["image_id", "y", "x"])
+        counts = {tuple(r) for r in evaluate.confusion(joined).collect() if sum(r[1:])}
+        live = {r["image_id"]: r["iou"] for r in state.read_live(spark, path).collect()}
+        assert {tuple(r)[:5] for r in state.read_live(spark, path).collect()} == counts
+        ious = {r["image_id"]: r["iou"] for r in evaluate.target_iou(joined).collect()}
+        assert all(live[i] == ious[i] for i in live)
+
+
+def test_state_rewrites_only_what_a_batch_touches(spark, tmp_path):
+    path = str(tmp_path / "state")
+    shape = spark.createDataFrame([(0, 1000, 1000)], "image_id int, height int, width int")
+    stamp = lambda seq, x, value=0: (seq, None, 0, "stamp", value, float(x), 500.0, 2.0)
+    batch = lambda *rows: spark.createDataFrame(list(rows), EDITS)
+    state.fold(batch(*[stamp(i, 30 + 64 * i) for i in range(15)]), 0, shape, path)
+    first = state.manifest_of(spark, path)
+    state.fold(batch(stamp(20, 30, 1)), 1, shape, path)
+    second = state.manifest_of(spark, path)
+    assert sum(second.buckets[b] != first.buckets[b] for b in first.buckets) == 1 and len(first.buckets) > 5
+
+    rows = lambda: sorted(tuple(r) for r in state.read_state(spark, path).collect())
+    before = rows()
+    # A batch that died before its manifest leaves the state as it was; run again it counts once.
+    spark.createDataFrame([(0, 1, 1, 99, 0, 255, 0)], state.ROWS + ", bucket int").write.partitionBy("bucket").parquet(
+        f"{path}/data/version=2")
+    assert rows() == before
+    for _ in range(2):
+        state.fold(batch(stamp(30, 94, 1), stamp(3, 94, 1)), 2, shape, path)
+        assert {r[3:] for r in rows() if r[2] == 94} == {(1, 30)} and len(rows()) == len(before)
+    # What neither of the last two manifests names is gone, however many batches there were.
+    for version in range(3, 9):
+        state.fold(batch(stamp(40 + version, 30, version % 2)), version, shape, path)
+    assert state.complete_versions(spark, path) == [7, 8]
+    named = {v for n in (8, 9) for v in state.manifest_of(spark, path, n).buckets.values()}
+    assert {int(f.name.split("=")[1]) for f in (tmp_path / "state" / "data").iterdir()} == named
 
 
 def test_streamed_rates_and_saves_equal_batch(spark, small, tmp_path):
