@@ -112,11 +112,11 @@ def _(spark, sf):
 # Every fifth event is an undo. The SQL walks each scene's log edit by edit, with the pixels of a scene
 # as a list of seq * 256 + label and the stack as the lists before each edit.
 @query("l9_undo", """
-with moves as (
+with undo_moves as (
   select e.image_id, row_number() over (partition by e.image_id order by seq) as n, seq,
          case when seq % 5 = 3 then 'undo' else kind end as kind, value, cx, cy, r
   from edits e join scenes s on e.image_id = s.image_id),
-walk(image_id, n, state, stack) using key (image_id) as (
+undo_walk(image_id, n, state, stack) using key (image_id) as (
   select image_id, cast(0 as bigint), list_transform(range(1500), lambda i: cast(255 as bigint)), cast([] as varchar[])
   from scenes
   union
@@ -130,10 +130,10 @@ walk(image_id, n, state, stack) using key (image_id) as (
                     case when (i % 50 - cx) * (i % 50 - cx) + (i // 50 - cy) * (i // 50 - cy) <= r * r
                          then seq * 256 + value else state[i + 1] end)
                   when 'clear' then list_transform(range(1500), lambda i: cast(255 as bigint)) end as cand
-      from walk w join moves m on m.image_id = w.image_id and m.n = w.n + 1) a) b),
-cells as (select image_id, unnest(range(1500)) as i, unnest(state) as c from walk)
+      from undo_walk w join undo_moves m on m.image_id = w.image_id and m.n = w.n + 1) a) b),
+undo_cells as (select image_id, unnest(range(1500)) as i, unnest(state) as c from undo_walk)
 select image_id, cast(i // 50 as int) as y, cast(i % 50 as int) as x, cast(c % 256 as int) as label, c // 256 as seq
-from cells where c % 256 <> 255""", recursive=True)
+from undo_cells where c % 256 <> 255""", recursive=True)
 def _(spark, sf):
     from pixelframe.operators.undo import replay_with_undo
 
