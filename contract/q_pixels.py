@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pixelframe.operators import normalize, scoring
+from pixelframe.session import cut
 from pixelframe.sources import scenes as scene_source
 from pixelframe.sources import tables
 
@@ -106,6 +107,29 @@ def _(spark, sf):
     return normalize.band_stats(valid_px(spark, sf), approx=True)
 
 
+SKETCH = 512
+
+
+@query("p2b_merged_sets", """
+select s.set_id, l.band, count(*) filter (where l.valid) as n, true as lo_holds, true as hi_holds
+from lpx l join (select image_id, image_id % 3 as set_id from scenes
+                 union all select image_id, 9 from scenes) s on l.image_id = s.image_id
+group by s.set_id, l.band""")
+def _(spark, sf):
+    """Percentiles of sets of scenes from stored sketches; the pixels only tell how far their ranks are off."""
+    px, scenes = valid_px(spark, sf), view(spark, sf, "scenes").select("image_id")
+    sets = scenes.withColumn("set_id", F.col("image_id") % 3).unionByName(scenes.withColumn("set_id", F.lit(9)))
+    stats = normalize.merged_stats(cut(normalize.scene_sketches(px, SKETCH)), sets)
+    values = px.filter("valid").select("image_id", F.posexplode("bands").alias("band", "v")).join(sets, "image_id")
+    ranks = values.join(stats, ["set_id", "band"]).groupBy("set_id", "band", "n").agg(*[
+        F.struct((F.count_if(F.col("v") < F.col(p)) / F.first("n")).alias("low"),
+                 (F.count_if(F.col("v") <= F.col(p)) / F.first("n")).alias("high")).alias(p) for p in ("lo", "hi")
+    ])
+    slack = 3 * normalize.rank_error(SKETCH)
+    holds = lambda p, share: (F.col(p)["low"] <= share + slack) & (F.col(p)["high"] >= share - slack)
+    return ranks.select("set_id", "band", "n", holds("lo", 0.02).alias("lo_holds"), holds("hi", 0.98).alias("hi_holds"))
+
+
 @query("p3_normalize", """
 select image_id, y, x, round(n0, 9) as n0, round(n1, 9) as n1, round(n2, 9) as n2,
        round(n3, 9) as n3 from npx""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from contract.fixtures import pixels, view
 from pixelframe.functions.windows import covering_offsets, tile_offsets
 from pixelframe.operators import normalize, split
+from pixelframe.session import cut
 
 
 def px_frame(spark, cube, nodata=-9999.0):
@@ -55,6 +56,27 @@ def test_approximate_stats_are_near(spark):
     assert abs(lo - 0.02) < 0.02 and abs(hi - 0.98) < 0.02
 
 
+def test_sketches_merge_without_pixels(spark):
+    rng = np.random.default_rng(8)
+    cubes = [rng.normal(i, 1 + i, size=(2, 60, 50)) for i in range(3)]
+    cubes.append(np.full((2, 60, 50), -9999.0))
+    px = px_frame(spark, cubes[0]).withColumn("image_id", F.lit(0))
+    for i, cube in enumerate(cubes[1:], 1):
+        px = px.unionByName(px_frame(spark, cube).withColumn("image_id", F.lit(i)))
+    sketches = cut(normalize.scene_sketches(px, 256))
+    sets = spark.createDataFrame([(0, 7), (2, 7), (2, 7), (1, 8), (3, 8), (3, 9)], "image_id int, set_id int")
+    merged = normalize.merged_stats(sketches, sets)
+    rows = {(r["set_id"], r["band"]): r for r in merged.collect()}
+    for set_id, members in ((7, (0, 2)), (8, (1,))):
+        for band in range(2):
+            values = np.sort(np.concatenate([cubes[i][band].ravel() for i in members]))
+            row = rows[set_id, band]
+            assert row["n"] == len(values)
+            for name, share in (("lo", 0.02), ("hi", 0.98)):
+                assert abs(np.searchsorted(values, row[name]) / len(values) - share) <= 3 * normalize.rank_error(256)
+    assert (rows[9, 0]["n"], rows[9, 0]["lo"], rows[9, 0]["hi"]) == (0, 0.0, 1.0)
+
+
 def test_empty_and_flat_scenes(spark):
     cube = np.full((2, 4, 4), -9999.0)
     px = px_frame(spark, cube)
