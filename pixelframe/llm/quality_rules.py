@@ -49,7 +49,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     letters = F.char_length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
     marks = F.char_length(F.translate(text, "!|#*$%&<>^~=_+{}[]\\@", ""))
     return (
-        docs.select("doc_id", text_key().alias("key"), "lang", "source", "text")
+        docs.select("doc_id", F.xxhash64("doc_id", text_key()).alias("key"), "lang", "source", "text")
         .withColumn("ws", words(text))
         .withColumn("hs", hashed)
         .withColumn("st", F.when(F.size(F.array_distinct("hs")) < F.size("hs"), placed))
@@ -154,9 +154,8 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Statistics and verdict of every row of `docs`."""
-    stats = vectors(statistics(docs)).withColumn(
-        "grp", F.concat_ws("/", F.coalesce("lang", F.lit("?")), F.coalesce("source", F.lit("?")))
-    )
+    # JSON tells nulls from any text, and where one name ends.
+    stats = vectors(statistics(docs)).withColumn("grp", F.to_json(F.struct("lang", "source")))
     rows = cut(stats)
     estimates = robust_estimates(rows.select("grp", "key", *DIMS))
     judged = distance(salted_join(rows, estimates, ["grp"], F.col("key")))

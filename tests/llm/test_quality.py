@@ -54,6 +54,17 @@ def test_rules_judge_small_groups_by_themselves(spark):
     assert all(got[i] for i, *_ in plain + other) and not any(got[i] for i, *_ in hidden)
 
 
+def test_groups_are_told_apart_by_null_and_by_where_a_name_ends(spark):
+    rng = random.Random(7)
+    odd = lambda: " ".join(w + "###" for w in prose(rng, 100).split())
+    plain = [(i, prose(rng, rng.randrange(80, 200))) for i in range(60)]
+    other = [(200 + i, odd()) for i in range(20)]
+    for (a, b), (c, d) in [(("?", "s"), (None, "s")), (("a/b", "c"), ("a", "b/c")), (("x", None), ("x", ""))]:
+        rows = [(*r, a, b) for r in plain] + [(*r, c, d) for r in other]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        assert all(r.kept for r in quality_rules.quality_rules(docs).collect())
+
+
 def test_estimate_is_the_concentrated_covariance(spark):
     """A step's mean and factor equal NumPy's over the inner share of each group."""
     rng = np.random.default_rng(1)
