@@ -92,7 +92,7 @@ def scan(docs: DataFrame, owner: str = "source", copied_by: int = COPIED_BY, cop
     owned = ownership(hits).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     judged = (
         hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(16)).cast("int"))
-        .join(owned, ["fingerprint", "salt"])
+        .join(owned.hint("merge"), ["fingerprint", "salt"])  # grows with the corpus: never broadcast
         .withColumn("copied", (F.col("n_owners") >= copied_by) | (F.col("n_repos") >= copied_repos))
         .withColumn("live", ~F.col("copied") & looks_random(F.col("value")))
     )
@@ -108,7 +108,7 @@ def scan(docs: DataFrame, owner: str = "source", copied_by: int = COPIED_BY, cop
     counted = [f"n_{kind}" for kind, *_ in BASE]
     return (
         docs.select("doc_id", text_key().alias("key"))
-        .join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+        .join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
         .select(
             "doc_id",
             *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counted],
