@@ -36,7 +36,7 @@ def judged(spark, sf):
 
 def roles(spark, sf):
     return split.effective_split(
-        view(spark, sf, "scenes"), view(spark, sf, "overrides"), RATIO
+        view(spark, sf, "scenes"), view(spark, sf, "overrides"), RATIO, "md5"
     )
 
 

@@ -38,7 +38,7 @@ group by k.role""")
 
 @query("d1_split_rank", "select name, md5(name) as rank from scenes")
 def _(spark, sf):
-    return view(spark, sf, "scenes").select("name", split.split_rank("name").alias("rank"))
+    return view(spark, sf, "scenes").select("name", split.split_rank("name", "md5").alias("rank"))
 
 
 @query("d1_split_rank_blake2b")
@@ -58,7 +58,7 @@ def _(spark, sf):
     from .fixtures import table
 
     names = table(spark, sf, "customer").select("c_nationkey", F.col("c_name").alias("name"))
-    return split.base_validation(names, 0.29, project="c_nationkey").select("c_nationkey", "name")
+    return split.base_validation(names, 0.29, "md5", "c_nationkey").select("c_nationkey", "name")
 
 
 @query("d3_effective_split", "select name, role from eff_split")
@@ -79,7 +79,7 @@ def _(spark, sf):
         "name", F.when(F.col("image_id") % 3 == 0, "validation").otherwise("training").alias("role")
     ).unionByName(scenes.select(F.lit("nope.tif").alias("name"), F.lit("training").alias("role"))
                   .distinct())
-    return split.set_role(scenes, view(spark, sf, "overrides"), wanted, RATIO)
+    return split.set_role(scenes, view(spark, sf, "overrides"), wanted, RATIO, "md5")
 
 
 @query("e1_confusion", "select image_id, tp, fp, fn, tn from conf")

@@ -91,13 +91,44 @@ def _(spark, sf):
     )
 
 
-@query("a3_photometric_views")
+A = augment
+cte("strong_sql", f"""
+select image_id, ty, tx, {u_sql(A.NOISE)} < 0.8 as noisy, {span_sql(0.01, 0.05, A.NOISE_LEVEL)} as std,
+  {u_sql(A.LIGHT)} < 0.8 as lit, 1 + {span_sql(-0.2, 0.2, A.CONTRAST)} as contrast,
+  {span_sql(-0.2, 0.2, A.BRIGHTNESS)} as brightness, {u_sql(A.DROP)} < 0.15 as drops,
+  {below_sql(4, A.DROP_FIRST)} as one, ({below_sql(4, A.DROP_FIRST)} + 1 + {below_sql(3, A.DROP_SECOND)}) % 4 as other,
+  {below_sql(2, A.DROP_COUNT)} = 1 as two from grid_sql""")
+cte("holes_sql", f"""
+select image_id, ty, tx, hh, hw, {below_sql('16 - hh + 1', A.HOLE_Y, 'k')} as top,
+       {below_sql('16 - hw + 1', A.HOLE_X, 'k')} as lft
+from (select image_id, ty, tx, k, least(16, 4 + {below_sql(21, A.HOLE_H, 'k')}) as hh,
+        least(16, 4 + {below_sql(21, A.HOLE_W, 'k')}) as hw
+      from grid_sql, (select range as k from range(6))
+      where {u_sql(A.HOLES)} < 0.5 and k <= {below_sql(6, A.HOLE_COUNT)})""")
+
+
+def strong_sql(band: int) -> str:
+    size, angle = (u_sql(p, "dy", "dx", band) for p in (A.NOISE_SIZE, A.NOISE_ANGLE))
+    noise = f"sqrt(-2 * ln(1 - {size})) * cos(2 * pi() * {angle})"
+    noised = f"case when noisy then greatest(0, least(1, n{band} + std * {noise})) else n{band} end"
+    lit = f"case when lit then greatest(0, least(1, ({noised}) * contrast + brightness)) else {noised} end"
+    dropped = f"drops and ({band} = one or (two and {band} = other))"
+    return f"round(case when holed or ({dropped}) then 0 else {lit} end, 9) as n{band}"
+
+
+@query("a3_photometric_views", f"""
+with p as (select a.image_id, a.ty, a.tx, a.y, a.x, a.dy, a.dx, n.n0, n.n1, n.n2, n.n3, s.* exclude (image_id, ty, tx),
+        exists (select 1 from holes_sql h where h.image_id = a.image_id and h.ty = a.ty and h.tx = a.tx
+                and a.dy between top and top + hh - 1 and a.dx between lft and lft + hw - 1) as holed
+  from assigned_sql a join npx n on n.image_id = a.image_id and n.y = a.y and n.x = a.x
+  join strong_sql s on s.image_id = a.image_id and s.ty = a.ty and s.tx = a.tx)
+select image_id, ty, tx, y, x, {", ".join(strong_sql(b) for b in range(4))} from p""")
 def _(spark, sf):
     pixels = tiling.assign_patches(normed(spark, sf), view(spark, sf, "scenes"), PATCH, STRIDE)
     plan = augment.strong_plan(_grid(spark, sf), PATCH, 4, SEED, EPOCH)
     strong = augment.augment_strong(pixels, plan, 4, SEED, EPOCH)
     return strong.select(
-        "image_id", "ty", "tx", "y", "x", *[F.get("norm", i).alias(f"n{i}") for i in range(4)]
+        "image_id", "ty", "tx", "y", "x", *[r(F.get("norm", i)).alias(f"n{i}") for i in range(4)]
     )
 
 

@@ -29,7 +29,7 @@ DONOR_ATTEMPTS = 8
 (ORDER_IMAGE, ORDER_PATCH, FLIP_H, FLIP_V, ROTATE, ROTATE_BY, NOISE, NOISE_LEVEL,
  LIGHT, CONTRAST, BRIGHTNESS, DROP, DROP_COUNT, DROP_FIRST, DROP_SECOND, HOLES, HOLE_COUNT, HOLE_H,
  HOLE_W, HOLE_Y, HOLE_X, DONOR_Y, DONOR_X, MOSAIC, SPLIT_Y, SPLIT_X, CUTMIX, BOX_AREA, BOX_ASPECT,
- BOX_Y, BOX_X, PASTE, PASTE_H, PASTE_V) = range(1, 35)
+ BOX_Y, BOX_X, PASTE, PASTE_H, PASTE_V, NOISE_SIZE, NOISE_ANGLE) = range(1, 37)
 MOSAIC_SLOTS, CUTMIX_SLOT, PASTE_SLOT = (1, 2, 3), 4, 5
 
 
@@ -139,19 +139,18 @@ def augment_strong(
 ) -> DataFrame:
     """Noise, light, dropped channels and holes on `norm`; the geometry stays as it is.
 
-    `plan` is `strong_plan` of the patches. Noise depends on the pixel's place in its patch.
+    `plan` is `strong_plan` of the patches. Noise is a normal number by the polar method, from the
+    patch, the pixel's place in it and the band.
     """
     dy, dx = F.col("dy"), F.col("dx")
+    draws = Draws(seed, epoch)
 
     def clip(v: Column) -> Column:
         return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
 
     def noise(band: int) -> Column:
-        def draw(part: int) -> Column:
-            key = F.xxhash64(F.lit(seed), F.lit(epoch), *PATCH_KEY, dy, dx, F.lit(band), F.lit(part))
-            return (F.pmod(key, F.lit(1 << 40)).cast("double") + 1) / float(1 << 40)
-
-        return F.sqrt(-2 * F.ln(draw(0))) * F.cos(2 * F.pi() * draw(1))
+        size, angle = (draws.u(purpose, dy, dx, band) for purpose in (NOISE_SIZE, NOISE_ANGLE))
+        return F.sqrt(-2 * F.ln(1 - size)) * F.cos(2 * F.pi() * angle)
 
     holed = F.lit(False)
     for k in range(MAX_HOLES):

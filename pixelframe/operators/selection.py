@@ -4,6 +4,7 @@ A sample is a row (sample_id, image_id, y, x, positive). Every positive sample i
 and the results are united, so a further positive can only add pixels.
 """
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +26,8 @@ LARGE_SHARE = 0.40
 NORM_FLOOR = 1e-8
 
 NEGATIVES_AT_ONCE = 256  # compared with a pixel in one row
-EXAMPLES_PER_BUNDLE = 256
+PIVOTS, RINGS, LIST_PART = 64, 16, 256  # inverted lists of examples
+CHORD_SLACK = 1e-6  # more than the rounding of a chord
 
 
 def clamp_sample_size(n: int) -> int:
@@ -373,6 +375,82 @@ def edges(mask: DataFrame, scenes: DataFrame) -> DataFrame:
     )
 
 
+def example_lists(examples: DataFrame, key: str) -> tuple[DataFrame, Column, Column]:
+    """Inverted lists of examples `(key, positive, unit)`: `(lists, pivots, directory)`.
+
+    Pivots are the examples with the least hashes; every example belongs to its nearest pivot, in
+    rings by its chord to it. A ring is cut into parts of about LIST_PART examples, the rows of
+    `lists`. `directory` names the rings with their least and greatest chord and number of parts.
+    Pivots and directory are constants of at most PIVOTS and 2 x PIVOTS x RINGS entries, whatever
+    the number of examples.
+    """
+    held = cut(examples)
+    chosen = held.select("unit", key).orderBy(F.xxhash64(key), key, "unit").limit(PIVOTS)
+    pivots = chosen.agg(F.array_sort(F.collect_list("unit")).alias("pivots")).scalar()
+    placed = cut(
+        held.withColumn("_pivots", pivots)
+        .withColumn("_chords", chords("unit", "_pivots"))
+        .withColumn("chord", F.array_min("_chords"))
+        .withColumn("list", (F.array_position("_chords", F.col("chord")) - 1).cast("int"))
+        .withColumn("ring", F.floor(F.col("chord") * (RINGS / 2.0)).cast("int"))
+        .drop("_pivots", "_chords")
+    )
+    ring = ["positive", "list", "ring"]
+    rings = placed.groupBy(*ring).agg(
+        F.min("chord").alias("low"), F.max("chord").alias("high"),
+        F.ceil(F.count(F.lit(1)) / LIST_PART).cast("int").alias("parts"),
+    )
+    entry = F.struct(*ring, "low", "high", "parts")
+    directory = rings.agg(F.array_sort(F.collect_list(entry)).alias("rings")).scalar()
+    # The number of parts of a ring is a constant too, so that a hot ring is not gathered to cut it.
+    own = F.filter("_rings", lambda e: (
+        (e["positive"] == F.col("positive")) & (e["list"] == F.col("list")) & (e["ring"] == F.col("ring"))))
+    parts = F.get(own, F.lit(0))["parts"]
+    lists = (
+        placed.withColumn("_rings", directory)
+        .withColumn("part", F.pmod(F.xxhash64(key, "unit"), parts).cast("int"))
+        .groupBy(*ring, "part").agg(F.collect_list("unit").alias("refs"))
+    )
+    return cut(lists), pivots, directory
+
+
+def chords(vec: str, refs: str) -> Column:
+    """Straight-line distances of unit vectors, the metric form of the cosine distance."""
+    return F.transform(refs, lambda ref: F.sqrt(F.greatest(2.0 - 2.0 * dot(ref, F.col(vec)), F.lit(0.0))))
+
+
+def nearest_example(
+    rows: DataFrame, lists: DataFrame, directory: Column, positive: bool, reach: Column | None,
+    key: str, name: str,
+) -> DataFrame:
+    """`(key, <name>, compared)`: least cosine distance to the examples of one sign, exactly.
+
+    By the triangle inequality a ring can hold the nearest only if the row's chord to its pivot,
+    less or more than the ring's chords by at most the row's reach, allows it. The reach is the
+    nearest upper bound of any ring, and `reach` where one is given. Rows carry `chords`.
+    """
+    upper = F.array_min(F.transform(
+        "rings", lambda e: F.get("chords", e["list"]) + e["low"]))
+    limit = upper if reach is None else F.least(upper, reach)
+
+    def possible(e: Column) -> Column:
+        at = F.get("chords", e["list"])
+        return F.greatest(at - e["high"], e["low"] - at) <= F.col("limit") + CHORD_SLACK
+
+    wanted = (
+        rows.withColumn("rings", directory)
+        .withColumn("rings", F.filter("rings", lambda e: e["positive"] == F.lit(positive)))
+        .withColumn("limit", limit)
+        .select(key, "unit", F.explode(F.filter("rings", possible)).alias("e"))
+        .select(key, "unit", "e.positive", "e.list", "e.ring",
+                F.explode(F.sequence(F.lit(0), F.col("e.parts") - 1)).alias("part"))
+    )
+    met = wanted.join(lists, ["positive", "list", "ring", "part"])
+    least = F.array_min(F.transform("refs", lambda ref: 1.0 - dot(ref, F.col("unit"))))
+    return met.groupBy(key).agg(
+        F.min(least).alias(name), F.sum(F.size("refs")).cast("long").alias("compared"))
+
+
 def similar(
     vectors: DataFrame,
     samples: DataFrame,
@@ -384,36 +462,27 @@ def similar(
 
     Cosine distance on centred vectors; a row matches its nearest positive within tolerance when
     that beats every negative. `k` keeps the closest rows: a distributed top-k, merged per task.
+    Results are exact: `d`, `d_neg` (null without negatives) and `compared`, the number of examples
+    a row was compared with. Keys of `vectors` are unique; a vector with a null component or one
+    that is not finite matches nothing and is no example.
     """
-    unit = center_unit(vectors, keys=())
-    examples = unit.join(samples.select(key, "positive"), key).select(
-            key, "positive", F.col("unit").alias("ref")
-        )
-    bundles = max(1, -(-examples.count() // EXAMPLES_PER_BUNDLE))
-    # Examples travel to the rows as short arrays, one bundle at a time: no pair becomes a row.
-    packed = examples.groupBy(F.pmod(F.xxhash64(key), F.lit(bundles)).alias("_bundle")).agg(
-        F.collect_list(F.when(F.col("positive"), F.col("ref"))).alias("pos"),
-        F.collect_list(F.when(~F.col("positive"), F.col("ref"))).alias("neg"),
-    )
-
-    def least(name: str) -> Column:
-        return F.array_min(F.transform(name, lambda r: 1.0 - dot(r, F.col("unit"))))
-
-    numbers = F.array(*[F.lit(i).cast("long") for i in range(bundles)])
-    scored = (
-        unit.withColumn("_bundle", F.explode(numbers))
-        .join(packed, "_bundle")
-        .withColumn("d", least("pos"))
-        .withColumn("d_neg", least("neg"))
-        .drop("pos", "neg", "unit", "_bundle")
-    )
-    if bundles > 1:
-        others = [c for c in scored.columns if c not in (key, "d", "d_neg")]
-        scored = scored.groupBy(key).agg(
-            *[F.first(c).alias(c) for c in others],
-            F.min("d").alias("d"), F.min("d_neg").alias("d_neg"),
-        )
-    found = scored.filter(
-        (F.col("d") <= tolerance) & (F.col("d_neg").isNull() | (F.col("d") < F.col("d_neg")))
-    )
-    return found if k is None else found.orderBy("d", key).limit(k)
+    sound = vectors.filter(F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    unit = center_unit(sound, keys=())
+    examples = unit.join(samples.select(key, "positive"), key).select(key, "positive", "unit")
+    lists, pivots, directory = example_lists(examples, key)
+    rows = unit.select(key, "unit").withColumn("pivots", pivots).withColumn(
+        "chords", chords("unit", "pivots")
+    ).drop("pivots")
+    reach = F.lit(math.sqrt(max(2.0 * tolerance, 0.0)))
+    near = nearest_example(rows, lists, directory, True, reach, key, "d").filter(
+        F.col("d") <= tolerance)
+    near = cut(near)
+    against = nearest_example(
+        rows.join(near.select(key), key, "left_semi"), lists, directory, False, None, key, "d_neg"
+    ).withColumnRenamed("compared", "_more")
+    judged = near.join(against, key, "left").filter(
+        F.col("d_neg").isNull() | (F.col("d") < F.col("d_neg"))
+    ).withColumn("compared", F.col("compared") + F.coalesce("_more", F.lit(0))).drop("_more")
+    if k is not None:
+        judged = judged.orderBy("d", key).limit(k)
+    return sound.join(judged, key)

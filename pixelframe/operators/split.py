@@ -10,8 +10,12 @@ from ..schema import ROLES, VALIDATION_RATIO
 PREFIX = 4
 
 
-def split_rank(name: str = "name", algo: str = "md5") -> Column:
-    """Hex digest whose text order is the split order; depends on the name only."""
+def split_rank(name: str = "name", algo: str = "blake2b") -> Column:
+    """Hex digest whose text order is the split order; depends on the name only.
+
+    The eight-byte BLAKE2b digest by default. `algo="md5"` gives an order that any SQL engine can
+    repeat and that needs no Python; a project keeps to one of them.
+    """
     if algo == "md5":
         return F.md5(F.col(name))
     if algo == "blake2b":
@@ -22,7 +26,7 @@ def split_rank(name: str = "name", algo: str = "md5") -> Column:
 def base_validation(
     names: DataFrame,
     ratio: float = VALIDATION_RATIO,
-    algo: str = "md5",
+    algo: str = "blake2b",
     project: str | None = None,
 ) -> DataFrame:
     """The int(ratio * N) lowest-ranked names of each project.
@@ -44,7 +48,7 @@ def effective_split(
     names: DataFrame,
     overrides: DataFrame,
     ratio: float = VALIDATION_RATIO,
-    algo: str = "md5",
+    algo: str = "blake2b",
     project: str | None = None,
 ) -> DataFrame:
     """`role` of every name: the base split with overrides on top.
@@ -70,7 +74,7 @@ def set_role(
     overrides: DataFrame,
     wanted: DataFrame,
     ratio: float = VALIDATION_RATIO,
-    algo: str = "md5",
+    algo: str = "blake2b",
 ) -> DataFrame:
     """Overrides after moving `wanted(name, role)`; only real deviations from the base stay.
 

@@ -29,7 +29,7 @@ def test_query_equals_sql(spark, small, duck, name):
 def test_every_rows_only_query_is_named():
     """Queries without SQL are few and each is covered by a test of its own elsewhere."""
     assert set(registry.QUERIES) - set(SQL) == {
-        "d1_split_rank_blake2b", "a3_photometric_views", "m1_pixel_classifier", "m2_self_training",
+        "d1_split_rank_blake2b", "m1_pixel_classifier", "m2_self_training",
     }
 
 

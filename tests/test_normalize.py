@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from contract.fixtures import pixels, view
 from pixelframe.functions.windows import covering_offsets, tile_offsets
-from pixelframe.operators import normalize, split
+from pixelframe.operators import scoring, normalize, split
 from pixelframe.session import cut
 
 
@@ -133,10 +133,10 @@ def test_split_rank_is_the_digest_order(spark, small):
         spark.range(50).select(F.concat(F.lit("n"), "id").alias("name"))
     )
     ranks = {r["name"]: r["rank"] for r in names.withColumn(
-        "rank", split.split_rank("name", "blake2b")).collect()}
+        "rank", split.split_rank("name")).collect()}
     for name, rank in ranks.items():
         assert rank == hashlib.blake2b(name.encode(), digest_size=8).hexdigest()
-    low = {r["name"] for r in split.base_validation(names, 0.3, "blake2b").collect()}
+    low = {r["name"] for r in split.base_validation(names, 0.3).collect()}
     assert low == set(sorted(ranks, key=lambda n: (ranks[n], n))[:int(0.3 * len(ranks))])
 
 
@@ -144,3 +144,30 @@ def test_split_truncates_the_float_product(spark):
     names = spark.range(100).select(F.concat(F.lit("n"), "id").alias("name"))
     assert split.base_validation(names, 0.29).count() == int(0.29 * 100) == 28
     assert split.base_validation(names, 0.0).count() == 0
+
+
+@pytest.mark.parametrize("grid,size", [((5, 7), (23, 31)), ((6, 4), (3, 2)), ((1, 1), (4, 5)), ((2, 3), (2, 3)), ((3, 9), (50, 4))])
+def test_resize_equals_numpy(spark, grid, size):
+    """Enlarged, shrunk, one cell, same size; a cell without a row and one without a value read as 0."""
+    values = np.random.default_rng(5).normal(size=grid)
+    values[-1, -1] = 0
+    holes = {(grid[0] - 1, grid[1] - 1)} if grid != (1, 1) else set()
+    cells = [(9, y, x, float(values[y, x])) for y in range(grid[0]) for x in range(grid[1]) if (y, x) not in holes]
+    if grid[1] > 1:
+        values[0, 1] = 0
+        cells = [(*c[:3], None) if c[1:3] == (0, 1) else c for c in cells]
+    field = spark.createDataFrame(cells + [(8, 0, 0, 1.0)], "image_id int, gy int, gx int, v double")
+    shape = spark.createDataFrame([(9, *grid, *size)], "image_id int, gh int, gw int, height int, width int")
+    got = np.full(size, np.nan)
+    rows = scoring.resize_field(field, shape).collect()
+    for row in rows:
+        assert row["image_id"] == 9
+        got[row["y"], row["x"]] = row["d"]
+    ys, xs = (np.maximum((np.arange(n) + 0.5) / n * g - 0.5, 0) for n, g in zip(size, grid))
+    y0, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
+    y1, x1 = np.minimum(y0 + 1, grid[0] - 1), np.minimum(x0 + 1, grid[1] - 1)
+    ty, tx = (ys - y0)[:, None], (xs - x0)[None]
+    want = ((1 - ty) * (1 - tx) * values[np.ix_(y0, x0)] + (1 - ty) * tx * values[np.ix_(y0, x1)]
+            + ty * (1 - tx) * values[np.ix_(y1, x0)] + ty * tx * values[np.ix_(y1, x1)])
+    assert len(rows) == size[0] * size[1]
+    np.testing.assert_allclose(got, want, atol=1e-12)

@@ -240,16 +240,50 @@ def test_embedding_source_is_bounded_and_seeded(spark):
     assert got == again and (3, 4) in got and 0 < len(got) < 256
 
 
-def test_search_with_many_examples_uses_bundles(spark, monkeypatch):
+def search_twin(vecs, examples, tolerance):
+    """Brute force: every row against every example."""
+    unit = vecs - vecs.mean(axis=0)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-8)
+    signs = {True: [i for i, p in examples if p], False: [i for i, p in examples if not p]}
+    found = {}
+    for i, row in enumerate(unit):
+        d = min(1 - unit[signs[True]] @ row)
+        d_neg = min(1 - unit[signs[False]] @ row) if signs[False] else None
+        if d <= tolerance and (d_neg is None or d < d_neg):
+            found[i] = (round(d, 9), None if d_neg is None else round(d_neg, 9))
+    return found
+
+
+@pytest.mark.parametrize("tolerance,pivots,part", [(0.5, 64, 256), (0.5, 3, 2), (0.05, 8, 5), (2.0, 1, 1)])
+def test_search_by_lists_equals_brute_force(spark, monkeypatch, tolerance, pivots, part):
     rng = np.random.default_rng(8)
-    vectors = spark.createDataFrame(
-        [(i, [float(v) for v in rng.normal(size=4)]) for i in range(60)],
-        "vec_id int, vec array<double>")
-    examples = spark.createDataFrame([(i, i % 2 == 0) for i in range(20)], "vec_id int, positive boolean")
-
-    def find():
-        return {r["vec_id"]: round(r["d"], 9) for r in selection.similar(vectors, examples, 0.5).collect()}
-
-    whole = find()
-    monkeypatch.setattr(selection, "EXAMPLES_PER_BUNDLE", 3)
-    assert find() == whole and whole
+    centres = rng.normal(size=(9, 6))
+    vecs = centres[rng.integers(0, 9, 240)] + rng.normal(size=(240, 6)) * 0.2
+    vecs[7], vecs[50] = vecs[6], vecs[40]  # repeated vectors
+    examples = [(i, i % 3 != 0) for i in range(60)]
+    monkeypatch.setattr(selection, "PIVOTS", pivots)
+    monkeypatch.setattr(selection, "LIST_PART", part)
+    found = selection.similar(
+        spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id int, vec array<double>"),
+        spark.createDataFrame(examples, "vec_id int, positive boolean"), tolerance,
+    ).collect()
+    want = search_twin(vecs, examples, tolerance)
+    # A row that is an example itself is 0 away, up to rounding.
+    got = {r["vec_id"]: (round(r["d"], 9) + 0.0, round(r["d_neg"], 9) + 0.0) for r in found}
+    assert got == {i: (d + 0.0, n + 0.0) for i, (d, n) in want.items()}
+    if tolerance == 0.05:  # most lists are out of reach
+        assert sum(r["compared"] for r in found) < 0.5 * len(found) * len(examples)
+
+
+def test_search_without_negatives_nulls_and_top_k(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i)]) for i in range(20)] + [
+        (20, None), (21, [float("nan"), 1.0, 2.0]), (22, [None, 1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id int, vec array<double>")
+    examples = spark.createDataFrame([(3, True), (20, True), (21, False)], "vec_id int, positive boolean")
+    found = selection.similar(vectors, examples, 1.5, 4).collect()
+    vecs = np.array([v for _, v in rows[:20]])
+    want = search_twin(vecs, [(3, True)], 1.5)
+    assert {r["vec_id"] for r in found} == set(sorted(want, key=lambda i: (want[i][0], i))[:4])
+    assert all(r["d_neg"] is None for r in found)
+    none = selection.similar(vectors, examples.filter("vec_id > 100"), 1.5)
+    assert none.count() == 0
