@@ -1,47 +1,101 @@
 """The stability gate on a live epoch log."""
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.monitor import PATIENCE, STABLE_IOU
 
 OUTPUT = "run_id long, gate_epoch int"
-STATE = "epochs string, gate_epoch int"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_gate(
-    epoch_log: DataFrame, threshold: float = STABLE_IOU, patience: int = PATIENCE
-) -> DataFrame:
-    """One row per run when its gate opens; `epoch_log(run_id, epoch, iou)` is a stream.
+class Gate(StatefulProcessor):
+    """State of a run: one entry per epoch seen while the gate is shut, one number after."""
 
-    Epochs may arrive in any order and in any micro-batch: state per run is whether each epoch seen
-    so far was good, until the gate opens. The gate is the first that the epochs known then give.
-    Of an epoch that comes again in a later micro-batch the first counts, within one the least.
-    """
+    def __init__(self, threshold: float, patience: int, horizon: int | None):
+        self.threshold, self.patience, self.horizon = threshold, patience, horizon
 
-    def advance(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        known, gate = state.get if state.exists else ("{}", None)
-        if gate is not None:
-            return
-        seen = {int(k): v for k, v in json.loads(known).items()}
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.gate = handle.getValueState("gate", "gate_epoch int")
+        self.epochs = handle.getMapState("epochs", "epoch int", "good boolean")
+        self.latest = handle.getValueState("latest", "epoch int")
+
+    def good(self, epoch: int) -> bool:
+        known = self.epochs.getValue((epoch,))
+        return known is not None and bool(known[0])
+
+    def opened_by(self, epoch: int) -> int | None:
+        """Last epoch of the first `patience` good ones in a row that hold this one."""
+        start = epoch
+        while start > epoch - self.patience + 1 and self.good(start - 1):
+            start -= 1
+        end = epoch
+        while end < start + self.patience - 1 and self.good(end + 1):
+            end += 1
+        return end if end - start == self.patience - 1 else None
+
+    def move_on(self, newest: int) -> int:
+        """Forget epochs beyond the horizon; returns the oldest one that still counts."""
+        if self.horizon is None:
+            return -(1 << 31)
+        before = self.latest.get()[0] if self.latest.exists() else newest
+        latest = max(before, newest)
+        if latest > before:
+            for (epoch,) in list(self.epochs.keys()):  # no more than the horizon holds
+                if epoch < latest - self.horizon:
+                    self.epochs.removeKey((epoch,))
+        self.latest.update((latest,))
+        return latest - self.horizon
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fresh: dict[int, bool] = {}
-        for frame in frames:
-            good = frame.assign(good=frame["iou"] >= threshold).groupby("epoch")["good"].min()
-            for epoch, flag in good.items():
+        for frame in rows:
+            flags = frame.assign(good=frame["iou"] >= self.threshold).groupby("epoch")["good"].min()
+            for epoch, flag in flags.items():
                 fresh[int(epoch)] = fresh.get(int(epoch), True) and bool(flag)
-        seen = fresh | seen
-        closing = [e for e in seen if all(seen.get(e - k) for k in range(patience))]
-        gate = min(closing) + 1 if closing else None
-        state.update(("{}" if closing else json.dumps(seen), gate))
-        if closing:
+        if self.gate.exists():
+            return
+        oldest = self.move_on(max(fresh))
+        fresh = {
+            e: flag for e, flag in fresh.items() if e >= oldest and not self.epochs.containsKey((e,))
+        }
+        for epoch, flag in fresh.items():
+            self.epochs.updateValue((epoch,), (flag,))
+        ends = [end for e, flag in fresh.items() if flag and (end := self.opened_by(e)) is not None]
+        if ends:
+            gate = min(ends) + 1
+            self.gate.update((gate,))
+            self.epochs.clear()
+            self.latest.clear()
             yield pd.DataFrame({"run_id": [key[0]], "gate_epoch": [gate]})
 
-    return epoch_log.select("run_id", "epoch", "iou").groupBy("run_id").applyInPandasWithState(
-        advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+    def close(self) -> None:
+        pass
+
+
+def stream_gate(
+    epoch_log: DataFrame,
+    threshold: float = STABLE_IOU,
+    patience: int = PATIENCE,
+    horizon: int | None = None,
+) -> DataFrame:
+    """One row per run when its gate opens; `epoch_log(run_id, epoch, iou)` is a stream.
+
+    Epochs may arrive in any order and in any micro-batch. The gate is the first that the epochs
+    known then give. Of an epoch that comes again in a later micro-batch the first counts, within
+    one the least; a null `iou` is not good, rows without run or epoch are left out. A micro-batch
+    reads and writes the state of its own epochs and of `patience` around each, whatever the run
+    has logged before. With `horizon` an epoch counts only while it is at most that far below the
+    greatest epoch of its run; state is then bounded for runs whose gate never opens.
+
+    State is kept in RocksDB, which this sets for the session's later streams.
+    """
+    epoch_log.sparkSession.conf.set(STORE, ROCKSDB)
+    rows = epoch_log.select("run_id", "epoch", "iou").dropna(subset=["run_id", "epoch"])
+    return rows.groupBy("run_id").transformWithStateInPandas(
+        Gate(threshold, patience, horizon), OUTPUT, "Append", "None"
     )

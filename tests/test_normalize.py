@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from contract.fixtures import pixels, view
 from pixelframe.functions.windows import covering_offsets, tile_offsets
-from pixelframe.operators import scoring, normalize, split
+from pixelframe.operators import normalize, scoring, split
 from pixelframe.session import cut
 
 

@@ -7,6 +7,7 @@ from contract.common import normed
 from contract.fixtures import view
 from pixelframe.functions.hashing import mixed, uniform
 from pixelframe.operators import augment, evaluate, learn, monitor, scoring, tiling
+from pixelframe.streaming import gate as live
 
 
 def epochs(spark, values):
@@ -227,3 +228,44 @@ def test_window_counts_need_no_dense_masks(spark):
     windows = spark.createDataFrame([(0, 0, 0), (0, 2, 4), (0, 0, 5)], "image_id int, oy int, ox int")
     got = augment.window_label_stats(windows, augment.label_integral(masks, scenes), 7).collect()
     assert {(r["oy"], r["ox"]): (r["labeled_px"], r["target_px"]) for r in got} == {(0, 0): (16, 12), (2, 4): (8, 6), (0, 5): (4, 3)}
+
+
+def live_gates(spark, folder, files, **options):
+    """Gates of an epoch log that arrives in these files, one per micro-batch."""
+    schema = "run_id long, epoch int, iou double"
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/part={i}")
+    # File streams take files by time of writing.
+    log = spark.readStream.schema(schema + ", part int").option(
+        "maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    run = live.stream_gate(log, **options).writeStream.outputMode("append").format("parquet").option(
+        "path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(
+        availableNow=True).start()
+    run.awaitTermination()
+    return sorted(tuple(r) for r in spark.read.schema("run_id long, gate_epoch int").parquet(
+        f"{folder}/out").collect())
+
+
+def test_live_gate_takes_epochs_in_any_order(spark, tmp_path):
+    """Late epochs close gaps, the first of a repeated epoch counts, a gate opens once."""
+    files = [
+        [(1, 5, .9), (1, 3, .9), (2, 1, .9), (2, 2, .1), (3, 1, .8), (3, 1, .2), (4, 9, None)],
+        [(1, 9, .2), (2, 2, .9), (2, 3, .9), (3, 2, .9), (3, 3, .9), (None, 1, .9), (4, None, .9)],
+        [(1, 4, .7), (2, 4, .9), (3, 4, .9), (4, 7, .9), (4, 8, .9)],
+        [(1, 6, .9), (1, 2, .9), (2, 5, .9), (4, 10, .9), (4, 6, .9)],
+    ]
+    assert live_gates(spark, tmp_path, files, patience=3) == [(1, 6), (2, 6), (3, 5), (4, 9)]
+
+
+def test_live_gate_equals_the_batch_gate_within_its_horizon(spark, tmp_path):
+    """Rising epochs in three micro-batches; a late epoch beyond the horizon counts no more."""
+    rng = np.random.default_rng(2)
+    rows = [(run, e, float(rng.choice([.6, .8], p=[.3, .7]))) for run in range(30) for e in range(1, 9)]
+    frame = spark.createDataFrame(
+        [(r, e, 8, v) for r, e, v in rows], "run_id long, epoch int, epochs int, iou double")
+    want = sorted((r["run_id"], r["gate_epoch"]) for r in monitor.gate(frame).collect() if r["gate_epoch"])
+    files = [[r for r in rows if r[1] in part] for part in ((1, 2), (3, 4, 5), (6, 7, 8))]
+    files[0] += [(99, 1, .8), (99, 2, .8)]
+    files[1] += [(99, 20, .1)]
+    files[2] += [(99, 3, .8)]
+    assert live_gates(spark, tmp_path, files, horizon=10) == want and len(want) > 5
