@@ -26,7 +26,7 @@ LARGE_SHARE = 0.40
 NORM_FLOOR = 1e-8
 
 NEGATIVES_AT_ONCE = 256  # compared with a pixel in one row
-PIVOTS, RINGS, LIST_PART = 64, 16, 256  # inverted lists of examples
+PIVOTS, RINGS, LIST_PART = 64, 16, 1024  # inverted lists of examples
 CHORD_SLACK = 1e-6  # more than the rounding of a chord
 
 
@@ -379,8 +379,9 @@ def example_lists(examples: DataFrame, key: str) -> tuple[DataFrame, Column, Col
     """Inverted lists of examples `(key, positive, unit)`: `(lists, pivots, directory)`.
 
     Pivots are the examples with the least hashes; every example belongs to its nearest pivot, in
-    rings by its chord to it. A ring is cut into parts of about LIST_PART examples, the rows of
-    `lists`. `directory` names the rings with their least and greatest chord and number of parts.
+    rings by its chord to it. Neighbouring rings share a shelf until it holds LIST_PART examples; a
+    larger one is cut into parts, the rows of `lists`. `directory` names the rings with their least
+    and greatest chord, their shelf and its number of parts.
     Pivots and directory are constants of at most PIVOTS and 2 x PIVOTS x RINGS entries, whatever
     the number of examples.
     """
@@ -396,20 +397,25 @@ def example_lists(examples: DataFrame, key: str) -> tuple[DataFrame, Column, Col
         .drop("_pivots", "_chords")
     )
     ring = ["positive", "list", "ring"]
+    # At most 2 x PIVOTS x RINGS rows are numbered here.
+    along = Window.partitionBy("positive").orderBy("list", "ring")
+    before = F.coalesce(F.sum("count").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    on_shelf = F.sum("count").over(Window.partitionBy("positive", "shelf"))
     rings = placed.groupBy(*ring).agg(
-        F.min("chord").alias("low"), F.max("chord").alias("high"),
-        F.ceil(F.count(F.lit(1)) / LIST_PART).cast("int").alias("parts"),
-    )
-    entry = F.struct(*ring, "low", "high", "parts")
+        F.min("chord").alias("low"), F.max("chord").alias("high"), F.count(F.lit(1)).alias("count"),
+    ).withColumn("shelf", F.floor(before / LIST_PART).cast("int")).withColumn(
+        "parts", F.ceil(on_shelf / LIST_PART).cast("int"))
+    entry = F.struct(*ring, "low", "high", "shelf", "parts")
     directory = rings.agg(F.array_sort(F.collect_list(entry)).alias("rings")).scalar()
-    # The number of parts of a ring is a constant too, so that a hot ring is not gathered to cut it.
+    # Shelves and parts are constants too, so that a hot ring is not gathered to cut it.
     own = F.filter("_rings", lambda e: (
         (e["positive"] == F.col("positive")) & (e["list"] == F.col("list")) & (e["ring"] == F.col("ring"))))
-    parts = F.get(own, F.lit(0))["parts"]
     lists = (
         placed.withColumn("_rings", directory)
-        .withColumn("part", F.pmod(F.xxhash64(key, "unit"), parts).cast("int"))
-        .groupBy(*ring, "part").agg(F.collect_list("unit").alias("refs"))
+        .withColumn("_own", F.get(own, F.lit(0)))
+        .withColumn("shelf", F.col("_own.shelf"))
+        .withColumn("part", F.pmod(F.xxhash64(key, "unit"), F.col("_own.parts")).cast("int"))
+        .groupBy("positive", "shelf", "part").agg(F.collect_list("unit").alias("refs"))
     )
     return cut(lists), pivots, directory
 
@@ -441,11 +447,13 @@ def nearest_example(
         rows.withColumn("rings", directory)
         .withColumn("rings", F.filter("rings", lambda e: e["positive"] == F.lit(positive)))
         .withColumn("limit", limit)
-        .select(key, "unit", F.explode(F.filter("rings", possible)).alias("e"))
-        .select(key, "unit", "e.positive", "e.list", "e.ring",
+        .select(key, "unit", F.explode(F.array_distinct(F.transform(
+            F.filter("rings", possible), lambda e: F.struct(e["shelf"].alias("shelf"), e["parts"].alias("parts")),
+        ))).alias("e"))
+        .select(key, "unit", F.lit(positive).alias("positive"), "e.shelf",
                 F.explode(F.sequence(F.lit(0), F.col("e.parts") - 1)).alias("part"))
     )
-    met = wanted.join(lists, ["positive", "list", "ring", "part"])
+    met = wanted.join(lists, ["positive", "shelf", "part"])
     least = F.array_min(F.transform("refs", lambda ref: 1.0 - dot(ref, F.col("unit"))))
     return met.groupBy(key).agg(
         F.min(least).alias(name), F.sum(F.size("refs")).cast("long").alias("compared"))

@@ -254,7 +254,7 @@ def search_twin(vecs, examples, tolerance):
     return found
 
 
-@pytest.mark.parametrize("tolerance,pivots,part", [(0.5, 64, 256), (0.5, 3, 2), (0.05, 8, 5), (2.0, 1, 1)])
+@pytest.mark.parametrize("tolerance,pivots,part", [(0.5, 64, 1024), (0.5, 3, 2), (0.05, 8, 3), (2.0, 1, 1)])
 def test_search_by_lists_equals_brute_force(spark, monkeypatch, tolerance, pivots, part):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(9, 6))
