@@ -29,12 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelframe.llm.common import table
+from pixelframe.session import cut
 
 LEAST_PAGES = 10
 LOW = 0.3  # importance below which a branch goes
 DECAY = 0.9  # how fast a node's own layout gives way to its children, per child
 DEPTH = 24  # of paths; what lies deeper shares its path
-SALT = 16
+HOT_SHARE = 1 << 16
+PART_PAGES = 4096  # of a host, in one part of the join with its low branches
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -79,7 +81,7 @@ class Element:
 def hinted(tag: str, attrs: str) -> tuple[str, bool, bool]:
     """The class part of an element's key, whether its attributes say that it is no content, and whether they hint at it."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
-    key = re.sub(r"\d+", "0", " ".join(sorted(found.get("class", "").lower().split())))
+    key = re.sub(r"\d+", "0", " ".join(sorted(found.get("class", "").lower().split()))).replace("/", "|")
     if tag in KEEP_HINTED:
         return key, False, False
     words = {p.lower() for k in ("class", "id") for p in PARTS.findall(found.get(k, ""))}
@@ -219,7 +221,8 @@ def nodes(batches):
             depth, above = {}, {}
             for e in elements:
                 styles.setdefault(e.path, set()).add(",".join(e.kids))
-                depth[e.path], above[e.path] = e.path.count("/"), e.parent.path
+                if e.path != e.parent.path:  # as below DEPTH
+                    depth[e.path], above[e.path] = e.path.count("/"), e.parent.path
             hashed = {path: path_hash(path) for path in [*styles, ""]}
             rows += [(host, hashed[p], hashed[above[p]], depth[p], path_hash("|".join(sorted(s))), None) for p, s in styles.items()]
             said = {(e.path, path_hash(text)) for e, text in done}
@@ -229,26 +232,41 @@ def nodes(batches):
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "path", "parent", "depth", "style", "feature"])
 
 
-def low_branches(rows: pa.Table) -> pa.Table:
-    """Nodes of a host's tree to the paths whose importance is low. Grows with templates, not with pages."""
-    tree = {r["path"]: r for r in rows.to_pylist()}
-    kids: dict[int, list[int]] = {}
-    for path, r in tree.items():
-        kids.setdefault(r["parent"], []).append(path)
-    worth: dict[int, float] = {}
-    low: dict[int, bool] = {}  # a branch is low if it and all below it are
-    for path, r in sorted(tree.items(), key=lambda x: (-x[1]["depth"], x[0])):
-        parts = [(tree[k]["pages"], worth[k]) for k in kids.get(path, []) if k in worth]
-        if r["content"] is not None:
-            parts.append((r["pages"], r["content"]))
-        share = DECAY ** len(kids.get(path, []))
-        inner = sum(n * w for n, w in parts) / sum(n for n, _ in parts) if parts else r["layout"]
-        worth[path] = inner if not kids.get(path) else (1 - share) * r["layout"] + share * inner
-        parts_low = [low[k] for k in kids.get(path, []) if k in low] + ([] if r["content"] is None else [r["content"] < LOW])
-        low[path] = worth[path] < LOW and all(parts_low) and r["pages"] >= LEAST_PAGES
-    noise = [p for p, is_low in low.items() if is_low]
-    host = rows.column("host")[0].as_py()
-    return pa.table([pa.array([host], pa.string()), pa.array([noise], pa.list_(pa.int64()))], names=["host", "noise"])
+def low_branches(tree: DataFrame) -> DataFrame:
+    """(host, noise): paths of low importance, judged level by level from the deepest; a branch is low if all below it is.
+
+    A level is one join and one combined aggregate, so neither a host's tree nor a node's children lie in one group.
+    Sums are decimals: they do not depend on the order of rows.
+    """
+    deepest = tree.agg(F.max("depth")).first()[0] or 0
+    below = None
+    for depth in range(deepest, 0, -1):
+        level = tree.where(F.col("depth") == depth)
+        if below is None:
+            none = {"kids": "bigint", "weight": "bigint", "total": "double", "all_low": "boolean", "noise": "array<bigint>"}
+            level = level.select("*", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+        else:
+            level = level.join(below, ["host", "path"], "left")
+        said = F.col("content").isNotNull()
+        weight = F.coalesce("weight", F.lit(0)) + F.when(said, F.col("pages")).otherwise(0)
+        total = F.coalesce("total", F.lit(0.0)) + F.when(said, F.col("pages") * F.col("content")).otherwise(0.0)
+        share = F.pow(F.lit(DECAY), F.coalesce("kids", F.lit(0)))
+        inner = F.when(weight > 0, total / weight).otherwise(F.col("layout"))
+        level = level.withColumn("worth", F.when(F.col("kids").isNull(), inner).otherwise((1 - share) * F.col("layout") + share * inner))
+        is_low = (
+            (F.col("worth") < LOW) & F.coalesce("all_low", F.lit(True)) & F.coalesce(F.col("content") < LOW, F.lit(True))
+            & (F.col("pages") >= LEAST_PAGES)
+        )
+        held = F.coalesce("noise", F.array().cast("array<bigint>"))
+        level = level.withColumn("low", is_low).withColumn("held", F.when(F.col("low"), F.concat(held, F.array("path"))).otherwise(held))
+        below = level.groupBy("host", F.col("parent").alias("path")).agg(
+            F.count(F.lit(1)).alias("kids"), F.sum("pages").alias("weight"),
+            F.sum((F.col("pages") * F.col("worth")).cast("decimal(38,15)")).cast("double").alias("total"),
+            F.min("low").alias("all_low"), F.flatten(F.collect_list(F.when(F.size("held") > 0, F.col("held")))).alias("noise"),
+        )
+    if below is None:
+        return tree.where("false").select("host", F.array("path").alias("noise"))
+    return below.where(F.size("noise") > 0).select("host", "noise")
 
 
 def host_of(url: Column) -> Column:
@@ -261,7 +279,7 @@ def site_noise(pages: DataFrame) -> DataFrame:
     seen = found.groupBy("host", "path", "style", "feature").agg(
         F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent"), F.min("depth").alias("depth"))
     whole, bits = F.sum(F.when(F.col("style").isNotNull(), F.col("n"))), F.col("n") * F.log("n")
-    tree = (
+    tree = cut(
         seen.groupBy("host", "path")
         .agg(
             whole.alias("pages"), F.min("parent").alias("parent"), F.min("depth").alias("depth"),
@@ -277,7 +295,14 @@ def site_noise(pages: DataFrame) -> DataFrame:
             (1 - F.col("shared") / F.col("said") / F.col("most")).alias("content"),
         )
     )
-    return tree.groupBy("host").applyInArrow(low_branches, "host string, noise array<long>")
+    return low_branches(tree)
+
+
+def host_parts(rows: DataFrame) -> DataFrame:
+    """(host, parts) of hosts with more than 1 in HOT_SHARE of all pages, so fewer than HOT_SHARE rows."""
+    sizes = cut(rows.groupBy("host").count())
+    pages = sizes.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    return sizes.where(F.col("count") * HOT_SHARE > pages).select("host", F.ceil(F.col("count") / PART_PAGES).alias("parts"))
 
 
 def extractor(batches):
@@ -293,9 +318,12 @@ def extractor(batches):
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_low), a row for each row of `pages`; n_low: blocks that the host's tree took out."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    noise = site_noise(rows.select("host", "html")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int"))
-    return salted.join(noise, ["host", "salt"], "left").select("page_id", "url", "html", "noise").mapInArrow(
+    hot = F.broadcast(host_parts(rows))  # below HOT_SHARE rows at any size
+    parts = F.coalesce("parts", F.lit(1))
+    noise = site_noise(rows.select("host", "html")).join(hot, "host", "left").select(
+        "host", "noise", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    spread = rows.join(hot, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "html"), parts)).drop("parts")
+    return spread.join(noise, ["host", "part"], "left").select("page_id", "url", "html", "noise").mapInArrow(
         extractor, "page_id long, url string, text string, n_chars long, n_low long")
 
 

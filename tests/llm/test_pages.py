@@ -148,3 +148,23 @@ def test_branches_that_say_the_same_everywhere_go(spark):
     assert got[100][0] == "Best site ever Story 100 of many. 10000 words All rights"  # one page tells nothing of its host
     assert got[101] == got[102] == ("", 0)
     assert sitetree.extract(pages.limit(0)).count() == 0
+
+
+def test_a_hot_host_is_dealt_over_parts(spark, monkeypatch):
+    """Parts of one page: every page meets its host's low branches whatever part it falls in; classes may hold slashes."""
+    page = lambda i: f"<body><div class='w-1/2 top'>Best site ever</div><div class=body><p>Story {i} of many.</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(40)] + [(7, "http://h.example/7", page(7))] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(tuple, sitetree.extract(pages).collect()))
+    assert {r[4] for r in whole} == {1} and len(whole) == 43
+    monkeypatch.setattr(sitetree, "PART_PAGES", 1)
+    assert sorted(map(tuple, sitetree.extract(pages).collect())) == whole
+    monkeypatch.setattr(sitetree, "HOT_SHARE", 1)  # no host is hot
+    assert sorted(map(tuple, sitetree.extract(pages).collect())) == whole
+
+
+def test_markup_deeper_than_paths(spark):
+    pages = [f"<div class=top>same</div>{'<div><b>' * 40}story {i}" for i in range(12)]
+    rows = spark.createDataFrame([("h", p) for p in pages], "host string, html string")
+    got = {x for r in sitetree.site_noise(rows).collect() for x in r.noise}
+    assert got == {sitetree.path_hash("/div.top")}
