@@ -9,6 +9,10 @@ candidate record with its offset and that of its successor, in runs: consecutive
 which ends where the next begins. From the run at offset 0, pointer jumping over the runs finds the
 records that a reader from the file's start would meet; other candidates lie inside payloads.
 
+Where a candidate does not begin at the end of the last record that the reading task has met itself, it is emitted, but
+what follows its own row is not hashed: payloads full of false records take linear time. A record cut short or altered reads back with `sound` false. Where
+the chain of a file ends before the file does, `damage` tells at which byte, and how many bytes are out of reach.
+
 Null html is an empty payload. Null page_id rows are written, and read back as null; such a page is
 the response of its payload only if no page with an id has it. Pages that share the largest page_id
 and the payload are all responses. A null or multi-line url is written as one line.
@@ -73,6 +77,9 @@ CANDIDATES = pa.schema([
     ("kind", pa.string()), ("page", pa.int64()), ("refers", pa.int64()), ("sha1", pa.string()),
     ("length", pa.int64()), ("sound", pa.bool_()),
 ])
+FOUND = ("file string, start long, succ long, run long, kind string, page long, refers long, sha1 string, length long, "
+         "sound boolean")
+EOF = "eof"  # kind of the mark at each file's end
 
 
 class Candidate:
@@ -118,7 +125,7 @@ class Candidate:
 
 def candidates(batches):
     """Rows of archives, split at the magic and in file order, to candidates with their successors."""
-    file, at, run, last = None, 0, 0, None
+    file, at, run, last, met = None, 0, 0, None, 0  # met: end of the last record that this task has reached itself
     still: list[tuple[Candidate, int]] = []  # candidates whose block goes on after the row they began in
     done: list[tuple] = []
 
@@ -127,11 +134,17 @@ def candidates(batches):
         done.clear()
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, CANDIDATES)], schema=CANDIDATES)
 
+    def end_file():
+        done.extend(c.row(r) for c, r in still)
+        still.clear()
+        if file is not None and at:
+            done.append((file, at, None, None, EOF, None, None, None, None, None))
+
     for batch in batches:
         for name, value in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist()):
             if name != file:
-                done.extend(c.row(r) for c, r in still)
-                still, file, at, run, last = [], name, 0, 0, None
+                end_file()
+                file, run, last, met = name, 0, None, 0
                 at = len(value)  # what stands before the first magic
                 continue
             for c, _ in still:
@@ -142,13 +155,17 @@ def candidates(batches):
                 if last != found.start:
                     run = found.start
                 last = found.succ
-                still.append((found, run))
+                if found.start == met:
+                    met = found.succ
+                    still.append((found, run))
+                else:
+                    done.append(found.row(run))
             done.extend(c.row(r) for c, r in still if not c.missing)
             still = [x for x in still if x[0].missing]
             at += len(MAGIC) + len(value)
         if done:
             yield table()
-    done.extend(c.row(r) for c, r in still)
+    end_file()
     yield table()
 
 
@@ -171,15 +188,34 @@ def reachable_runs(found: DataFrame) -> DataFrame:
     return entries.union(met.where("run = 0").select("file", "run", F.lit(0).cast("long").alias("entry")))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(file, start, kind, page, refers, sha1, length, sound) of the records of all archives in `path`."""
+def scanned(spark: SparkSession, path: str) -> DataFrame:
+    """Candidates of all archives in `path` with their successors, and a mark at each file's end."""
     rows = (
         spark.read.option("lineSep", MAGIC).text(path)
         .select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
     )
-    schema = "file string, start long, succ long, run long, kind string, page long, refers long, sha1 string, length long, sound boolean"
-    found = cut(rows.mapInArrow(candidates, schema))
-    return found.join(reachable_runs(found), ["file", "run"]).where("start >= entry").drop("run", "entry", "succ")
+    return cut(rows.mapInArrow(candidates, FOUND))
+
+
+def reached(marks: DataFrame) -> DataFrame:
+    """Of `scanned` rows, the records that a reader from each file's start meets."""
+    found = marks.where(F.col("kind") != EOF)
+    return found.join(reachable_runs(found), ["file", "run"]).where("start >= entry").drop("run", "entry")
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(file, start, kind, page, refers, sha1, length, sound) of the records of all archives in `path`."""
+    return reached(scanned(spark, path)).drop("succ")
+
+
+def damage(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, lost): files whose chain ends elsewhere than the file; `lost` bytes from `at` on, below 0 where the
+    last record claims more than there is. An archive that does not begin with a record is lost from 0 on."""
+    marks = scanned(spark, path)
+    ends = reached(marks).groupBy("file").agg(F.max("succ").alias("at"))
+    sizes = marks.where(F.col("kind") == EOF).select("file", F.col("start").alias("size"))
+    at = F.coalesce("at", F.lit(0).cast("long"))
+    return sizes.join(ends, "file", "left").select("file", at.alias("at"), (F.col("size") - at).alias("lost")).where("lost <> 0")
 
 
 def base32(digests: pd.Series) -> pd.Series:

@@ -1,12 +1,15 @@
 """WARC round trips and main text of pages."""
 
+import gzip
 import hashlib
 import math
 import random
+import re
 import time
 import uuid
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pixelframe.llm import sitetree, warc
@@ -52,6 +55,47 @@ def test_chain_skips_a_long_row_of_false_records(spark):
     assert sorted(r.page for r in rows) == list(range(60)) and all(r.sound for r in rows)
 
 
+def test_false_records_of_great_length_take_linear_time():
+    took = []
+    for n in (1000, 8000):
+        false = b"WARC-Type: response\r\nContent-Length: 900000000\r\n\r\nx\r\n\r\n"
+        inside = b"HTTP/1.1 200 OK\r\n\r\n" + b"".join(b"WARC/1.1\r\n" + false for _ in range(n))
+        rows = (b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(inside) + inside + b"\r\n\r\n").split(b"WARC/1.1\r\n")
+        start = time.perf_counter()
+        batch = pa.record_batch([pa.array(["f"] * len(rows)), pa.array(rows, pa.binary())], names=["file", "value"])
+        found = [r for b in warc.candidates([batch]) for r in b.to_pylist()]
+        took.append(time.perf_counter() - start)
+        assert len(found) == n + 2  # with the mark at the end
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
+def test_damage_is_told(spark, tmp_path):
+    folder = str(tmp_path)
+    pages = spark.range(20).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<p>page "), "id").alias("html"))
+    whole = b"".join((r.value + warc.END).encode() for r in warc.records(pages).orderBy("value").collect())
+    starts = [m.start() for m in re.finditer(b"WARC/1.1\r\n", whole)]
+    files = {
+        "whole": whole,
+        "altered": whole.replace(b"<p>page 7", b"<p>Page 7"),
+        "cut": whole[:-9],  # inside the last payload
+        "torn": whole[:starts[5] - 4] + whole[starts[5]:],  # a blank line is missing
+        "noise": b"junk" + whole,
+        "junk": b"no archive at all",
+    }
+    for name, data in files.items():
+        with gzip.open(f"{folder}/{name}.txt.gz", "wb") as out:
+            out.write(data)
+    name = F.regexp_extract("file", r"(\w+)\.txt", 1)
+    told = {r.name: (r.at, r.lost) for r in warc.damage(spark, folder).withColumn("name", name).collect()}
+    assert told == {
+        "cut": (len(whole), -9), "torn": (starts[5], len(whole) - 4 - starts[5]),
+        "noise": (0, len(whole) + 4), "junk": (0, len(files["junk"])),
+    }
+    read = warc.read_archives(spark, folder).withColumn("name", name)
+    got = {r.name: (r["count"], r.bad) for r in read.groupBy("name").agg(F.count("*").alias("count"), F.count_if(~F.col("sound")).alias("bad")).collect()}
+    assert got == {"whole": (20, 0), "altered": (20, 1), "cut": (20, 1), "torn": (5, 0)}
+
+
 def test_main_text():
     text = sitetree.main_text
     assert text("<body><nav>m</nav><article><h1>A &amp; B</h1><p>x<b>y</b> z<br>q\n\t r<p>u</article><footer>f</footer>") == "A & B xy z q r u"
