@@ -11,6 +11,7 @@ from .registry import cte, query
 PIXEL = ["image_id", "y", "x"]
 TOLERANCE = 0.25
 WIDE = 0.6
+FEATURE_TOLERANCE = 0.8
 
 # Window offsets nearest first: the first nine are the 3 x 3 neighbourhood.
 cte("nine", "select a.range - 1 as dy, b.range - 1 as dx from range(3) a, range(3) b")
@@ -248,6 +249,69 @@ def _(spark, sf):
     return _select(spark, sf, is_global=True, protect=truth(spark, sf)).stats
 
 
+# ---- selection by features: a grid of 4 x 25 vectors on every scene they reach ----
+
+cte("feature_dims", """
+select cast(floor(vec_id / 100) as int) as image_id, cast(floor(vec_id % 100 / 25) as int) as gy,
+       cast(vec_id % 25 as int) as gx, i, cast(embedding[i] as double) as v
+from embeddings, (select unnest(range(1, 65)) as i)""")
+cte("feature_units", """
+select image_id, gy, gx, i, c / greatest(sqrt(sum(c * c) over (partition by image_id, gy, gx)), 1e-8) as u
+from (select *, v - avg(v) over (partition by image_id, i) as c from feature_dims)""")
+cte("feature_refs", """
+select sample_id, positive, image_id, i, m / greatest(sqrt(sum(m * m) over (partition by sample_id)), 1e-8) as ref
+from (select c.sample_id, c.positive, c.image_id, u.i, avg(u.u) as m
+      from clicks c, nine o, feature_units u
+      where u.image_id = c.image_id and u.gy = least(3, cast(floor(c.y / 30 * 4) as int)) + o.dy
+        and u.gx = least(24, cast(floor(c.x / 50 * 25) as int)) + o.dx
+      group by c.sample_id, c.positive, c.image_id, u.i)""")
+cte("feature_d", """
+select r.sample_id, r.positive, r.image_id, u.gy, u.gx, 1 - sum(r.ref * u.u) as d
+from feature_units u join feature_refs r using (image_id, i)
+group by r.sample_id, r.positive, r.image_id, u.gy, u.gx""")
+cte("feature_corners", """
+select cast(y as int) as y, cast(x as int) as x, least(cast(floor(fy) as int) + a, 3) as gy, least(cast(floor(fx) as int) + b, 24) as gx,
+       (case when a = 1 then fy - floor(fy) else 1 - (fy - floor(fy)) end)
+       * (case when b = 1 then fx - floor(fx) else 1 - (fx - floor(fx)) end) as k
+from (select y.range as y, x.range as x, greatest((y.range + 0.5) / 30 * 4 - 0.5, 0.0) as fy,
+             greatest((x.range + 0.5) / 50 * 25 - 0.5, 0.0) as fx from range(30) y, range(50) x),
+     (values (0), (1)) p(a), (values (0), (1)) q(b)""")
+cte("feature_fields", """
+select sample_id, positive, image_id, y, x, sum(k * d) as d
+from feature_corners join feature_d using (gy, gx) group by sample_id, positive, image_id, y, x""")
+cte("feature_matched", f"""
+select f.sample_id, f.image_id, f.y, f.x
+from feature_fields f join vpx v using (image_id, y, x)
+left join (select image_id, y, x, min(d) as d_neg from feature_fields where not positive group by all) n
+  using (image_id, y, x)
+where f.positive and v.valid and f.d <= {FEATURE_TOLERANCE} and (n.d_neg is null or f.d < n.d_neg)
+union
+select sample_id, image_id, y, x from clicks where positive""")
+
+
+@query("w9_select_by_features", """
+with ranked as (
+  select m.*, row_number() over (partition by m.sample_id
+           order by (m.y - c.y) ** 2 + (m.x - c.x) ** 2, m.y, m.x) as rk
+  from feature_matched m join clicks c using (sample_id)),
+kept as (select distinct image_id, y, x from ranked where rk <= 150)
+select image_id, y, x from kept
+where not exists (select 1 from fixed_masks f where f.label <> 255 and f.image_id = kept.image_id
+                  and f.y = kept.y and f.x = kept.x)""")
+def _(spark, sf):
+    """Distances on the features of one level, lifted to pixels, cut to a budget; drawn pixels are withheld."""
+    every = view(spark, sf, "grid_vec").select(
+        F.floor(F.col("vec_id") / 100).cast("int").alias("image_id"), F.lit("fine").alias("level"),
+        F.floor(F.col("vec_id") % 100 / 25).cast("int").alias("gy"), (F.col("vec_id") % 25).cast("int").alias("gx"),
+        F.col("vec").cast("array<double>").alias("vec"), F.lit(4).alias("gh"), F.lit(25).alias("gw"),
+    )
+    deep = every.filter("gy < 2").withColumns({"level": F.lit("deep"), "gh": F.lit(2)})
+    return _select(
+        spark, sf, FEATURE_TOLERANCE, is_global=True, budget=150, protect=truth(spark, sf),
+        source="sam", level="fine", features=every.unionByName(deep),
+    ).pixels
+
+
 # ---- components of the bright pixels of every scene ----
 
 cte("bright", "select image_id, y, x from npx where n0 > 0.35")
