@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.graph import contract
 from ..plans.ordered import take_lowest
-from ..plans.sizing import is_empty
+from ..plans.sizing import grows, is_empty
 from ..session import cut, ensure_checkpoint_dir
 
 BLOCK = 128
@@ -120,8 +120,7 @@ def components(
         return local.withColumnRenamed("local", "component")
     roots = contract(links, keys)
     return (
-        local.join(roots.withColumnRenamed("node", "local"),
-                   [*keys, "local"], "left")
+        local.join(grows(roots.withColumnRenamed("node", "local")), [*keys, "local"], "left")
         .withColumn("component", F.coalesce("root", "local"))
         .drop("local", "root")
     )
@@ -139,7 +138,7 @@ def _block_links(local: DataFrame, keys: list[str], block: int) -> DataFrame:
         )
     )
     targets = local.filter((F.col("y") % block == 0) | (F.col("x") % block == 0))
-    pairs = sources.join(targets, [*keys, "y", "x"]).select(*keys, "a", F.col("local").alias("b"))
+    pairs = sources.join(grows(targets), [*keys, "y", "x"]).select(*keys, "a", F.col("local").alias("b"))
     both = pairs.unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
     return cut(both.distinct())
 
@@ -270,9 +269,9 @@ def path_distance(
         to_block = _blocks(offers, block).groupBy(*store.at).agg(
             F.collect_list(F.struct("y", "x", "dist")).alias("offers")
         )
-        work = store.blocks.join(to_block, store.at)
+        work = grows(store.blocks).join(to_block, store.at)
         if store.round:
-            work = work.join(store.latest("dist"), store.at, "left")
+            work = work.join(grows(store.latest("dist")), store.at, "left")
         else:
             work = work.withColumn("dist", F.lit(None).cast("array<long>"))
         work = work.select(
@@ -296,7 +295,7 @@ def path_distance(
         ).groupBy(*keys, F.col("to.y").alias("y"), F.col("to.x").alias("x")).agg(
             (F.min("dist") + 1).alias("dist")
         )
-    both = store.blocks.join(store.latest("dist"), store.at)
+    both = store.blocks.join(grows(store.latest("dist")), store.at)
     pixels = both.select(*keys, F.explode(F.arrays_zip("ys", "xs", "dist")).alias("_p"))
     return pixels.select(
         *keys, F.col("_p.ys").alias("y"), F.col("_p.xs").alias("x"), F.col("_p.dist").alias("dist")

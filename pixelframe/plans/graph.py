@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .sizing import is_empty
+from .sizing import grows, is_empty
 from .skew import salted_join
 
 
@@ -32,7 +32,7 @@ def _follow(hooks: DataFrame, keys: list[str]) -> DataFrame:
         ahead = pointers.select(
             *keys, F.col("node").alias("parent"), F.col("parent").alias("_next"), "_final")
         # Only nodes are parents, so every row meets one.
-        jumped = cut(salted_join(open_rows, ahead, [*keys, "parent"], ["node"], "inner"))
+        jumped = cut(salted_join(open_rows, grows(ahead), [*keys, "parent"], ["node"], "inner"))
         done = jumped.filter("_final").select(*keys, "node", F.col("_next").alias("root"))
         settled = done if settled is None else settled.unionByName(done)
         open_rows = jumped.filter("not _final").select(
@@ -68,7 +68,7 @@ def contract(
         moved = edges
         for end, other in (("a", "b"), ("b", "a")):
             to = forest.select(*keys, F.col("node").alias(end), F.col("root").alias("_root"))
-            moved = salted_join(moved, to, [*keys, end], [other]).select(
+            moved = salted_join(moved, grows(to), [*keys, end], [other]).select(
                 *keys, F.coalesce("_root", end).alias(end), other
             )
         edges = cut(moved.filter("a <> b").select(*keys, "a", "b").distinct())
@@ -78,7 +78,7 @@ def contract(
     whole = forests[-1]
     for forest in reversed(forests[:-1]):
         to = whole.select(*keys, F.col("node").alias("root"), F.col("root").alias("_root"))
-        lifted = salted_join(forest, to, [*keys, "root"], ["node"]).select(
+        lifted = salted_join(forest, grows(to), [*keys, "root"], ["node"]).select(
             *keys, "node", F.coalesce("_root", "root").alias("root")
         )
         whole = lifted.unionByName(whole)
