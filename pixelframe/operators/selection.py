@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, norm, ordered_values, rms_difference
 from ..plans.ordered import take_lowest
+from ..plans.skew import salted_join, scene_join
 from ..schema import PIXEL_KEY, UNLABELED
 from ..session import cut
 from . import regions
@@ -132,17 +133,17 @@ def center_unit(features: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> D
     dims = features.select(*keys, F.posexplode("vec").alias("i", "v"))
     means = dims.groupBy(*keys, "i").agg(F.avg("v").alias("m"))
     mean = means.groupBy(*keys).agg(ordered_values("i", "m").alias("mean"))
-    return _unit(features.join(mean, keys)).drop("mean")
+    return _unit(salted_join(features, mean, keys, ["vec"], "inner")).drop("mean")
 
 
 def _unit(features: DataFrame) -> DataFrame:
-    centred = features.withColumn("c", F.zip_with("vec", "mean", lambda v, m: v - m))
-    length = F.greatest(norm("c"), F.lit(NORM_FLOOR))
-    return (
-        centred.withColumn("length", length)
-        .withColumn("unit", F.transform("c", lambda v: v / F.col("length")))
-        .drop("c", "length")
-    )
+    centred = F.array(F.zip_with("vec", "mean", lambda v, m: v - m))
+    # One-element transforms bind the centred vector and its length; as columns they would be put
+    # into the last lambda, and the length be taken anew for every component.
+    bound = F.transform(centred, lambda c: F.get(F.transform(
+        F.array(F.greatest(norm(c), F.lit(NORM_FLOOR))), lambda length: F.transform(c, lambda v: v / length)
+    ), F.lit(0)))
+    return features.withColumn("unit", F.get(bound, F.lit(0)))
 
 
 def _center_all(features: DataFrame) -> DataFrame:
@@ -186,7 +187,7 @@ def cosine_field(
         .withColumn("ref", F.transform("mean", lambda v: v / F.col("length")))
         .select(*keys, "ref")
     )
-    return unit.join(refs, "image_id").select(
+    return scene_join(unit, refs, ["gy", "gx"]).select(
         *keys, "gy", "gx", (1.0 - dot("ref", "unit")).alias("d")
     )
 
