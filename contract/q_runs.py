@@ -461,22 +461,20 @@ def _(spark, sf):
 
 @query("r3_stream_gate", "select run_id, gate_epoch from gates")
 def _(spark, sf):
-    """The epoch log is written out in three files and read back as a stream, one file per batch."""
+    """The epoch log arrives in three parts; each is read as a micro-batch of a stream taken up again."""
     base = scratch(spark)
     log = view(spark, sf, "epoch_log").withColumn("part", F.ntile(3).over(_by_epoch()))
+    log.write.partitionBy("part").parquet(f"{base}/parts")
+    shape = "run_id bigint, epoch int, epochs int, iou double"
     for part in (1, 2, 3):
-        log.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(
-            f"{base}/log"
+        spark.read.schema(shape).parquet(f"{base}/parts/part={part}").write.mode("append").parquet(f"{base}/log")
+        stream = spark.readStream.schema(shape).parquet(f"{base}/log")
+        run = (
+            gate_stream.stream_gate(stream).writeStream.outputMode("append").format("parquet")
+            .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+            .trigger(availableNow=True).start()
         )
-    stream = spark.readStream.schema("run_id bigint, epoch int, epochs int, iou double").option(
-        "maxFilesPerTrigger", 1
-    ).parquet(f"{base}/log")
-    run = (
-        gate_stream.stream_gate(stream).writeStream.outputMode("append").format("parquet")
-        .option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-        .trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
+        run.awaitTermination()
     return spark.read.schema("run_id bigint, gate_epoch int").parquet(f"{base}/out")
 
 

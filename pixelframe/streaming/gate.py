@@ -13,20 +13,41 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+PART = 1024  # epochs of one entry of the state
+
+
 class Gate(StatefulProcessor):
-    """State of a run: one entry per epoch seen while the gate is shut, one number after."""
+    """State of a run: two bits per epoch while the gate is shut, in entries of PART epochs, one number after.
+
+    A call to the store costs far more than an epoch: a micro-batch makes two per entry it touches.
+    """
 
     def __init__(self, threshold: float, patience: int, horizon: int | None):
         self.threshold, self.patience, self.horizon = threshold, patience, horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.gate = handle.getValueState("gate", "gate_epoch int")
-        self.epochs = handle.getMapState("epochs", "epoch int", "good boolean")
+        self.epochs = handle.getMapState("epochs", "part int", "known binary, good binary")
         self.latest = handle.getValueState("latest", "epoch int")
 
+    def entry(self, part: int) -> list[int]:
+        """Bits of known and of good epochs of an entry, read once per micro-batch."""
+        if part not in self.read:
+            stored = self.epochs.getValue((part,))
+            self.read[part] = [int.from_bytes(b, "little") for b in stored] if stored is not None else [0, 0]
+        return self.read[part]
+
     def good(self, epoch: int) -> bool:
-        known = self.epochs.getValue((epoch,))
-        return known is not None and bool(known[0])
+        return epoch >= self.oldest and bool(self.entry(epoch // PART)[1] >> epoch % PART & 1)
+
+    def learn(self, epoch: int, flag: bool) -> bool:
+        """Take in an epoch; whether it was new."""
+        entry, bit = self.entry(epoch // PART), 1 << epoch % PART
+        if entry[0] & bit:
+            return False
+        entry[0] |= bit
+        entry[1] |= bit * flag
+        return True
 
     def opened_by(self, epoch: int) -> int | None:
         """Last epoch of the first `patience` good ones in a row that hold this one."""
@@ -39,39 +60,40 @@ class Gate(StatefulProcessor):
         return end if end - start == self.patience - 1 else None
 
     def move_on(self, newest: int) -> int:
-        """Forget epochs beyond the horizon; returns the oldest one that still counts."""
+        """Forget entries beyond the horizon; returns the oldest epoch that still counts."""
         if self.horizon is None:
             return -(1 << 31)
         before = self.latest.get()[0] if self.latest.exists() else newest
         latest = max(before, newest)
-        if latest > before:
-            for (epoch,) in list(self.epochs.keys()):  # no more than the horizon holds
-                if epoch < latest - self.horizon:
-                    self.epochs.removeKey((epoch,))
+        first = (latest - self.horizon) // PART
+        if first > (before - self.horizon) // PART:
+            for (part,) in list(self.epochs.keys()):  # no more than the horizon holds
+                if part < first:
+                    self.epochs.removeKey((part,))
         self.latest.update((latest,))
         return latest - self.horizon
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fresh: dict[int, bool] = {}
         for frame in rows:
-            flags = frame.assign(good=frame["iou"] >= self.threshold).groupby("epoch")["good"].min()
-            for epoch, flag in flags.items():
-                fresh[int(epoch)] = fresh.get(int(epoch), True) and bool(flag)
+            for epoch, flag in zip(frame["epoch"].tolist(), (frame["iou"] >= self.threshold).tolist()):
+                fresh[epoch] = fresh.get(epoch, True) and flag
         if self.gate.exists():
             return
-        oldest = self.move_on(max(fresh))
-        fresh = {
-            e: flag for e, flag in fresh.items() if e >= oldest and not self.epochs.containsKey((e,))
-        }
-        for epoch, flag in fresh.items():
-            self.epochs.updateValue((epoch,), (flag,))
-        ends = [end for e, flag in fresh.items() if flag and (end := self.opened_by(e)) is not None]
+        self.read: dict[int, list[int]] = {}
+        self.oldest = self.move_on(max(fresh))
+        new = [(e, flag) for e, flag in fresh.items() if e >= self.oldest and self.learn(e, flag)]
+        ends = [end for e, flag in new if flag and (end := self.opened_by(e)) is not None]
         if ends:
             gate = min(ends) + 1
             self.gate.update((gate,))
             self.epochs.clear()
             self.latest.clear()
             yield pd.DataFrame({"run_id": [key[0]], "gate_epoch": [gate]})
+            return
+        for part in {e // PART for e, _ in new}:
+            bits = tuple(b.to_bytes(PART // 8, "little") for b in self.read[part])
+            self.epochs.updateValue((part,), bits)
 
     def close(self) -> None:
         pass
@@ -88,7 +110,7 @@ def stream_gate(
     Epochs may arrive in any order and in any micro-batch. The gate is the first that the epochs
     known then give. Of an epoch that comes again in a later micro-batch the first counts, within
     one the least; a null `iou` is not good, rows without run or epoch are left out. A micro-batch
-    reads and writes the state of its own epochs and of `patience` around each, whatever the run
+    reads and writes the entries of its own epochs and of `patience` around each, whatever the run
     has logged before. With `horizon` an epoch counts only while it is at most that far below the
     greatest epoch of its run; state is then bounded for runs whose gate never opens.
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from geometry import frame, scene
 from pyspark.sql import functions as F
@@ -269,3 +270,62 @@ def test_live_gate_equals_the_batch_gate_within_its_horizon(spark, tmp_path):
     files[1] += [(99, 20, .1)]
     files[2] += [(99, 3, .8)]
     assert live_gates(spark, tmp_path, files, horizon=10) == want and len(want) > 5
+
+
+class CountedState:
+    """State of one run in memory, counting calls to the store."""
+
+    def __init__(self):
+        self.kept, self.calls = {}, 0
+
+    def _called(self):
+        self.calls += 1
+        return self
+
+    def getMapState(self, *_):
+        return CountedState._Map(self)
+
+    def getValueState(self, name, _):
+        return CountedState._Value(self, name)
+
+    class _Map:
+        def __init__(self, store):
+            self.store, self.rows = store, {}
+
+        def getValue(self, key):
+            return self.store._called() and self.rows.get(key)
+
+        def containsKey(self, key):
+            return self.store._called() and key in self.rows
+
+        def updateValue(self, key, value):
+            self.store._called()
+            self.rows[key] = value
+
+        def clear(self):
+            self.rows.clear()
+
+    class _Value:
+        def __init__(self, store, name):
+            self.store, self.name = store, name
+
+        def exists(self):
+            return self.store._called() and self.name in self.store.kept
+
+        def update(self, value):
+            self.store._called().kept[self.name] = value
+
+        def clear(self):
+            self.store.kept.pop(self.name, None)
+
+
+def test_live_gate_calls_its_store_per_entry_not_per_epoch():
+    store = CountedState()
+    gate = live.Gate(.7, 3, None)
+    gate.init(store)
+    opened = []
+    for epochs in (range(500, 1000), range(-500, 500), range(1000, 1500), [1500, 1501, 1502]):
+        iou = [.9 if e % 3 or e > 1499 else .1 for e in epochs]
+        frame = pd.DataFrame({"run_id": 7, "epoch": list(epochs), "iou": iou})
+        opened += [out["gate_epoch"].tolist() for out in gate.handleInputRows((7,), iter([frame]), None)]
+    assert opened == [[1501]] and store.calls < 30
