@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import lag_in_chunks, running_totals
+from ..plans.ordered import BUCKET, lag_in_chunks, marks_around
 from ..plans.skew import scene_join
 from ..schema import BACKGROUND, EXCLUDED, PIXEL_KEY, TARGET, UNLABELED
 
@@ -222,35 +222,79 @@ def replay(pixels: DataFrame, clears: DataFrame) -> DataFrame:
     return kept.filter(F.col("label") != UNLABELED).select(*PIXEL_KEY, "label", "seq")
 
 
-def _eras(edits: DataFrame) -> DataFrame:
-    """Number of clears before each edit of its scene."""
-    is_clear = (F.col("kind") == "clear").cast("long")
-    return running_totals(
-        edits, ["image_id"], F.floor(F.col("seq") / EDIT_CHUNK), [F.col("seq")], {"era": is_clear}
+def _eras(edits: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Edits with the clears around them: an era is what lies between `after` and `wiped`, null at either end of the log.
+
+    `opened` and `closed` tell whether the era begins and ends in the edit's chunk of the log. Edits
+    carry the size of their scene and are clustered by scene and chunk.
+    """
+    shape = scenes.select("image_id", "height", "width")
+    sized = scene_join(edits.select("image_id", "seq", "kind", "value", "cx", "cy", "r"), shape, ["seq"])
+    around = marks_around(
+        sized, ["image_id"], F.floor(F.col("seq") / EDIT_CHUNK), "seq", F.col("kind") == "clear", "after", "wiped"
+    )
+    start = F.col(BUCKET) * EDIT_CHUNK
+    return (
+        around.filter("kind = 'stamp'")
+        .withColumn("opened", F.coalesce(F.col("after") >= start, F.lit(False)))
+        .withColumn("closed", F.coalesce(F.col("wiped") < start + EDIT_CHUNK, F.lit(False)))
     )
 
 
+def _writes(eras: DataFrame) -> DataFrame:
+    """Writes of pixels with `prev`, the value written before; `head` and `tail` are an era's ends in its chunk.
+
+    Pixels are sorted where their edits lie: nothing is shuffled.
+    """
+    here = Window.partitionBy("image_id", BUCKET, "y", "x").orderBy("seq")
+    discs = stamp_sized(eras).select(*PIXEL_KEY, BUCKET, "seq", "value", "after", "wiped", "opened", "closed")
+    return (
+        discs.withColumn("_before", F.lag(F.struct("seq", "value")).over(here))
+        .withColumn("_next", F.lead("seq").over(here))
+        .withColumn("head", F.col("_before").isNull() | F.coalesce(F.col("_before.seq") < F.col("after"), F.lit(False)))
+        .withColumn("tail", F.col("_next").isNull() | F.coalesce(F.col("_next") > F.col("wiped"), F.lit(False)))
+        .withColumn("prev", F.when(F.col("head"), F.lit(UNLABELED)).otherwise(F.col("_before.value")))
+        .drop("_before", "_next")
+    )
+
+
+def _steps(writes: DataFrame, written: Column, wiped: Column) -> DataFrame:
+    """`(image_id, y, x, seq, prev, value)` of `written` rows that change their pixel, and of the clears of `wiped` ones."""
+    unlabeled = F.lit(UNLABELED)
+    change = F.when(written & (F.col("value") != F.col("prev")), F.struct("seq", "prev", "value"))
+    wipe = F.when(wiped & F.col("wiped").isNotNull() & (F.col("value") != unlabeled), F.struct(
+        F.col("wiped").alias("seq"), F.col("value").alias("prev"), unlabeled.alias("value")))
+    steps = F.explode(F.array_compact(F.array(change, wipe)))
+    return writes.select(*PIXEL_KEY, steps.alias("_s")).select(*PIXEL_KEY, "_s.seq", "_s.prev", "_s.value")
+
+
+def _diff(edits: DataFrame, scenes: DataFrame, writes: bool) -> DataFrame:
+    eras = _eras(edits, scenes)
+    first, last = F.col("head") & ~F.col("opened"), F.col("tail") & ~F.col("closed")
+    within = _steps(_writes(eras), F.lit(writes) & ~first, F.col("tail") & F.col("closed"))
+    # Of eras that reach over chunks, a pixel's first and last write of each chunk meet.
+    ends = _writes(eras.filter(~F.col("opened") | ~F.col("closed"))).withColumn("first", first).withColumn("last", last)
+    era = Window.partitionBy(*PIXEL_KEY, "after").orderBy("seq")
+    across = (
+        ends.filter("first or last").select(*PIXEL_KEY, "seq", "value", "after", "wiped", "first", "last")
+        .withColumn("prev", F.coalesce(F.lag("value").over(era), F.lit(UNLABELED)))
+        .withColumn("last", F.col("last") & F.lead("seq").over(era).isNull())
+    )
+    return within.unionByName(_steps(across, F.lit(writes) & F.col("first"), F.col("last")))
+
+
 def edit_diff(edits: DataFrame, scenes: DataFrame) -> DataFrame:
     """Pixels each edit really changes, with their previous value.
 
     Between two clears of a scene a pixel starts unlabelled, so the previous value is the last
     write of the same era. A clear changes every pixel its era left labelled.
     """
-    eras = _eras(edits)
-    discs = stamp(eras.filter(F.col("kind") == "stamp"), scenes)
-    writes = discs.select(*PIXEL_KEY, "era", "seq", "value").distinct()
-    era_key = [*PIXEL_KEY, "era"]
-    lagged = lag_in_chunks(
-        writes, era_key, F.floor(F.col("seq") / EDIT_CHUNK), "seq", {"value": "prev"}
-    ).withColumn("prev", F.coalesce("prev", F.lit(UNLABELED)))
-    changed = lagged.filter(F.col("value") != F.col("prev"))
-    left = writes.groupBy(*era_key).agg(F.max_by("value", "seq").alias("prev")).filter(
-        F.col("prev") != UNLABELED
-    )
-    clears = _clears(eras).select("image_id", (F.col("era") - 1).alias("era"), "seq")
-    wiped = left.join(clears, ["image_id", "era"]).withColumn("value", F.lit(UNLABELED))
-    columns = [*PIXEL_KEY, "seq", "prev", "value"]
-    return changed.select(*columns).unionByName(wiped.select(*columns))
+    return _diff(edits, scenes, True)
+
+
+def wiped_pixels(edits: DataFrame, scenes: DataFrame) -> DataFrame:
+    """The rows of `edit_diff` that belong to clears."""
+    return _diff(edits, scenes, False)
 
 
 # ---- merging with predictions and selections ----

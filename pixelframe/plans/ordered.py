@@ -139,3 +139,32 @@ def lag_in_chunks(
             .otherwise(F.col(f"_carry.{source}")),
         )
     return out.drop(BUCKET, "_own", "_carry")
+
+
+def marks_around(
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: str, marked: Column, before: str, after: str
+) -> DataFrame:
+    """Add the greatest marked `order` at or below a row and the least at or above it, null where there is none.
+
+    `bucket` as for `running`; its number stays as `BUCKET`, and rows are clustered by `keys` and it.
+    """
+    keys = list(keys)
+    # A stated number: by size these rows would be merged into a few tasks, and callers make many rows of each.
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.withColumn(BUCKET, bucket).repartition(count, *keys, BUCKET)
+    at = F.when(marked, F.col(order))
+    totals = parts.groupBy(*keys, BUCKET).agg(F.max(at).alias("_last"), F.min(at).alias("_first"))
+    by_bucket = Window.partitionBy(*keys).orderBy(BUCKET)
+    totals = totals.select(
+        *keys, BUCKET,
+        F.max("_last").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.min("_first").over(by_bucket.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+    )
+    within = Window.partitionBy(*keys, BUCKET).orderBy(order)
+    up, down = (Window.unboundedPreceding, Window.currentRow), (Window.currentRow, Window.unboundedFollowing)
+    return (
+        parts.join(totals, [*keys, BUCKET])
+        .withColumn(before, F.coalesce(F.max(at).over(within.rowsBetween(*up)), "_earlier"))
+        .withColumn(after, F.coalesce(F.min(at).over(within.rowsBetween(*down)), "_later"))
+        .drop("_earlier", "_later")
+    )

@@ -317,3 +317,26 @@ def test_undo_reads_a_block_batch_by_batch():
         results.append((last.values.tolist(), len(last)))
     assert results[0] == results[1] == results[2]
     assert max(row[4] for row in results[0][0]) == 38 and results[0][1] == 14
+
+
+@pytest.mark.parametrize("chunk", [2, 7, 1024])
+def test_diff_equals_step_by_step_over_chunks(spark, monkeypatch, chunk):
+    """Eras that lie in a chunk, reach over chunks or never end; only pixels that cross a chunk's border are shuffled."""
+    monkeypatch.setattr(labels, "EDIT_CHUNK", chunk)
+    log = random_log(4, 60, 0.0)
+    state, want = {}, []
+    for seq, kind, value, cx, cy, r in log:
+        drawn = [(y, x) for y in range(HEIGHT) for x in range(WIDTH) if (x - cx) ** 2 + (y - cy) ** 2 <= r * r]
+        for p in list(state) if kind == "clear" else drawn:
+            now = 255 if kind == "clear" else value
+            if state.get(p, 255) != now:
+                want.append((0, *p, seq, state.get(p, 255), now))
+            state[p] = now
+    edits, shape = frame_of(spark, log), scene(spark, HEIGHT, WIDTH)
+    diff = labels.edit_diff(edits, shape).select("image_id", "y", "x", "seq", "prev", "value")
+    assert sorted(tuple(r) for r in diff.collect()) == sorted(want) and len(want) > 200
+    clears = {seq for seq, kind, *_ in log if kind == "clear"}
+    wiped = labels.wiped_pixels(edits, shape).select("image_id", "y", "x", "seq", "prev", "value").collect()
+    assert sorted(tuple(r) for r in wiped) == sorted(w for w in want if w[3] in clears)
+    plan = diff._jdf.queryExecution().executedPlan().toString()
+    assert len([line for line in plan.split("Initial Plan")[-1].splitlines() if "Exchange hash" in line and " y#" in line]) == 1
