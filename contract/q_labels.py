@@ -147,12 +147,8 @@ select d.image_id, d.seq, count(*) as cleared_px from diffs d join clear_rows c
 group by d.image_id, d.seq""")
 def _(spark, sf):
     """Pixels each clear really wiped."""
-    edits = view(spark, sf, "edits")
-    diff = labels.edit_diff(edits, view(spark, sf, "scenes"))
-    clears = edits.filter("kind = 'clear'").select("image_id", "seq")
-    return diff.join(clears, ["image_id", "seq"]).groupBy("image_id", "seq").agg(
-        F.count(F.lit(1)).alias("cleared_px")
-    )
+    wiped = labels.wiped_pixels(view(spark, sf, "edits"), view(spark, sf, "scenes"))
+    return wiped.groupBy("image_id", "seq").agg(F.count(F.lit(1)).alias("cleared_px"))
 
 
 @query("l11_adopt_prediction", """
