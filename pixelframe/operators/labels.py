@@ -182,10 +182,10 @@ def polygon_runs(polygons: DataFrame, scenes: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy(*key).orderBy("cross")
     paired = (
-        hits.withColumn("k", F.row_number().over(order) - 1)
-        .groupBy(*key, "width", F.floor(F.col("k") / 2).alias("pair"))
-        .agg(F.min("cross").alias("x1"), F.max("cross").alias("x2"), F.count("cross").alias("n"))
-        .filter("n = 2")
+        hits.withColumn("k", F.row_number().over(order))
+        .withColumn("next", F.lead("cross").over(order))
+        .filter("k % 2 = 1 and next is not null")
+        .select(*key, "width", F.col("cross").alias("x1"), F.col("next").alias("x2"))
     )
     half_up = lambda c: F.floor(F.col(c) + 0.5).cast("int")
     low = F.greatest(F.lit(0), half_up("x1"))

@@ -340,3 +340,10 @@ def test_diff_equals_step_by_step_over_chunks(spark, monkeypatch, chunk):
     assert sorted(tuple(r) for r in wiped) == sorted(w for w in want if w[3] in clears)
     plan = diff._jdf.queryExecution().executedPlan().toString()
     assert len([line for line in plan.split("Initial Plan")[-1].splitlines() if "Exchange hash" in line and " y#" in line]) == 1
+
+
+def test_crossings_are_paired_where_they_are_sorted(spark, small):
+    """No table of pairs is built in a task beside its sorted crossings."""
+    runs = labels.polygon_runs(view(spark, small, "polygons"), view(spark, small, "scenes"))
+    above = runs._jdf.queryExecution().executedPlan().toString().split("Window")[0]
+    assert "Aggregate" not in above and runs.count() > 0
