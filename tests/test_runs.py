@@ -329,3 +329,13 @@ def test_live_gate_calls_its_store_per_entry_not_per_epoch():
         frame = pd.DataFrame({"run_id": 7, "epoch": list(epochs), "iou": iou})
         opened += [out["gate_epoch"].tolist() for out in gate.handleInputRows((7,), iter([frame]), None)]
     assert opened == [[1501]] and store.calls < 30
+
+
+def test_scoring_cuts_and_flattens_no_arrays_in_the_plan(spark, small):
+    from contract.fixtures import fixture_model
+
+    patches = tiling.to_patches(tiling.assign_patches(normed(spark, small), view(spark, small, "scenes"), 16, 8))
+    scored = scoring.score_patches(patches, fixture_model, 16, batch=5)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan and "flatten(" not in plan
+    assert scored.count() == patches.count() * 256
