@@ -353,7 +353,10 @@ def render(plan: DataFrame, px: DataFrame, size: int) -> DataFrame:
     fx = F.when(F.col("paste_h"), size - 1 - dx).otherwise(dx)
     pasted = F.when(F.col("paste"), F.struct(
         (donor["oy"] + fy).alias("y"), (donor["ox"] + fx).alias("x")))
-    own = base.withColumn("_p", pasted).join(values, key).select(*out, "_p")
+    # Only pixels that take something from a donor go through the second join.
+    base = base.withColumn("_p", pasted).withColumn("_p", F.when(F.col("_p.y").isNotNull(), F.col("_p")))
+    plain = base.filter(F.col("_p").isNull()).join(values, key).select(*out)
+    own = base.filter(F.col("_p").isNotNull()).join(values, key).select(*out, "_p")
     donor_values = px.filter(F.col("mask") == TARGET).select(
         "image_id", F.col("y").alias("_py"), F.col("x").alias("_px"), F.col("norm").alias("_pn")
     )
@@ -361,13 +364,14 @@ def render(plan: DataFrame, px: DataFrame, size: int) -> DataFrame:
         donor_values, ["image_id", "_py", "_px"], "left"
     )
     take = F.col("_pn").isNotNull() & (F.col("mask") != EXCLUDED)
-    return placed.select(
+    placed = placed.select(
         *PATCH_KEY, "dy", "dx",
         F.when(take, F.col("_py")).otherwise(F.col("sy")).alias("sy"),
         F.when(take, F.col("_px")).otherwise(F.col("sx")).alias("sx"),
         F.when(take, F.col("_pn")).otherwise(F.col("norm")).alias("norm"),
         F.when(take, F.lit(TARGET)).otherwise(F.col("mask")).alias("mask"),
     )
+    return plain.unionByName(placed)
 
 
 def compose(
@@ -383,6 +387,7 @@ def compose(
 
     `prefer_labeled` (the warm-up) asks for labelled donors in the first two.
     """
+    px = cut(px)  # read by the counts of windows, by the patches and by what is pasted
     integral = label_integral(px, scenes)
     require = F.col("labeled_px") > 0 if prefer_labeled else None
     if prefer_labeled:

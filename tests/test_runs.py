@@ -339,3 +339,13 @@ def test_scoring_cuts_and_flattens_no_arrays_in_the_plan(spark, small):
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert "slice(" not in plan and "flatten(" not in plan
     assert scored.count() == patches.count() * 256
+
+
+def test_only_pasted_pixels_go_through_the_second_join(spark):
+    """Pixels without a donor would all meet at the null key of their scene."""
+    plan = spark.createDataFrame([(0, 0, 0, None, False, False, False)], "image_id int, ty int, tx int, "
+                                 "donor5 struct<oy: int, ox: int>, paste boolean, paste_h boolean, paste_v boolean")
+    px = spark.createDataFrame([(0, y, x, [.5], 1) for y in range(2) for x in range(2)],
+                               "image_id int, y int, x int, norm array<double>, mask int")
+    out = augment.render(plan, px, 2)
+    assert "Union" in out._jdf.queryExecution().analyzed().toString() and out.count() == 4
