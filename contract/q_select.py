@@ -57,7 +57,9 @@ def _fields(spark, sf):
 
 
 def _matched(spark, sf, tolerance=TOLERANCE):
-    return selection.match(_fields(spark, sf), view(spark, sf, "clicks"), tolerance)
+    px, clicks = normed(spark, sf), view(spark, sf, "clicks")
+    fields = selection.contested_field(px, selection.reference(px, clicks, 9), tolerance)
+    return selection.match(fields, clicks, tolerance)
 
 
 @query("w1_reference_vector", """

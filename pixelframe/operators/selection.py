@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, norm, ordered_values, rms_difference
 from ..plans.ordered import take_lowest
+from ..plans.sizing import is_empty
 from ..plans.skew import salted_join, scene_join
 from ..schema import PIXEL_KEY, UNLABELED
 from ..session import cut
@@ -101,8 +102,11 @@ def contested_field(norm_px: DataFrame, refs: DataFrame, tolerance: float) -> Da
     """Positive fields within tolerance, with `d_neg`, the least distance to a negative.
 
     The negatives of a scene travel to its pixels in bundles of bounded size, and only pixels
-    within tolerance of a positive sample meet them.
+    within tolerance of a positive sample meet them. Where no scene has a second bundle, a row has
+    met all its negatives at once and nothing is grouped.
     """
+    # Samples and bundles both read them; their pixels are scaled and looked up once.
+    refs = cut(refs)
     order = Window.partitionBy("image_id").orderBy("sample_id")
     bundles = (
         refs.filter(~F.col("positive"))
@@ -116,12 +120,13 @@ def contested_field(norm_px: DataFrame, refs: DataFrame, tolerance: float) -> Da
         .filter(F.col("d") <= tolerance)
     )
     d_neg = F.array_min(F.transform("negatives", lambda r: rms_difference(F.col("norm"), r)))
-    return (
-        within.join(bundles, "image_id", "left")
-        .withColumn("d_neg", d_neg)
-        .groupBy("sample_id", *PIXEL_KEY)
-        .agg(F.first("positive").alias("positive"), F.first("valid").alias("valid"),
-             F.first("d").alias("d"), F.min("d_neg").alias("d_neg"))
+    columns = ["sample_id", *PIXEL_KEY, "positive", "valid", "d", "d_neg"]
+    met = within.join(bundles, "image_id", "left").withColumn("d_neg", d_neg).select(*columns)
+    if is_empty(bundles.filter("_bundle > 0")):
+        return met
+    return met.groupBy("sample_id", *PIXEL_KEY).agg(
+        F.first("positive").alias("positive"), F.first("valid").alias("valid"),
+        F.first("d").alias("d"), F.min("d_neg").alias("d_neg"),
     )
 
 

@@ -287,3 +287,26 @@ def test_search_without_negatives_nulls_and_top_k(spark):
     assert all(r["d_neg"] is None for r in found)
     none = selection.similar(vectors, examples.filter("vec_id > 100"), 1.5)
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("negatives", [0, 1, 5])
+def test_contested_field_equals_all_pairs(spark, monkeypatch, negatives):
+    """One bundle of negatives or several: the pixels, distances and least negative distance of all pairs."""
+    monkeypatch.setattr(selection, "NEGATIVES_AT_ONCE", 2)
+    draw = np.random.default_rng(negatives)
+    norm = draw.random((6, 7, 2))
+    px = spark.createDataFrame(
+        [(0, y, x, (y + x) % 5 > 0, norm[y, x].tolist()) for y in range(6) for x in range(7)],
+        "image_id int, y int, x int, valid boolean, norm array<double>")
+    vectors = draw.random((2 + negatives, 2))
+    refs = spark.createDataFrame(
+        [(i, 0, i < 2, v.tolist()) for i, v in enumerate(vectors)],
+        "sample_id int, image_id int, positive boolean, ref array<double>")
+    got = {(r.sample_id, r.y, r.x): (r.d, r.d_neg) for r in selection.contested_field(px, refs, 0.4).collect()}
+    far = np.sqrt(((norm[None] - vectors[:, None, None]) ** 2).mean(-1))
+    want = [(i, y, x) for i in range(2) for y in range(6) for x in range(7) if (y + x) % 5 and far[i, y, x] <= 0.4]
+    assert sorted(got) == want
+    for i, y, x in want:
+        d, d_neg = got[i, y, x]
+        assert d == pytest.approx(far[i, y, x])
+        assert d_neg == (pytest.approx(far[2:, y, x].min()) if negatives else None)
