@@ -340,11 +340,13 @@ def regions(
     pixel = [*keys, "y", "x"]
     out = F.explode(F.array(*[
         F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in STEPS
+        if dy + dx > 0
     ]))
     # Every pixel has four edges; an edge shared with a pixel of the mask is not exposed. 4-adjacent
-    # mask pixels always share a component, so touches are counted per pixel in one shuffle.
+    # mask pixels always share a component, so touches are counted per pixel in one shuffle, and those
+    # of a pair both at its lower or right pixel.
     touches = labelled.select(*keys, out.alias("to")).select(
-        *keys, "to.y", "to.x", F.lit(None).cast("long").alias("component"), F.lit(1).alias("touch")
+        *keys, "to.y", "to.x", F.lit(None).cast("long").alias("component"), F.lit(2).alias("touch")
     )
     seen = labelled.select(*pixel, "component", F.lit(0).alias("touch")).unionByName(touches)
     per_pixel = seen.groupBy(*pixel).agg(

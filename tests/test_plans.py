@@ -172,3 +172,12 @@ def test_contraction_joins_broadcast_nothing(spark, monkeypatch):
     joined = [p for p in [*plans, plan_of(roots)] if "Join" in p]
     assert len(joined) > 3 and not [p for p in joined if "Broadcast" in p or "ShuffledHash" in p]
     assert sorted(r.node for r in roots.collect() if r.root == 0) == list(range(1, 41))
+
+
+def test_region_edges_make_two_rows_a_pixel(spark):
+    """A shared edge is counted once, at the lower or right pixel: what is grouped is 3 rows a pixel, not 5."""
+    cells = [(1, y, x, 0) for y in range(5) for x in range(4) if (y, x) != (2, 2)]
+    labelled = spark.createDataFrame(cells, "image_id int, y int, x int, component long")
+    found = regions.regions(labelled, min_area=1)
+    assert " + -1)" not in plan_of(found)
+    assert [(r.area, r.exposed) for r in found.collect()] == [(19, 22)]
