@@ -6,6 +6,7 @@ and the results are united, so a further positive can only add pixels.
 
 import math
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,9 @@ NORM_FLOOR = 1e-8
 NEGATIVES_AT_ONCE = 256  # compared with a pixel in one row
 PIVOTS, RINGS, LIST_PART = 64, 16, 1024  # inverted lists of examples
 CHORD_SLACK = 1e-6  # more than the rounding of a chord
+FIRST_ROWS = 4  # times k, the closest rows that meet the negatives first
+CLOSE = 1e-12  # more than the rounding of a vector's distance to itself
+CELL_PIVOTS, CELL_REACHES = 4, 64
 
 
 def clamp_sample_size(n: int) -> int:
@@ -382,7 +386,7 @@ def edges(mask: DataFrame, scenes: DataFrame) -> DataFrame:
 
 
 def example_lists(examples: DataFrame, key: str) -> tuple[DataFrame, Column, Column]:
-    """Inverted lists of examples `(key, positive, unit)`: `(lists, pivots, directory)`.
+    """Inverted lists of examples `(key, positive, unit)`, a written table: `(lists, pivots, directory)`.
 
     Pivots are the examples with the least hashes; every example belongs to its nearest pivot, in
     rings by its chord to it. Neighbouring rings share a shelf until it holds LIST_PART examples; a
@@ -391,11 +395,10 @@ def example_lists(examples: DataFrame, key: str) -> tuple[DataFrame, Column, Col
     Pivots and directory are constants of at most PIVOTS and 2 x PIVOTS x RINGS entries, whatever
     the number of examples.
     """
-    held = cut(examples)
-    chosen = held.select("unit", key).orderBy(F.xxhash64(key), key, "unit").limit(PIVOTS)
+    chosen = examples.select("unit", key).orderBy(F.xxhash64(key), key, "unit").limit(PIVOTS)
     pivots = chosen.agg(F.array_sort(F.collect_list("unit")).alias("pivots")).scalar()
     placed = cut(
-        held.withColumn("_pivots", pivots)
+        examples.withColumn("_pivots", pivots)
         .withColumn("_chords", chords("unit", "_pivots"))
         .withColumn("chord", F.array_min("_chords"))
         .withColumn("list", (F.array_position("_chords", F.col("chord")) - 1).cast("int"))
@@ -465,6 +468,35 @@ def nearest_example(
         F.min(least).alias(name), F.sum(F.size("refs")).cast("long").alias("compared"))
 
 
+def close_rows(
+    rows: DataFrame, examples: DataFrame, pivots: Column, bound: float, key: str
+) -> DataFrame:
+    """`(key, d, compared)`: rows within a small cosine distance of an example, and the least one, exactly.
+
+    Vectors so near have nearly equal products with any unit vector. Those with a few pivots, cut into
+    steps many times as wide as the bound, are the key of a join; an example stands in every cell that
+    its near rows can fall into. Repeated examples count once.
+    """
+    reach = math.sqrt(max(2.0 * bound, 0.0)) + CHORD_SLACK
+    marks = [f"_{j}" for j in range(CELL_PIVOTS)]
+
+    def marked(df: DataFrame) -> DataFrame:
+        held = df.withColumn("_pivots", F.slice(pivots, 1, CELL_PIVOTS))
+        return held.withColumns({
+            m: F.coalesce(dot(F.get("_pivots", j), "unit"), F.lit(0.0)) for j, m in enumerate(marks)
+        }).drop("_pivots")
+
+    def cell(sides: tuple[int, ...]) -> Column:
+        return F.xxhash64(*[F.floor((F.col(m) + s * reach) / (CELL_REACHES * reach)) for m, s in zip(marks, sides)])
+
+    corners = F.array_distinct(F.array(*[cell(sides) for sides in product((-1, 1), repeat=CELL_PIVOTS)]))
+    placed = marked(examples.select("unit").distinct()).select(F.col("unit").alias("ref"), F.explode(corners).alias("cell"))
+    met = marked(rows).withColumn("cell", cell((0,) * CELL_PIVOTS)).join(placed, "cell")
+    return met.select(key, (1.0 - dot("ref", "unit")).alias("d")).groupBy(key).agg(
+        F.min("d").alias("d"), F.count(F.lit(1)).alias("compared")
+    ).filter(F.col("d") <= bound)
+
+
 def similar(
     vectors: DataFrame,
     samples: DataFrame,
@@ -479,24 +511,50 @@ def similar(
     Results are exact: `d`, `d_neg` (null without negatives) and `compared`, the number of examples
     a row was compared with. Keys of `vectors` are unique; a vector with a null component or one
     that is not finite matches nothing and is no example.
+
+    Examples are rows too, no farther from themselves than rounding. With `k` and no fewer positives,
+    rows at that distance are looked up first, by a join; they pass if no negative is as near. Only if
+    these are fewer than `k` does every row meet the lists of examples.
     """
     sound = vectors.filter(F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
     unit = center_unit(sound, keys=())
-    examples = unit.join(samples.select(key, "positive"), key).select(key, "positive", "unit")
+    examples = cut(unit.join(samples.select(key, "positive"), key).select(key, "positive", "unit"))
     lists, pivots, directory = example_lists(examples, key)
-    rows = unit.select(key, "unit").withColumn("pivots", pivots).withColumn(
-        "chords", chords("unit", "pivots")
-    ).drop("pivots")
-    reach = F.lit(math.sqrt(max(2.0 * tolerance, 0.0)))
-    near = nearest_example(rows, lists, directory, True, reach, key, "d").filter(
-        F.col("d") <= tolerance)
-    near = cut(near)
-    against = nearest_example(
-        rows.join(near.select(key), key, "left_semi"), lists, directory, False, None, key, "d_neg"
-    ).withColumnRenamed("compared", "_more")
-    judged = near.join(against, key, "left").filter(
-        F.col("d_neg").isNull() | (F.col("d") < F.col("d_neg"))
-    ).withColumn("compared", F.col("compared") + F.coalesce("_more", F.lit(0))).drop("_more")
-    if k is not None:
-        judged = judged.orderBy("d", key).limit(k)
+    rows = unit.select(key, "unit")
+
+    def with_chords(some: DataFrame) -> DataFrame:
+        return some.withColumn("pivots", pivots).withColumn("chords", chords("unit", "pivots")).drop("pivots")
+
+    def passed(near: DataFrame) -> DataFrame:
+        against = nearest_example(
+            with_chords(rows.join(near.select(key), key, "left_semi")), lists, directory, False, None, key, "d_neg"
+        ).withColumnRenamed("compared", "_more")
+        return near.join(against, key, "left").filter(
+            F.col("d_neg").isNull() | (F.col("d") < F.col("d_neg"))
+        ).withColumn("compared", F.col("compared") + F.coalesce("_more", F.lit(0))).drop("_more")
+
+    if k is None:
+        return sound.join(passed(_within(with_chords(rows), lists, directory, tolerance, key)), key)
+    positives, negatives = (examples.filter(F.col("positive") == sign) for sign in (True, False))
+    bound = min(tolerance, CLOSE)
+    if positives.count() >= k:
+        near = cut(close_rows(rows, positives, pivots, bound, key))
+        # A negative that is not found here is farther than the bound, and so than the row's positive.
+        beside = close_rows(rows.join(near.select(key), key, "left_semi"), negatives, pivots, bound, key).select(
+            key, F.col("d").alias("_beside"))
+        kept = near.join(beside, key, "left").filter(F.col("_beside").isNull() | (F.col("d") < F.col("_beside")))
+        best = cut(kept.drop("_beside").orderBy("d", key).limit(k))
+        if best.count() == k:
+            return sound.join(passed(best), key)
+    near = _within(with_chords(rows), lists, directory, tolerance, key)
+    best = cut(passed(cut(near.orderBy("d", key).limit(FIRST_ROWS * k))))
+    judged = (best if best.count() >= k else passed(near)).orderBy("d", key).limit(k)
     return sound.join(judged, key)
+
+
+def _within(
+    rows: DataFrame, lists: DataFrame, directory: Column, tolerance: float, key: str
+) -> DataFrame:
+    """Every row within tolerance of a positive example, written once."""
+    reach = F.lit(math.sqrt(max(2.0 * tolerance, 0.0)))
+    return cut(nearest_example(rows, lists, directory, True, reach, key, "d").filter(F.col("d") <= tolerance))

@@ -289,6 +289,36 @@ def test_search_without_negatives_nulls_and_top_k(spark):
     assert none.count() == 0
 
 
+@pytest.mark.parametrize("k,searched", [(8, False), (12, False), (13, True), (40, True)])
+def test_closest_rows_meet_no_list_of_positives(spark, monkeypatch, k, searched):
+    """Twelve rows lie on a positive example and on no negative one; only a longer top-k reads the lists."""
+    rng = np.random.default_rng(4)
+    vecs = rng.normal(size=(200, 6))
+    vecs[100:102] = vecs[0]  # copies that are no examples
+    vecs[2], vecs[3] = vecs[20], vecs[21]  # positive and negative alike
+    vecs[110] = vecs[5] + 1e-3  # near, but not at no distance
+    examples = [(i, i < 12) for i in range(32)]
+    signs, lists = [], selection.nearest_example
+
+    def seen(rows, held, directory, positive, *rest):
+        signs.append(positive)
+        return lists(rows, held, directory, positive, *rest)
+
+    monkeypatch.setattr(selection, "nearest_example", seen)
+    found = selection.similar(
+        spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id int, vec array<double>"),
+        spark.createDataFrame(examples, "vec_id int, positive boolean"), 0.9, k,
+    ).collect()
+    want = search_twin(vecs, examples, 0.9)
+    zeros = {i for i, (d, _) in want.items() if d == 0}
+    assert zeros == {0, 1, *range(4, 12), 100, 101} and len(want) > 40
+    got = {r["vec_id"]: (round(r["d"], 9) + 0.0, round(r["d_neg"], 9) + 0.0) for r in found}
+    assert len(got) == k and all(want[i] == pair for i, pair in got.items())
+    assert set(got) <= zeros if k <= 12 else set(got) == set(sorted(want, key=lambda i: (want[i][0], i))[:k])
+    assert (True in signs) is searched
+    assert searched or max(r["compared"] for r in found) <= 20 + 2
+
+
 @pytest.mark.parametrize("negatives", [0, 1, 5])
 def test_contested_field_equals_all_pairs(spark, monkeypatch, negatives):
     """One bundle of negatives or several: the pixels, distances and least negative distance of all pairs."""
